@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .semantics import browser_trim
@@ -15,17 +15,20 @@ ENVELOPE_PATHS = {
     "deepseek": "$.choices[0].message.content",
 }
 FENCE = "```"
+# First and last character of the JSON value kinds.
+JSON_ENDS = r"""(?s)^[ \t\n\r]*(\{.*\}|\[.*\]|".*"|[-0-9tfn].*)[ \t\n\r]*\z"""
 
 
 def strict_json(text: Column) -> Column:
     """The text as a variant, or null if it is not exactly one JSON value.
 
     The parser tolerates junk after a value, so the text must also hold up as
-    the only element of a list and as the value of a field.
+    the only element of a list and as the value of a field. A look at both ends
+    comes first, since a failed parse is far more costly than a regular one.
     """
     as_element = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     as_field = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    return F.when(as_element.isNotNull() & as_field.isNotNull(), F.try_variant_get(as_field, "$.v", "variant"))
+    return F.when(text.rlike(JSON_ENDS) & as_element.isNotNull(), F.try_variant_get(as_field, "$.v", "variant"))
 
 
 def without_fence(text: Column) -> Column:
@@ -38,19 +41,22 @@ def without_fence(text: Column) -> Column:
         tagged = stripped
 
 
-def extract_json(text: Column) -> Column:
-    """First of: the text, the unfenced text, first { to last }, first [ to last ].
+def with_json(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds the JSON inside `text` as a variant, null when nothing parses.
 
-    The bracket step only runs where a brace span exists and is no JSON. Null
-    when nothing parses.
+    First of: the text, the unfenced text, first { to last }, first [ to last ].
+    The bracket step only runs where a brace span exists and is no JSON. The
+    spans are columns of their own, so each is computed once per row.
     """
-    trimmed = browser_trim(text)
-    cleaned = without_fence(trimmed)
-    braces = F.regexp_extract(cleaned, r"(?s)(\{.*\})", 1)
-    brackets = F.when(braces != "", F.regexp_extract(cleaned, r"(?s)(\[.*\])", 1))
-    return F.coalesce(
-        strict_json(trimmed), strict_json(cleaned),
-        F.when(braces != "", strict_json(braces)), F.when(brackets != "", strict_json(brackets)))
+    spans = (df.withColumn("_text", browser_trim(F.col(text)))
+             .withColumn("_plain", without_fence(F.col("_text")))
+             .withColumn("_braces", F.regexp_extract("_plain", r"(?s)(\{.*\})", 1)))
+    braces = F.col("_braces")
+    brackets = F.regexp_extract("_plain", r"(?s)(\[.*\])", 1)
+    value = F.coalesce(
+        strict_json(F.col("_text")), F.when(F.col("_plain") != F.col("_text"), strict_json(F.col("_plain"))),
+        F.when(braces != "", strict_json(braces)), F.when(braces != "", strict_json(brackets)))
+    return spans.withColumn(out, value).drop("_text", "_plain", "_braces")
 
 
 def envelope_text(envelope: Column, provider: str) -> Column:

@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 
 from .semantics import BROWSER_SPACE
 
-# (name, character class, em). The first class that holds a character counts.
+# (name, characters, em). The classes do not overlap.
 GLYPH_EM = (
-    ("wide", r"[\x{1100}-\x{11FF}\x{2E80}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}\x{FF00}-\x{FF60}]", 1.0),
-    ("narrow", r"[ijlI.,:;'!|()\[\] ]", 0.25),
-    ("broad", r"[mwMW@%]", 0.875),
-    ("capital", r"[A-HJ-LN-VX-Z]", 0.625),
+    ("narrow", "ijlI.,:;'!|()[] ", 0.25),
+    ("broad", "mwMW@%", 0.875),
+    ("capital", "ABCDEFGHJKLNOPQRSTUVXYZ", 0.625),
 )
+WIDE_CLASS = r"[\x{1100}-\x{11FF}\x{2E80}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}\x{FF00}-\x{FF60}]"
+WIDE_EM = 1.0
 OTHER_EM = 0.5
 SPACE_EM = 0.25
 
@@ -40,9 +41,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def text_em(text: Column) -> Column:
     """Width of a text in em."""
-    total = F.length(text) * OTHER_EM
+    n = F.length(text)
+    total = n * OTHER_EM + (n - F.length(F.regexp_replace(text, WIDE_CLASS, ""))) * (WIDE_EM - OTHER_EM)
     for _, chars, em in GLYPH_EM:
-        total = total + F.regexp_count(text, F.lit(chars)) * (em - OTHER_EM)
+        total = total + (n - F.length(F.translate(text, chars, ""))) * (em - OTHER_EM)
     return total
 
 

@@ -23,7 +23,8 @@ def _whole_corners(box: Column) -> Column:
 def _explode_items(df: DataFrame, items: Column) -> DataFrame:
     """One row per item with its `ordinal`; a page without items gives no row."""
     keep = [c for c in df.columns if not c.startswith("_")]
-    out = df.select(*keep, F.posexplode(items).alias("ordinal", "_item"))
+    # The outer form keeps the optimizer from parsing once more in a filter before the explode.
+    out = df.select(*keep, F.posexplode_outer(items).alias("ordinal", "_item")).where(F.col("ordinal").isNotNull())
     return out.select(*keep, "ordinal", *[F.col("_item")[c].alias(c) for c in DETECTED])
 
 
@@ -81,7 +82,7 @@ def from_bbox_lines(df: DataFrame, json_col: str = "lines") -> DataFrame:
     lines = F.from_json(json_col, f"array<{BBOX_LINE.simpleString()}>")
     kept = F.filter(lines, lambda line: F.coalesce(browser_trim(line["text"]) != "", F.lit(False)))
     keep = [c for c in df.columns if c != json_col]
-    out = df.select(*keep, F.posexplode(kept).alias("ordinal", "_l"))
+    out = df.select(*keep, F.posexplode_outer(kept).alias("ordinal", "_l")).where(F.col("ordinal").isNotNull())
     return out.select(*keep, "ordinal", F.col("_l.text").alias("text"),
                       *[F.col(f"_l.bbox.{c}").alias(f"p{c}") for c in ("x0", "y0", "x1", "y1")])
 

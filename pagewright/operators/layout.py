@@ -68,23 +68,26 @@ def fit_font(blocks: DataFrame, style: StyleConfig, min_px: float = TX.EXPORT_MI
     if not style.auto_fit_font_size:
         return shown.withColumn("font_px", F.col("font_px0"))
     text, w, h = F.col("translated_text"), F.col("w"), F.col("h")
-    gap_em = F.when(F.col("is_cjk"), F.lit(0.0)).otherwise(F.lit(TX.SPACE_EM))
-    shown = shown.withColumn("_tokens", F.when(F.col("layout_dir") == "horizontal", TX.tokens(text, F.col("is_cjk"))))
+    gap_em = F.col("_gap_em")
+    shown = shown.withColumns({
+        "_gap_em": F.when(F.col("is_cjk"), F.lit(0.0)).otherwise(F.lit(TX.SPACE_EM)),
+        "_tokens": F.when(F.col("layout_dir") == "horizontal", TX.tokens(text, F.col("is_cjk")))})
     vertical = TX.shrink_to_fit(lambda fs: TX.fits_vertical(F.length(text), fs, w, h), F.col("font_px0"), min_px)
     horizontal = TX.shrink_to_fit(lambda fs: TX.fits_horizontal(F.col("_tokens"), gap_em, fs, w, h),
                                   F.col("font_px0"), min_px)
     fitted = F.when(F.col("layout_dir") == "vertical", vertical).otherwise(horizontal)
-    return shown.withColumn("font_px", fitted).drop("_tokens")
+    return shown.withColumn("font_px", fitted).drop("_tokens", "_gap_em")
 
 
 def wrap_lines(blocks: DataFrame, text: str, font_px: Column, max_w: Column, out: str = "lines") -> DataFrame:
     """Adds the lines of `text` as an array."""
-    cjk = has_cjk(F.col(text))
-    gap = F.when(cjk, F.lit("")).otherwise(F.lit(" "))
-    gap_em = F.when(cjk, F.lit(0.0)).otherwise(F.lit(TX.SPACE_EM))
-    held = blocks.withColumns({"_tokens": TX.tokens(F.col(text), cjk), "_px": font_px, "_max": max_w})
-    return held.withColumn(out, TX.wrap_text(F.col("_tokens"), gap, gap_em, F.col("_px"), F.col("_max"))).drop(
-        "_tokens", "_px", "_max")
+    # Everything the per-token step reads is a column, so nothing is worked out again per token.
+    held = blocks.withColumn("_cjk", has_cjk(F.col(text)))
+    held = held.withColumns({"_tokens": TX.tokens(F.col(text), F.col("_cjk")), "_px": font_px, "_max": max_w,
+                             "_gap": F.when(F.col("_cjk"), F.lit("")).otherwise(F.lit(" ")),
+                             "_gap_em": F.when(F.col("_cjk"), F.lit(0.0)).otherwise(F.lit(TX.SPACE_EM))})
+    lines = TX.wrap_text(*[F.col(c) for c in ("_tokens", "_gap", "_gap_em", "_px", "_max")])
+    return held.withColumn(out, lines).drop("_cjk", "_tokens", "_gap", "_gap_em", "_px", "_max")
 
 
 def place_vertical(fitted: DataFrame) -> DataFrame:
@@ -94,7 +97,7 @@ def place_vertical(fitted: DataFrame) -> DataFrame:
         "_n": F.length("translated_text"),
         "_k": TX.glyphs_per_column(fs, TX.column_room(fs, F.col("h")))})
     keys = ["page_id", "ordinal", "x", "y", "w", "h", "font_px", "_n", "_k"]
-    glyphs = tall.select(*keys, F.posexplode(F.split("translated_text", "")).alias("_pos", "glyph"))
+    glyphs = tall.select(*keys, F.posexplode_outer(F.split("translated_text", "")).alias("_pos", "glyph"))
     line = F.floor(F.col("_pos") / F.col("_k"))
     spot = F.col("_pos") - line * F.col("_k")
     column_w = fs * TX.COLUMN_PITCH
@@ -112,8 +115,9 @@ def place_horizontal(fitted: DataFrame) -> DataFrame:
     fs = F.col("font_px")
     flat = wrap_lines(fitted.where(F.col("layout_dir") == "horizontal"), "translated_text", fs,
                       F.col("w") - fs * TX.PADDING * 2)
+    # Outer: a plain explode adds a filter on `lines`, which would repeat the whole fit per token.
     rows = flat.withColumn("_n", F.size("lines")).select(
-        "page_id", "ordinal", "x", "y", "w", "h", "font_px", "_n", F.posexplode("lines").alias("line", "line_text"))
+        "page_id", "ordinal", "x", "y", "w", "h", "font_px", "_n", F.posexplode_outer("lines").alias("line", "line_text"))
     pitch = fs * TX.LINE_PITCH
     first_y = F.col("y") + F.col("h") / 2 - F.col("_n") * pitch / 2 + pitch / 2
     placed = rows.select("page_id", "ordinal", "line", "line_text", "font_px",

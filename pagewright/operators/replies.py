@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.json_text import array_of, envelope_text, extract_json, field_number, field_text
+from ..functions.json_text import array_of, envelope_text, field_number, field_text, with_json
 from ..functions.names import block_id
 from ..functions.semantics import clamp, number_or, text_or
 from .ranking import last_wins
@@ -25,7 +25,7 @@ def open_envelope(df: DataFrame, provider: str, envelope: str = "envelope") -> D
 
 def parse_reply(df: DataFrame, key: str, raw: str = "raw") -> DataFrame:
     """`items` (array of variants under `key`) and `error`; exactly one of them is set."""
-    parsed = df.withColumn("_v", extract_json(F.col(raw))).withColumn("items", array_of(F.col("_v"), key))
+    parsed = with_json(df, raw, "_v").withColumn("items", array_of(F.col("_v"), key))
     error = F.when(F.col("_v").isNull(), F.lit(BAD_JSON)).when(F.col("items").isNull(), F.lit(BAD_SHAPE))
     if "error" in df.columns:
         error = F.coalesce(F.col("error"), error)
@@ -33,9 +33,13 @@ def parse_reply(df: DataFrame, key: str, raw: str = "raw") -> DataFrame:
 
 
 def explode_items(parsed: DataFrame) -> DataFrame:
-    """One row per reply item with its position."""
+    """One row per reply item with its position.
+
+    The outer form keeps the optimizer from testing `items` before the explode,
+    which would parse every reply twice.
+    """
     keep = [c for c in parsed.columns if c not in ("items", "error")]
-    return parsed.select(*keep, F.posexplode("items").alias("pos", "item"))
+    return parsed.select(*keep, F.posexplode_outer("items").alias("pos", "item")).where(F.col("pos").isNotNull())
 
 
 def translations(parsed: DataFrame) -> DataFrame:

@@ -332,12 +332,13 @@ def default_models(t: Tables) -> DataFrame:
 
 @query("run_progress", """
 SELECT event_id, CAST(CASE event_id % 4 WHEN 0 THEN 10 + floor(p / 100e0 * 60 + 0.5e0) WHEN 1 THEN 40 + floor(p / 100e0 * 50 + 0.5e0)
-  WHEN 2 THEN 75 ELSE NULL END AS INT) AS progress
+  WHEN 2 THEN 75 ELSE -1 END AS INT) AS progress
 FROM (SELECT event_id, least(value, 100e0) AS p FROM events)""")
 def run_progress(t: Tables) -> DataFrame:
     stage = F.element_at(F.array(*[F.lit(s) for s in ("ocr", "lines", "ocr_done", "other")]),
                          (F.col("event_id") % 4 + 1).cast("int"))
-    return t["events"].select("event_id", L.progress_of(stage, F.least("value", F.lit(100.0))).alias("progress"))
+    progress = L.progress_of(stage, F.least("value", F.lit(100.0)))
+    return t["events"].select("event_id", F.coalesce(progress, F.lit(-1)).alias("progress"))
 
 
 @query("image_payload", """

@@ -35,12 +35,11 @@ EXTRACT_SQL = (
 
 
 @query("reply_extract", with_views(("fx_replies",), """
-SELECT event_id, page_id, CASE WHEN error IS NULL THEN CAST(json_array_length(j, '$.translations') AS INT) END AS n_items, error
+SELECT event_id, page_id, CASE WHEN error IS NULL THEN CAST(json_array_length(j, '$.translations') AS INT) ELSE 0 END AS n_items, error
 FROM checked""", EXTRACT_SQL))
 def reply_extract(t: Tables) -> DataFrame:
     parsed = R.parse_reply(t["fx_replies"], "translations")
-    return parsed.select("event_id", "page_id", F.size("items").alias("n_items"), "error").withColumn(
-        "n_items", F.when(F.col("error").isNull(), F.col("n_items")))
+    return parsed.select("event_id", "page_id", F.coalesce(F.array_size("items"), F.lit(0)).alias("n_items"), "error")
 
 
 @query("reply_items", with_views(("fx_replies",), """

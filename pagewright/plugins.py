@@ -11,10 +11,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import GLYPH_EM, OTHER_EM, text_em
+from .functions.text import GLYPH_EM, OTHER_EM, WIDE_CLASS, WIDE_EM, text_em
 
 INPAINT_TILE = 512
 
@@ -118,10 +118,10 @@ def run_inpainter(pixels: DataFrame, mask: DataFrame,
     return marked.where(~F.col("m")).select("page_id", "x", "y", "b", "g", "r").unionByName(filled)
 
 
-def glyph_widths(spark) -> DataFrame:
-    """The width model as a table: (char_class, pattern, em)."""
-    rows = [(name, pattern, em) for name, pattern, em in GLYPH_EM] + [("other", ".", OTHER_EM)]
-    return spark.createDataFrame(rows, "char_class string, pattern string, em double")
+def glyph_widths(spark: SparkSession) -> DataFrame:
+    """The width model as a table: (char_class, characters, em); the wide class is a pattern."""
+    rows = [("wide", WIDE_CLASS, WIDE_EM), *GLYPH_EM, ("other", None, OTHER_EM)]
+    return spark.createDataFrame(rows, "char_class string, characters string, em double")
 
 
 def text_width_px(text: Column, font_px: Column) -> Column:
