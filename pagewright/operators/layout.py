@@ -115,7 +115,8 @@ def place_horizontal(fitted: DataFrame) -> DataFrame:
     fs = F.col("font_px")
     flat = wrap_lines(fitted.where(F.col("layout_dir") == "horizontal"), "translated_text", fs,
                       F.col("w") - fs * TX.PADDING * 2)
-    # Outer: a plain explode adds a filter on `lines`, which would repeat the whole fit per token.
+    # The outer explode and the coalesce below keep the optimizer from deriving "lines / font_px is not
+    # null" filters under the fit, which would repeat the whole fit inside the filter.
     rows = flat.withColumn("_n", F.size("lines")).select(
         "page_id", "ordinal", "x", "y", "w", "h", "font_px", "_n", F.posexplode_outer("lines").alias("line", "line_text"))
     pitch = fs * TX.LINE_PITCH
@@ -124,4 +125,4 @@ def place_horizontal(fitted: DataFrame) -> DataFrame:
                          (F.col("x") + F.col("w") / 2).alias("line_x"),
                          (first_y + F.col("line") * pitch).alias("line_y"),
                          (F.col("y") + F.col("h") - fs * TX.PADDING).alias("_bottom"))
-    return placed.where(F.col("line_y") <= F.col("_bottom")).drop("_bottom")
+    return placed.where(F.coalesce(F.col("line_y") <= F.col("_bottom"), F.lit(False))).drop("_bottom")
