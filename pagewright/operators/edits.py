@@ -26,7 +26,7 @@ def debounce(edits: DataFrame, payload: str, gap: str = DEBOUNCE, key: str = "pa
     """
     gap_s = F.expr(f"INTERVAL {gap}")
     width = _seconds(gap) * 16
-    at = F.col("ts").cast("double")
+    at = F.col("ts").cast("timestamp").cast("double")
     cut = edits.select(key, "ts", "seq", F.col(payload).alias("_p"), F.floor(at / width).alias("_slice"))
     firsts = cut.groupBy(key, "_slice").agg(F.min("ts").alias("_first"))
     following = firsts.select(key, (F.col("_slice") - 1).alias("_slice"), F.col("_first").alias("_after"))

@@ -1,6 +1,6 @@
 """Registered queries. Importing the package fills the registry."""
 
-from . import block_queries, layout_queries, manifest_queries, reply_queries  # noqa: F401
+from . import block_queries, edit_queries, layout_queries, manifest_queries, raster_queries, reply_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -127,9 +127,9 @@ def _fx_blocks(t: Tables) -> DataFrame:
 
 
 def _fx_colour_pixels(t: Tables) -> DataFrame:
-    """Crops with three different channels: green is mirrored, red is halved."""
+    """Crops with three different channels: blue is mirrored, red is halved."""
     g = F.col("gray")
-    return t["fx_pixels"].select("crop_id", "label", "x", "y", g.alias("b"), (255 - g).alias("g"),
+    return t["fx_pixels"].select("crop_id", "label", "x", "y", (255 - g).alias("b"), g.alias("g"),
                                  F.floor(g / 2).cast("int").alias("r"))
 
 

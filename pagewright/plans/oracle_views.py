@@ -77,7 +77,7 @@ SELECT page_id, ordinal, concat_ws('_', 'block', page_id, ordinal) AS block_id,
   CASE WHEN ordinal % 3 = 0 THEN '#ffffff' ELSE '#eeeecc' END AS bg_color
 FROM fx_ocr JOIN fx_pages USING (page_id)"""),
     "fx_colour_pixels": (("fx_pixels",), """
-SELECT crop_id, label, x, y, gray AS b, 255 - gray AS g, CAST(floor(gray / 2) AS INT) AS r FROM fx_pixels"""),
+SELECT crop_id, label, x, y, 255 - gray AS b, gray AS g, CAST(floor(gray / 2) AS INT) AS r FROM fx_pixels"""),
 }
 
 
