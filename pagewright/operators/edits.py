@@ -16,6 +16,11 @@ NEW_BLOCK = {
 DEBOUNCE = "800 milliseconds"
 
 
+def new_blocks(requests: DataFrame) -> DataFrame:
+    """A hand-made block with the fixed defaults for each (page_id, block_id)."""
+    return requests.select("page_id", "block_id", *[F.lit(v).alias(c) for c, v in NEW_BLOCK.items()])
+
+
 def debounce(edits: DataFrame, payload: str, gap: str = DEBOUNCE, key: str = "page_id") -> DataFrame:
     """The last edit of each burst: (key, fire_at, seq, payload).
 

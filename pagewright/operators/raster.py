@@ -202,6 +202,14 @@ def bilateral(sized: DataFrame, keys: Sequence[str], radius: int = 2, sigma_colo
         F.floor(F.sum(F.col(c) * F.col("_w")) / F.sum("_w") + 0.5).cast("int").alias(c) for c in CHANNELS])
 
 
+def within_tolerance(tolerance: int) -> Column:
+    """Whether lo_ and hi_ of every channel are near f_; false where the first pixel is missing."""
+    even = F.lit(True)
+    for c in CHANNELS:
+        even = even & (F.col(f"f_{c}") - F.col(f"lo_{c}") <= tolerance) & (F.col(f"hi_{c}") - F.col(f"f_{c}") <= tolerance)
+    return F.coalesce(even, F.lit(False))
+
+
 def is_solid(pixels: DataFrame, keys: Sequence[str], tolerance: int = SOLID_TOLERANCE) -> DataFrame:
     """(keys, is_solid): every pixel is within `tolerance` per channel of the pixel at 0,0.
 
@@ -209,10 +217,7 @@ def is_solid(pixels: DataFrame, keys: Sequence[str], tolerance: int = SOLID_TOLE
     """
     firsts = [F.max(F.when((F.col("x") == 0) & (F.col("y") == 0), F.col(c))).alias(f"f_{c}") for c in CHANNELS]
     ends = [end for c in CHANNELS for end in (F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"))]
-    even = F.lit(True)
-    for c in CHANNELS:
-        even = even & (F.col(f"f_{c}") - F.col(f"lo_{c}") <= tolerance) & (F.col(f"hi_{c}") - F.col(f"f_{c}") <= tolerance)
-    return pixels.groupBy(*keys).agg(*firsts, *ends).select(*keys, F.coalesce(even, F.lit(False)).alias("is_solid"))
+    return pixels.groupBy(*keys).agg(*firsts, *ends).select(*keys, within_tolerance(tolerance).alias("is_solid"))
 
 
 def block_colours(sized: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.json_text import strict_json
 from ..functions.names import CACHE_FOLDER, is_page_image
 from ..operators.manifest import with_artifact_parts
+from ..operators.raster import CHANNELS, SOLID_TOLERANCE, within_tolerance
 from ..schema import BLOCK
 
 PNG_MAGIC = "89504E470D0A1A0A"
@@ -24,6 +25,11 @@ def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+def page_path(path: Column) -> Column:
+    """One spelling of local paths for all sources (file:/x, not file:///x)."""
+    return F.regexp_replace(path, "^file:///", "file:/")
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
@@ -38,7 +44,13 @@ def _listing(spark: SparkSession, path: str) -> DataFrame:
 def scan_pages(spark: SparkSession, path: str) -> DataFrame:
     """Page images of a folder: page_id (the path), name, path, length."""
     files = _listing(spark, path).where(is_page_image(F.col("file_name")))
-    return files.select(F.col("path").alias("page_id"), F.col("file_name").alias("name"), "path", "length")
+    return files.select(page_path(F.col("path")).alias("page_id"), F.col("file_name").alias("name"), "path", "length")
+
+
+def read_content(spark: SparkSession, path: str) -> DataFrame:
+    """Page images as stored: page_id, name, content."""
+    files = spark.read.format("binaryFile").load(path).withColumn("name", file_name(F.col("path")))
+    return files.where(is_page_image(F.col("name"))).select(page_path(F.col("path")).alias("page_id"), "name", "content")
 
 
 def list_artifacts(spark: SparkSession, path: str) -> DataFrame:
@@ -59,7 +71,7 @@ def read_block_cache(spark: SparkSession, path: str) -> DataFrame:
     def load(folder: str, rank: int) -> DataFrame:
         files = spark.read.format("binaryFile").option("pathGlobFilter", "*_blocks.json").load(folder)
         return files.select(file_name(F.col("path")).alias("file_name"), F.lit(rank).alias("_rank"),
-                            F.decode("content", F.lit("UTF-8")).alias("text"))
+                            F.decode("content", "UTF-8").alias("text"))
 
     cache = f"{path}/{CACHE_FOLDER}"
     files = load(path, 1)
@@ -94,10 +106,10 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
 
     A file that does not decode stays as a row with status failed.
     """
-    images = spark.read.format("image").load(path).select("image.*")
+    images = spark.read.format("image").load(path).select("image.*").where(is_page_image(file_name(F.col("origin"))))
     ok = F.col("width") > 0
     return images.select(
-        F.col("origin").alias("page_id"), file_name(F.col("origin")).alias("name"),
+        page_path(F.col("origin")).alias("page_id"), file_name(F.col("origin")).alias("name"),
         F.when(ok, F.col("width")).alias("width"), F.when(ok, F.col("height")).alias("height"),
         F.when(ok, F.col("nChannels")).alias("n_channels"), F.when(ok, F.col("data")).alias("data"),
         F.when(ok, F.lit("idle")).otherwise(F.lit("failed")).alias("status"),
@@ -137,6 +149,27 @@ def read_pixels(images: DataFrame) -> DataFrame:
     return strips(images).mapInPandas(explode, PIXELS)
 
 
+def solid_pages(images: DataFrame, tolerance: int = SOLID_TOLERANCE) -> DataFrame:
+    """(page_id, is_solid) over all pixels. Each strip is reduced to its extremes, so no pixel becomes a row."""
+
+    def extremes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for row in batch.itertuples(index=False):
+                bgr = _bgr(row.strip, row.n_channels)
+                first = bgr[0].astype(int).tolist() if row.y0 == 0 else [None] * 3
+                found.append((row.page_id, *first, *bgr.min(axis=0).tolist(), *bgr.max(axis=0).tolist()))
+            out = pd.DataFrame(found, columns=["page_id", *[f"{e}_{c}" for e in ("f", "lo", "hi") for c in CHANNELS]])
+            yield out.astype({c: "Int32" for c in out.columns[1:]})
+
+    columns = ", ".join(f"{e}_{c} int" for e in ("f", "lo", "hi") for c in CHANNELS)
+    parts = strips(images).mapInPandas(extremes, f"page_id string, {columns}")
+    ends = parts.groupBy("page_id").agg(
+        *[F.max(f"f_{c}").alias(f"f_{c}") for c in CHANNELS], *[F.min(f"lo_{c}").alias(f"lo_{c}") for c in CHANNELS],
+        *[F.max(f"hi_{c}").alias(f"hi_{c}") for c in CHANNELS])
+    return ends.select("page_id", within_tolerance(tolerance).alias("is_solid"))
+
+
 def read_crops(images: DataFrame, rects: DataFrame, rows: int = STRIP_ROWS) -> DataFrame:
     """Pixels under rectangles: page_id, ordinal, x, y (in the crop), b, g, r.
 
