@@ -30,6 +30,8 @@ COLUMN_PITCH = 1.1
 PADDING = 0.4
 EXPORT_MIN_PX = 7.0
 VIEWER_MIN_PX = 6.0
+# Above any width of a line in em; leaves room for 2^26 lines in a double.
+LINE_UNIT = 2.0 ** 24
 # Tokens per inner list while lines are collected, so that long texts copy little.
 TOKENS_PER_STEP = 256
 
@@ -48,31 +50,35 @@ def text_em(text: Column) -> Column:
     return total
 
 
+def token_widths(text: Column, per_char: Column) -> Column:
+    return F.transform(tokens(text, per_char), lambda t: t["em"])
+
+
 def tokens(text: Column, per_char: Column) -> Column:
     """Words with their width, or single characters where `per_char` holds."""
     parts = F.when(per_char, F.split(text, "")).otherwise(F.split(text, f"{BROWSER_SPACE}+"))
     return F.transform(parts, lambda t: F.struct(t.alias("t"), text_em(t).alias("em")))
 
 
-def _overflows(cur_em: Column, cur_len: Column, token: Column, gap_em: Column, font_px: Column,
-               max_w: Column) -> Column:
-    return (cur_len > 0) & ((cur_em + gap_em + token["em"]) * font_px > max_w)
-
+def count_lines(widths: Column, gap_em: Column, font_px: Column, max_w: Column) -> Column:
+    """Number of lines of a greedy break; a token wider than the line stays whole.
 
-def count_lines(toks: Column, gap_em: Column, font_px: Column, max_w: Column) -> Column:
-    """Number of lines of a greedy break; a token wider than the line stays whole."""
+    `widths` are the token widths in em. The state is one number, finished
+    lines * LINE_UNIT + width of the open line, which spares a struct per
+    token. Widths are eighths of an em, so it is exact. A line of width 0 is
+    empty.
+    """
 
     def step(s: Column, token: Column) -> Column:
-        new_line = F.struct((s["n"] + 1).alias("n"), token["em"].alias("em"), F.length(token["t"]).alias("len"))
+        done = F.floor(s / LINE_UNIT)
+        open_em = s - done * LINE_UNIT
+        is_open = open_em > 0
         # A line in progress keeps a separator before its next token, also before an empty one.
-        same = F.struct(
-            s["n"].alias("n"),
-            F.when(s["len"] > 0, s["em"] + gap_em + token["em"]).otherwise(token["em"]).alias("em"),
-            F.when(s["len"] > 0, s["len"] + 1 + F.length(token["t"])).otherwise(F.length(token["t"])).alias("len"))
-        return F.when(_overflows(s["em"], s["len"], token, gap_em, font_px, max_w), new_line).otherwise(same)
+        return (F.when(~is_open, s + token)
+                .when((open_em + gap_em + token) * font_px > max_w, (done + 1) * LINE_UNIT + token)
+                .otherwise(s + gap_em + token))
 
-    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("em"), F.lit(0).alias("len"))
-    return F.aggregate(toks, start, step, lambda s: s["n"] + F.when(s["len"] > 0, 1).otherwise(0))
+    return F.aggregate(widths, F.lit(0.0), step, lambda s: F.ceil(s / LINE_UNIT))
 
 
 def wrap_text(toks: Column, gap: Column, gap_em: Column, font_px: Column, max_w: Column) -> Column:
@@ -86,7 +92,8 @@ def wrap_text(toks: Column, gap: Column, gap_em: Column, font_px: Column, max_w:
             F.when(empty_line, token["t"]).otherwise(F.concat(s["cur"], gap, token["t"])).alias("cur"),
             F.when(empty_line, token["em"]).otherwise(s["em"] + gap_em + token["em"]).alias("em"),
             s["lines"].alias("lines"))
-        return F.when(_overflows(s["em"], F.length(s["cur"]), token, gap_em, font_px, max_w), new_line).otherwise(same)
+        overflows = ~empty_line & ((s["em"] + gap_em + token["em"]) * font_px > max_w)
+        return F.when(overflows, new_line).otherwise(same)
 
     no_lines = F.array().cast("array<string>")
     starts = F.sequence(F.lit(1), F.greatest(F.size(toks), F.lit(1)), F.lit(TOKENS_PER_STEP))
@@ -124,9 +131,9 @@ def fits_vertical(n_chars: Column, font_px: Column, box_w: Column, box_h: Column
     return (n_cols * (font_px * COLUMN_PITCH) <= box_w - font_px * PADDING) & (tallest <= max_h)
 
 
-def fits_horizontal(toks: Column, gap_em: Column, font_px: Column, box_w: Column, box_h: Column) -> Column:
+def fits_horizontal(widths: Column, gap_em: Column, font_px: Column, box_w: Column, box_h: Column) -> Column:
     padding = font_px * PADDING
-    n_lines = count_lines(toks, gap_em, font_px, box_w - padding * 2)
+    n_lines = count_lines(widths, gap_em, font_px, box_w - padding * 2)
     return n_lines * (font_px * LINE_PITCH) <= box_h - padding * 1.5
 
 

@@ -14,6 +14,7 @@ NEW_BLOCK = {
     "text_color": "#FFFFFF", "bg_color": "#000000", "font_size_pct": 2.2, "type": "bubble",
 }
 DEBOUNCE = "800 milliseconds"
+CELLS_PER_BLOCK = 1024
 
 
 def new_blocks(requests: DataFrame) -> DataFrame:
@@ -25,21 +26,25 @@ def debounce(edits: DataFrame, payload: str, gap: str = DEBOUNCE, key: str = "pa
     """The last edit of each burst: (key, fire_at, seq, payload).
 
     An edit fires when its page has no other edit up to and including `gap`
-    later. A later edit within the gap lies in the same time slice or the next
-    one, so each slice only needs the first edit of the slice after it; no
-    window spans all edits of a page.
+    later. Within a cell of half a gap only the last edit can fire, so edits
+    are first reduced to one row per page and cell, before the shuffle. The
+    next edit is then looked up in blocks of CELLS_PER_BLOCK cells plus the
+    first edit of the block after it: no window grows with the page.
     """
     gap_s = F.expr(f"INTERVAL {gap}")
-    width = _seconds(gap) * 16
-    at = F.col("ts").cast("timestamp").cast("double")
-    cut = edits.select(key, "ts", "seq", F.col(payload).alias("_p"), F.floor(at / width).alias("_slice"))
-    firsts = cut.groupBy(key, "_slice").agg(F.min("ts").alias("_first"))
-    following = firsts.select(key, (F.col("_slice") - 1).alias("_slice"), F.col("_first").alias("_after"))
-    inside = Window.partitionBy(key, "_slice").orderBy("ts", "seq")
-    rows = cut.withColumn("_next", F.lead("ts").over(inside)).join(following, [key, "_slice"], "left")
-    next_ts = F.coalesce("_next", "_after")
-    fires = next_ts.isNull() | (next_ts > F.col("ts") + gap_s)
-    return rows.where(fires).select(key, (F.col("ts") + gap_s).alias("fire_at"), "seq", F.col("_p").alias(payload))
+    order = F.struct("ts", "seq")
+    # Whole microseconds keep the cell borders exact.
+    cell = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(int(_seconds(gap) * 500_000)))
+    cells = edits.groupBy(key, cell.alias("_cell")).agg(
+        F.min("ts").alias("_first"), F.max_by(F.struct("ts", "seq", payload), order).alias("_last"))
+    cells = cells.withColumn("_block", F.floor(F.col("_cell") / CELLS_PER_BLOCK))
+    starts = cells.groupBy(key, "_block").agg(F.min("_first").alias("_after"))
+    following = starts.withColumn("_block", F.col("_block") - 1)
+    inside = Window.partitionBy(key, "_block").orderBy("_cell")
+    rows = cells.withColumn("_next", F.lead("_first").over(inside)).join(following, [key, "_block"], "left")
+    next_ts, fire_at = F.coalesce("_next", "_after"), F.col("_last.ts") + gap_s
+    return rows.where(next_ts.isNull() | (next_ts > fire_at)).select(
+        key, fire_at.alias("fire_at"), "_last.seq", F.col(f"_last.{payload}"))
 
 
 def _seconds(gap: str) -> float:

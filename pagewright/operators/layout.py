@@ -71,12 +71,12 @@ def fit_font(blocks: DataFrame, style: StyleConfig, min_px: float = TX.EXPORT_MI
     gap_em = F.col("_gap_em")
     shown = shown.withColumns({
         "_gap_em": F.when(F.col("is_cjk"), F.lit(0.0)).otherwise(F.lit(TX.SPACE_EM)),
-        "_tokens": F.when(F.col("layout_dir") == "horizontal", TX.tokens(text, F.col("is_cjk")))})
+        "_widths": F.when(F.col("layout_dir") == "horizontal", TX.token_widths(text, F.col("is_cjk")))})
     vertical = TX.shrink_to_fit(lambda fs: TX.fits_vertical(F.length(text), fs, w, h), F.col("font_px0"), min_px)
-    horizontal = TX.shrink_to_fit(lambda fs: TX.fits_horizontal(F.col("_tokens"), gap_em, fs, w, h),
+    horizontal = TX.shrink_to_fit(lambda fs: TX.fits_horizontal(F.col("_widths"), gap_em, fs, w, h),
                                   F.col("font_px0"), min_px)
     fitted = F.when(F.col("layout_dir") == "vertical", vertical).otherwise(horizontal)
-    return shown.withColumn("font_px", fitted).drop("_tokens", "_gap_em")
+    return shown.withColumn("font_px", fitted).drop("_widths", "_gap_em")
 
 
 def wrap_lines(blocks: DataFrame, text: str, font_px: Column, max_w: Column, out: str = "lines") -> DataFrame:

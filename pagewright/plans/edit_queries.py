@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import edits as D
+from ..streaming.edits import invalidate_erased
 from .block_queries import BOX, BOX_SQL
 from .fixtures import Tables
 from .oracle_views import with_views
@@ -87,3 +88,25 @@ def apply_edits(t: Tables) -> DataFrame:
     edits = log.select("page_id", "block_id", "ts", "seq", "op", F.col("payload").alias("value"),
                        F.when(F.col("op") == "move", box).alias("box"))
     return D.apply_edits(blocks, edits).withColumns({c: F.round(c, 6) for c in BOX})
+
+
+@query("created_blocks", """
+SELECT user_id AS page_id, 'n' || event_id AS block_id, '' AS original_text, '新文字框' AS translated_text, 40e0 AS xmin, 60e0 AS xmax,
+  40e0 AS ymin, 48e0 AS ymax, '#FFFFFF' AS text_color, '#000000' AS bg_color, 2.2e0 AS font_size_pct, 'bubble' AS type FROM events""")
+def created_blocks(t: Tables) -> DataFrame:
+    """A hand-made block for every event."""
+    asked = t["events"].select(F.col("user_id").alias("page_id"), F.concat(F.lit("n"), F.col("event_id").cast("string")).alias("block_id"))
+    return D.new_blocks(asked)
+
+
+@query("invalidated_pages", with_views(("fx_ocr", "fx_ocr_edited"), """
+SELECT page_id, count(*) AS n_changed FROM (
+  SELECT coalesce(o.page_id, n.page_id) AS page_id FROM (SELECT *, true AS here FROM fx_ocr WHERE page_id IN (SELECT page_id FROM fx_ocr_edited)) o
+  FULL JOIN (SELECT *, true AS here FROM fx_ocr_edited) n ON o.page_id = n.page_id AND o.ordinal = n.ordinal
+  WHERE o.here IS DISTINCT FROM n.here OR o.px0 IS DISTINCT FROM n.px0 OR o.px1 IS DISTINCT FROM n.px1
+    OR o.py0 IS DISTINCT FROM n.py0 OR o.py1 IS DISTINCT FROM n.py1 OR o.kind IS DISTINCT FROM n.kind)
+GROUP BY page_id"""))
+def invalidated_pages(t: Tables) -> DataFrame:
+    """The edited blocks as one micro-batch against the stored ones."""
+    names = {"px0": "xmin", "px1": "xmax", "py0": "ymin", "py1": "ymax", "kind": "type"}
+    return invalidate_erased(t["fx_ocr_edited"].withColumnsRenamed(names), t["fx_ocr"].withColumnsRenamed(names))

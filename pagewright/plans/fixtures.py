@@ -33,6 +33,15 @@ class Tables:
             _PLANS[key] = view(self) if view else self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return _PLANS[key]
 
+    def wide(self, name: str) -> DataFrame:
+        """A driver table for costly work per row: a file with fewer splits than cores is dealt out.
+
+        Large tables have more splits than cores and are read as they are.
+        """
+        table = self[name]
+        cores = self.spark.sparkContext.defaultParallelism
+        return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
 
 def _fx_pages(t: Tables) -> DataFrame:
     key = F.col("o_orderkey")
@@ -92,7 +101,7 @@ def _fx_replies(t: Tables) -> DataFrame:
     before = F.when(e % 5 == 1, "```json\n").when(e % 5 == 2, "```\n").when(e % 5 == 3, "Sure: ").otherwise("")
     brace = F.when(e % 5 == 4, "").otherwise("}")
     after = F.when((e % 5).isin(1, 2), "\n```").when(e % 5 == 3, " done.").otherwise("")
-    return t["events"].select(e.alias("event_id"), F.col("user_id").alias("page_id"),
+    return t.wide("events").select(e.alias("event_id"), F.col("user_id").alias("page_id"),
                               F.concat(before, body, brace, after).alias("raw"))
 
 

@@ -153,6 +153,6 @@ WITH broken AS (SELECT doc_id, {lines_sql(LINE_TOKENS, '16e0', '480e0')} AS r
 SELECT doc_id, CAST(r.n + CASE WHEN length(r.cur) > 0 THEN 1 ELSE 0 END AS INT) AS n_lines, sha256(r.done || r.cur) AS lines_hash FROM broken""")
 def wrap_documents(t: Tables) -> DataFrame:
     """Whole documents broken into lines of 480 pixels at 16 pixels."""
-    wrapped = Y.wrap_lines(t["documents"].select("doc_id", "text"), "text", F.lit(16.0), F.lit(480.0))
+    wrapped = Y.wrap_lines(t.wide("documents").select("doc_id", "text"), "text", F.lit(16.0), F.lit(480.0))
     return wrapped.select("doc_id", F.size("lines").alias("n_lines"),
                           F.sha2(F.array_join("lines", "\n"), 256).alias("lines_hash"))

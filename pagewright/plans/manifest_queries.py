@@ -127,11 +127,11 @@ def display_paths(t: Tables) -> DataFrame:
 
 
 @query("merge_pages", with_views(("fx_pages",), """
-SELECT page_id, name, CASE WHEN page_id % 4 = 0 THEN 'completed' ELSE status END AS status, page_id % 3 = 0 OR page_id % 8 = 0 AS has_ocr_cache
+SELECT page_id, name, CASE status WHEN 'failed' THEN 'completed' ELSE status END AS status, page_id % 3 = 0 OR (status = 'failed' AND page_id % 8 = 0) AS has_ocr_cache
 FROM fx_pages"""))
 def merge_pages(t: Tables) -> DataFrame:
     pages = t["fx_pages"].select("page_id", "name", "status", (F.col("page_id") % 3 == 0).alias("has_ocr_cache"))
-    updates = t["fx_pages"].where(F.col("page_id") % 4 == 0).select(
+    updates = t["fx_pages"].where(F.col("status") == "failed").select(
         "page_id", F.lit("completed").alias("status"), (F.col("page_id") % 8 == 0).alias("has_ocr_cache"))
     return M.merge_pages(pages, updates)
 

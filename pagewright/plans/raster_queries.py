@@ -9,6 +9,7 @@ from ..functions import colour as C
 from ..operators import erase as E
 from ..operators import raster as R
 from ..operators import routing as W
+from ..plugins import run_inpainter
 from .block_queries import r6
 from .fixtures import Tables
 from .oracle_views import with_views
@@ -119,11 +120,10 @@ def union_masks(t: Tables) -> DataFrame:
 
 
 @query("needs_inpaint", with_views(("fx_colour_pixels",), """
-SELECT crop_id AS page_id FROM (SELECT DISTINCT crop_id FROM px) WHERE crop_id IN (SELECT crop_id FROM mask WHERE x BETWEEN 3 AND 4 AND y BETWEEN 3 AND 4)""", MASKED))
+SELECT crop_id AS page_id FROM (SELECT DISTINCT crop_id FROM px) WHERE crop_id IN (SELECT crop_id FROM mask)""", MASKED))
 def needs_inpaint(t: Tables) -> DataFrame:
-    """Crops with text in the middle."""
     pixels = sized(t)
-    mask = R.text_mask(pixels, R.background(pixels, KEYS), KEYS).where(F.col("x").between(3, 4) & F.col("y").between(3, 4))
+    mask = R.text_mask(pixels, R.background(pixels, KEYS), KEYS)
     pages = t["embeddings"].select(F.col("vec_id").alias("page_id"))
     return R.needs_inpaint(pages, mask.withColumnRenamed("crop_id", "page_id"))
 
@@ -171,14 +171,17 @@ def composite(t: Tables) -> DataFrame:
     return R.composite(crops(t), negative, alpha, KEYS)
 
 
-@query("bilateral", with_views(("fx_colour_pixels",), """
+BILATERAL_SQL = """
 SELECT crop_id, x, y, CAST(floor(sum(nb * w) / sum(w) + 0.5e0) AS INT) AS b, CAST(floor(sum(ng * w) / sum(w) + 0.5e0) AS INT) AS g,
   CAST(floor(sum(nr * w) / sum(w) + 0.5e0) AS INT) AS r
 FROM (SELECT p.crop_id, p.x, p.y, q.b AS nb, q.g AS ng, q.r AS nr,
     exp(-(dx.o * dx.o + dy.o * dy.o) / 5000e0) * exp(-pow(abs(p.b - q.b) + abs(p.g - q.g) + abs(p.r - q.r), 2) / 5000e0) AS w
   FROM px p, (SELECT i - 2 AS o FROM range(5) v(i)) dx, (SELECT i - 2 AS o FROM range(5) v(i)) dy, px q
-  WHERE dx.o * dx.o + dy.o * dy.o <= 4 AND q.crop_id = p.crop_id AND q.x = """ + MIRROR.format("(p.x + dx.o)") + " AND q.y = "
-    + MIRROR.format("(p.y + dy.o)") + ") GROUP BY crop_id, x, y", PX))
+  WHERE dx.o * dx.o + dy.o * dy.o <= 4 AND q.crop_id = p.crop_id AND q.x = """ + MIRROR.format("(p.x + dx.o)") + " AND q.y = " \
+    + MIRROR.format("(p.y + dy.o)") + ") GROUP BY crop_id, x, y"
+
+
+@query("bilateral", with_views(("fx_colour_pixels",), BILATERAL_SQL, PX))
 def bilateral(t: Tables) -> DataFrame:
     return R.bilateral(sized(t), KEYS)
 
@@ -281,6 +284,35 @@ def erased_in_order(t: Tables) -> DataFrame:
     return E.erase_page(pixels, blocks, "normal").pixels
 
 
+FINISHED = ", ".join(f"CAST(floor(s.{c} * coalesce(alpha, 0) + p.{c} * (1 - coalesce(alpha, 0)) + 1e-9) AS INT) AS {c}" for c in R.CHANNELS)
+
+
+@query("finish_inpaint", with_views(("fx_colour_pixels",), f"""
+SELECT p.crop_id AS page_id, p.x, p.y, {FINISHED} FROM px p JOIN smooth s ON p.crop_id = s.crop_id AND p.x = s.x AND p.y = s.y
+LEFT JOIN blurred a ON p.crop_id = a.crop_id AND p.x = a.x AND p.y = a.y""", MASKED + BLUR + (("smooth", BILATERAL_SQL),)))
+def finish_inpaint(t: Tables) -> DataFrame:
+    """Smooth a crop and blend it back along its text mask."""
+    pixels = sized(t)
+    mask = R.text_mask(pixels, R.background(pixels, KEYS), KEYS).withColumnRenamed("crop_id", "page_id")
+    own = pixels.withColumnRenamed("crop_id", "page_id")
+    sizes = own.select("page_id", "cw", "ch").distinct()
+    own = own.drop("cw", "ch")
+    return E.finish_inpaint(own, own, mask, sizes, 2)
+
+
+@query("inpainted_pixels", with_views(("fx_colour_pixels",), ", ".join([
+    "SELECT p.crop_id AS page_id, p.x, p.y",
+    *[f"CASE WHEN m.x IS NULL THEN p.{c} ELSE coalesce(CAST(floor(fill_{c}) AS INT), 255) END AS {c}" for c in R.CHANNELS]]) + """
+FROM px p LEFT JOIN mask m ON m.crop_id = p.crop_id AND m.x = p.x AND m.y = p.y LEFT JOIN fills f ON f.crop_id = p.crop_id""",
+    MASKED + (("fills", "SELECT p.crop_id, " + ", ".join(f"median({c}) AS fill_{c}" for c in R.CHANNELS) + """
+      FROM px p ANTI JOIN mask m ON m.crop_id = p.crop_id AND m.x = p.x AND m.y = p.y GROUP BY p.crop_id"""),)))
+def inpainted_pixels(t: Tables) -> DataFrame:
+    """The built-in inpainter on the text mask of every crop."""
+    pixels = sized(t)
+    mask = R.text_mask(pixels, R.background(pixels, KEYS), KEYS).withColumnRenamed("crop_id", "page_id")
+    return run_inpainter(crops(t).withColumnRenamed("crop_id", "page_id"), mask)
+
+
 @query("inpaint_mask", with_views(("fx_colour_pixels",), "SELECT DISTINCT page_id, x, y FROM grown WHERE erase_route = 'inpaint'", HALVES))
 def inpaint_mask(t: Tables) -> DataFrame:
     pixels, blocks = _halves(t)

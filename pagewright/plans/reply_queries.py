@@ -76,7 +76,7 @@ def repair_blocks(t: Tables) -> DataFrame:
     raw = F.concat(F.lit('{"blocks":[{"original_text":"'), "event_type", F.lit('","ymin":"'), (F.col("value") - 20).cast("string"),
                    F.lit('","xmin":"12.5","ymax":101,"xmax":null,"text_color":"#010203","bg_color":"","font_size_pct":0,'
                          '"type":"onomatopoeia"},{}]}'))
-    rows = R.repair_blocks(R.parse_reply(t["events"].select(F.col("event_id").alias("page_id"), raw.alias("raw")), "blocks"))
+    rows = R.repair_blocks(R.parse_reply(t.wide("events").select(F.col("event_id").alias("page_id"), raw.alias("raw")), "blocks"))
     return rows.withColumns({c: F.round(c, 6) for c in BOX})
 
 

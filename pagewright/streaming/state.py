@@ -8,36 +8,40 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-STATE = "status string, progress int, error string, attempts long, ts timestamp, seq long"
+STATE = ("status string, progress int, error string, attempts long, ts timestamp, seq long, "
+         "shown_ts timestamp, shown_seq long")
 OUTPUT = "page_id long, status string, progress int, error string, attempts long"
+NEVER = (pd.Timestamp("1900-01-01"), -1)
 
 
 class PageState(StatefulProcessor):
-    """Folds the events of a page in (ts, seq) order; same rules as `operators.edits.page_state`."""
+    """Folds the events of a page; same rules as `operators.edits.page_state`.
+
+    Keeps the (ts, seq) of the last event and of the last one that set the
+    progress, so events may come in any order.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("page", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        current = self.state.get() if self.state.exists() else ("idle", 0, None, 0, None, -1)
-        status, progress, error, attempts, ts, seq = current
+        status, progress, error, attempts, last, shown = "idle", 0, None, 0, NEVER, NEVER
+        if self.state.exists():
+            status, progress, error, attempts, *order = self.state.get()
+            last, shown = (pd.Timestamp(order[0]), order[1]), (pd.Timestamp(order[2]), order[3])
         for frame in rows:
-            for row in frame.sort_values(["ts", "seq"]).itertuples(index=False):
+            for row in frame.itertuples(index=False):
+                at = (row.ts, row.seq)
+                percent = {"started": 0, "finished": 100}.get(row.event, row.progress if row.event == "progress" else None)
                 attempts += int(row.event == "started")
-                if ts is not None and (row.ts, row.seq) < (pd.Timestamp(ts), seq):
-                    continue  # an older event that came late only counts as an attempt
-                ts, seq = row.ts, row.seq
-                status = {"finished": "completed", "failed": "failed"}.get(row.event, "processing")
-                error = None
-                if row.event == "started":
-                    progress = 0
-                elif row.event == "progress":
-                    progress = int(row.progress)
-                elif row.event == "finished":
-                    progress = 100
-                else:
-                    error = row.error or "Unknown error"
-        self.state.update((status, progress, error, attempts, pd.Timestamp(ts).to_pydatetime(), int(seq)))
+                if percent is not None and at > shown:
+                    progress, shown = int(percent), at
+                if at > last:
+                    last = at
+                    status = {"finished": "completed", "failed": "failed"}.get(row.event, "processing")
+                    error = (row.error or "Unknown error") if row.event == "failed" else None
+        self.state.update((status, progress, error, attempts, last[0].to_pydatetime(), int(last[1]),
+                           shown[0].to_pydatetime(), int(shown[1])))
         yield pd.DataFrame({"page_id": [key[0]], "status": [status], "progress": [progress], "error": [error],
                             "attempts": [attempts]})
 
