@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import artifact_kind, artifact_owner, export_name, natural_key
 from ..schema import StyleConfig
-from .ranking import HOT_ROWS, last_wins, neighbours, row_numbers
+from .ranking import last_wins, neighbours, row_numbers
 
 # Best picture of a page first: (kind, location).
 PREVIEW_ORDER = (("translated", "cache"), ("translated", "root"), ("erased", "cache"), ("erased", "root"))
@@ -139,7 +139,7 @@ def media_summary(files: DataFrame, media_type: str = "media_type") -> DataFrame
     return counted.withColumn("error", F.when(F.col("accepted") == 0, F.lit("No image files")))
 
 
-def natural_order(pages: DataFrame, chapter: list[str] | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+def natural_order(pages: DataFrame, chapter: list[str] | None = None, hot_rows: int | None = None) -> DataFrame:
     """Adds `page_rank` from 1 in natural name order (then page_id), per chapter or over all pages."""
     keyed = pages.withColumn("_key", natural_key(F.col("name")))
     return row_numbers(keyed, chapter or [], ["_key", "page_id"], "page_rank", hot_rows).drop("_key")

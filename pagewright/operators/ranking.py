@@ -18,7 +18,7 @@ PART_ROWS = 10_000
 
 
 def row_numbers(df: DataFrame, group: list[str], order: list[str | Column], name: str,
-                hot_rows: int = HOT_ROWS) -> DataFrame:
+                hot_rows: int | None = None) -> DataFrame:
     """Exact row number from 1 inside each group, in `order`.
 
     Groups up to `hot_rows` use one window. Larger ones are range-sorted over
@@ -26,6 +26,7 @@ def row_numbers(df: DataFrame, group: list[str], order: list[str | Column], name
     are checkpointed and numbered by local position plus the sizes of the
     earlier slices. No rows are dropped on either way.
     """
+    hot_rows = hot_rows or HOT_ROWS
     if not group:
         if df.count() <= hot_rows:
             one = Window.partitionBy(F.lit(0)).orderBy(*order)
@@ -58,7 +59,7 @@ def _number_sorted(df: DataFrame, group: list[str], order: list[str | Column], n
 
 
 def with_ordinal(df: DataFrame, group: list[str], order: list[str | Column], name: str = "ordinal",
-                 hot_rows: int = HOT_ROWS) -> DataFrame:
+                 hot_rows: int | None = None) -> DataFrame:
     """Position from 0 inside each group (array index)."""
     ranked = row_numbers(df, group, order, name, hot_rows)
     return ranked.withColumn(name, (F.col(name) - 1).cast("int"))

@@ -265,14 +265,14 @@ PAYLOAD = PAYLOAD_SQL.replace("{{", "{").replace("}}", "}")
 
 
 @query("request_payload", with_views(("fx_blocks",), f"""
-SELECT page_id, 0 AS part, count(*) AS n_items, {PAYLOAD} AS payload FROM fx_blocks GROUP BY page_id"""))
+SELECT page_id, CAST(ordinal // 10000 AS INT) AS part, count(*) AS n_items, {PAYLOAD} AS payload FROM fx_blocks GROUP BY page_id, part"""))
 def request_payload(t: Tables) -> DataFrame:
     return P.request_payload(t["fx_blocks"])
 
 
 @query("ready_requests", with_views(("fx_blocks",), f"""
-SELECT page_id, 0 AS part, count(*) AS n_items, count(*) FILTER (WHERE is_vertical) AS n_vertical, {PAYLOAD} AS payload
-FROM fx_blocks WHERE xmax > xmin AND ymax > ymin AND coalesce(type, 'bubble') <> 'onomatopoeia' GROUP BY page_id"""))
+SELECT page_id, CAST(ordinal // 10000 AS INT) AS part, count(*) AS n_items, count(*) FILTER (WHERE is_vertical) AS n_vertical, {PAYLOAD} AS payload
+FROM fx_blocks WHERE xmax > xmin AND ymax > ymin AND coalesce(type, 'bubble') <> 'onomatopoeia' GROUP BY page_id, part"""))
 def ready_requests(t: Tables) -> DataFrame:
     """Flagship: pages with their usable blocks as requests, and how many are vertical."""
     usable = B.visible_for(B.drop_degenerate(t["fx_blocks"]), "text", "ignore")
@@ -281,22 +281,26 @@ def ready_requests(t: Tables) -> DataFrame:
 
 
 @query("blocks_json", with_views(("fx_blocks",), """
-SELECT page_id, 0 AS part, count(*) AS n_items, '[' || string_agg(CAST(to_json(
+SELECT page_id, CAST(ordinal // 10000 AS INT) AS part, count(*) AS n_items, '[' || string_agg(CAST(to_json(
   {'id': block_id, 'original_text': original_text, 'translated_text': translated_text, 'ymin': round(ymin, 3), 'xmin': round(xmin, 3),
    'ymax': round(ymax, 3), 'xmax': round(xmax, 3), 'text_color': text_color, 'bg_color': bg_color,
    'font_size_pct': round(font_size_pct, 3), 'type': coalesce(type, 'bubble')}) AS VARCHAR), ',' ORDER BY ordinal) || ']' AS blocks_json
-FROM fx_blocks GROUP BY page_id"""))
+FROM fx_blocks GROUP BY page_id, part"""))
 def blocks_json(t: Tables) -> DataFrame:
     rounded = t["fx_blocks"].withColumns({c: F.round(c, 3) for c in (*BOX, "font_size_pct")})
     return P.blocks_json(rounded.withColumn("type", F.coalesce("type", F.lit("bubble"))))
 
 
 STYLE_TEXT = "Outfit-1-original-#FFFFFF-original-#000000-90-true-false-#000000-2-true-false-true-ignore-"
-HASH_SQL = f"""sha256('{STYLE_TEXT}' || string_agg(concat_ws('-', translated_text, text_color, bg_color, coalesce(type, 'bubble')), ',' ORDER BY ordinal))"""
+# The hash of the text, or of the part hashes where a page has more than one part.
+HASH_SQL = f"""
+SELECT page_id, CAST(sum(n) AS BIGINT) AS n_blocks, CASE WHEN count(*) = 1 THEN any_value(h) ELSE sha256(string_agg(h, ',' ORDER BY part)) END AS render_hash
+FROM (SELECT page_id, ordinal // 10000 AS part, count(*) AS n, sha256('{STYLE_TEXT}' || string_agg(
+        concat_ws('-', translated_text, text_color, bg_color, coalesce(type, 'bubble')), ',' ORDER BY ordinal)) AS h
+      FROM fx_blocks GROUP BY page_id, part) GROUP BY page_id"""
 
 
-@query("render_hash", with_views(("fx_blocks",), f"""
-SELECT page_id, {HASH_SQL} AS render_hash FROM fx_blocks GROUP BY page_id"""))
+@query("render_hash", with_views(("fx_blocks",), f"SELECT page_id, render_hash FROM ({HASH_SQL})"))
 def render_hash(t: Tables) -> DataFrame:
     return P.render_hash(t["fx_blocks"], StyleConfig())
 

@@ -38,7 +38,7 @@ def _pages_with_hash(t: Tables) -> DataFrame:
         "last_rendered_hash", F.when(F.col("page_id") % 2 == 1, F.col("render_hash")).otherwise(F.lit("old")))
 
 
-HASHED = (("hashed", f"SELECT page_id, count(*) AS n_blocks, {HASH_SQL} AS render_hash FROM fx_blocks GROUP BY page_id"),
+HASHED = (("hashed", HASH_SQL),
           ("hashed_pages", """SELECT p.*, n_blocks, render_hash, CASE WHEN p.page_id % 2 = 1 THEN render_hash ELSE 'old' END AS last_hash
             FROM fx_pages p LEFT JOIN hashed USING (page_id)"""))
 

@@ -74,16 +74,18 @@ SELECT page_id AS name, ordinal, block_id, original_text, translated_text, round
 def stored_blocks(t: Tables) -> DataFrame:
     """Block lists to JSON and back."""
     stored = P.blocks_json(t["fx_blocks"], "page_id")
-    lists = stored.select(F.col("page_id").alias("name"), F.from_json("blocks_json", f"array<{BLOCK.simpleString()}>").alias("blocks"))
+    lists = stored.select(F.col("page_id").alias("name"), "part", F.from_json("blocks_json", f"array<{BLOCK.simpleString()}>").alias("blocks"))
     return S.cached_blocks(lists).withColumns({c: F.round(c, 6) for c in (*BOX, "font_size_pct")})
 
 
 @query("layout_hash", with_views(("fx_blocks",), """
-SELECT page_id, sha256('Outfit-1-original-#FFFFFF-original-#000000-90-true-false-#000000-2-true-false-true-ignore-false-' || '[' || string_agg(CAST(to_json(
-  {'id': block_id, 'original_text': original_text, 'translated_text': translated_text, 'ymin': floor(ymin), 'xmin': floor(xmin),
-   'ymax': floor(ymax), 'xmax': floor(xmax), 'text_color': text_color, 'bg_color': bg_color,
-   'font_size_pct': floor(font_size_pct), 'type': coalesce(type, 'bubble')}) AS VARCHAR), ',' ORDER BY ordinal) || ']') AS layout_hash
-FROM fx_blocks GROUP BY page_id"""))
+SELECT page_id, CASE WHEN count(*) = 1 THEN any_value(h) ELSE sha256(string_agg(h, ',' ORDER BY part)) END AS layout_hash FROM (
+  SELECT page_id, ordinal // 10000 AS part,
+    sha256('Outfit-1-original-#FFFFFF-original-#000000-90-true-false-#000000-2-true-false-true-ignore-false-' || '[' || string_agg(CAST(to_json(
+      {'id': block_id, 'original_text': original_text, 'translated_text': translated_text, 'ymin': floor(ymin), 'xmin': floor(xmin),
+       'ymax': floor(ymax), 'xmax': floor(xmax), 'text_color': text_color, 'bg_color': bg_color,
+       'font_size_pct': floor(font_size_pct), 'type': coalesce(type, 'bubble')}) AS VARCHAR), ',' ORDER BY ordinal) || ']') AS h
+  FROM fx_blocks GROUP BY page_id, part) GROUP BY page_id"""))
 def layout_hash(t: Tables) -> DataFrame:
     """Whole percents keep the printed numbers equal in both engines."""
     whole = t["fx_blocks"].withColumns({c: F.floor(c).cast("double") for c in (*BOX, "font_size_pct")})

@@ -13,6 +13,7 @@ from ..functions.json_text import strict_json
 from ..functions.names import CACHE_FOLDER, is_page_image
 from ..operators.manifest import with_artifact_parts
 from ..operators.raster import CHANNELS, SOLID_TOLERANCE, within_tolerance
+from ..operators.ranking import PART_ROWS
 from ..schema import BLOCK
 
 PNG_MAGIC = "89504E470D0A1A0A"
@@ -85,9 +86,11 @@ def read_block_cache(spark: SparkSession, path: str) -> DataFrame:
 
 
 def cached_blocks(cache: DataFrame) -> DataFrame:
-    """`read_block_cache` rows as block rows with their ordinal."""
-    rows = cache.select("name", F.posexplode("blocks").alias("ordinal", "_b"))
-    return rows.select("name", "ordinal", *[F.col("_b")[f.name].alias("block_id" if f.name == "id" else f.name)
+    """`read_block_cache` rows as block rows with their ordinal. A `part` column counts parts of PART_ROWS blocks."""
+    first = F.col("part") * PART_ROWS if "part" in cache.columns else F.lit(0)
+    rows = cache.select("name", first.alias("_first"), F.posexplode_outer("blocks").alias("_pos", "_b")).where(
+        F.col("_pos").isNotNull())
+    return rows.select("name", (F.col("_first") + F.col("_pos")).alias("ordinal"), *[F.col("_b")[f.name].alias("block_id" if f.name == "id" else f.name)
                                             for f in BLOCK.fields])
 
 
