@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # The white space a browser trims (includes U+3000, NBSP and BOM).
 BROWSER_SPACE = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+BROWSER_SPACE_CHARS = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 # The characters that make a text count as Chinese, Japanese or Korean.
 CJK_CLASS = r"[\x{4E00}-\x{9FA5}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}]"
 
@@ -28,7 +29,7 @@ def number_or(value: Column, default: float) -> Column:
 
 
 def browser_trim(value: Column) -> Column:
-    return F.regexp_replace(value, f"^{BROWSER_SPACE}+|{BROWSER_SPACE}+$", "")
+    return F.btrim(value, F.lit(BROWSER_SPACE_CHARS))
 
 
 def round_half_up(value: Column) -> Column:
