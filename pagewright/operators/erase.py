@@ -118,7 +118,11 @@ def erase_page(pixels: DataFrame, blocks: DataFrame, onomatopoeia_mode: str = "i
 
 def finish_inpaint(original: DataFrame, inpainted: DataFrame, mask: DataFrame, sizes: DataFrame,
                    feather_radius: int) -> DataFrame:
-    """Smooth the inpainted pixels and blend them in along the mask edge."""
+    """Smooth the inpainted pixels and blend them in along the mask edge.
+
+    Only positions under the blurred mask are smoothed; no other is visible.
+    """
     keys = ["page_id"]
-    smooth = R.bilateral(inpainted.join(sizes.select("page_id", "cw", "ch"), keys), keys)
-    return R.feather_blend(original, smooth, mask, sizes, keys, feather_radius)
+    alpha = R.soft_mask(mask, sizes, keys, feather_radius)
+    smooth = R.bilateral(inpainted.join(sizes.select("page_id", "cw", "ch"), keys), keys, at=alpha)
+    return R.composite(original, smooth, alpha, keys)

@@ -89,9 +89,12 @@ def dilate(mask: DataFrame, sizes: DataFrame, keys: Sequence[str], radius: str =
 
 
 def flat_fill(pixels: DataFrame, mask: DataFrame, bg: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Masked pixels take the background colour; adds `is_filled`."""
-    marked = pixels.join(mask.select(*keys, "x", "y", F.lit(True).alias("_m")), [*keys, "x", "y"], "left")
-    joined = marked.join(bg.select(*keys, *[f"bg_{c}" for c in CHANNELS]), list(keys), "left")
+    """Masked pixels take the background colour; adds `is_filled`.
+
+    The colour goes onto the mask first, so the pixel table is joined once.
+    """
+    fills = mask.join(bg.select(*keys, *[f"bg_{c}" for c in CHANNELS]), list(keys)).withColumn("_m", F.lit(True))
+    joined = pixels.join(fills, [*keys, "x", "y"], "left")
     hit = F.coalesce(F.col("_m"), F.lit(False))
     filled = {c: F.when(hit, F.col(f"bg_{c}")).otherwise(F.col(c)).cast("int") for c in CHANNELS}
     return joined.withColumns({**filled, "is_filled": hit}).select(*pixels.columns, "is_filled")
@@ -155,7 +158,9 @@ def composite(original: DataFrame, filled: DataFrame, alpha: DataFrame, keys: Se
     """filled * alpha + original * (1 - alpha) per channel, cut to whole 0..255. No alpha row is alpha 0."""
     place = [*keys, "x", "y"]
     top = filled.select(*place, *[F.col(c).alias(f"_{c}") for c in CHANNELS])
-    joined = original.join(top, place, "left").join(alpha.select(*place, F.col("alpha").alias("_a")), place, "left")
+    # Only positions with alpha meet the filled picture, and the original is joined once.
+    over = alpha.select(*place, F.col("alpha").alias("_a")).join(top, place, "left")
+    joined = original.join(over, place, "left")
     a = F.coalesce(F.col("_a"), F.lit(0.0))
 
     def mixed(c: str) -> Column:
@@ -165,22 +170,25 @@ def composite(original: DataFrame, filled: DataFrame, alpha: DataFrame, keys: Se
     return joined.withColumns({c: mixed(c) for c in CHANNELS}).select(*original.columns)
 
 
+def soft_mask(mask: DataFrame, sizes: DataFrame, keys: Sequence[str], radius: int) -> DataFrame:
+    """(keys, x, y, alpha): the blurred mask, or the plain one for a radius of 0 or less."""
+    if radius <= 0:
+        return mask.select(*keys, "x", "y", F.lit(1.0).alias("alpha"))
+    return blur_mask(mask, sizes, keys, radius)
+
+
 def feather_blend(original: DataFrame, filled: DataFrame, mask: DataFrame, sizes: DataFrame, keys: Sequence[str],
                   radius: int) -> DataFrame:
     """Blend along a blurred mask edge; a radius of 0 or less copies the masked pixels."""
-    if radius <= 0:
-        alpha = mask.select(*keys, "x", "y", F.lit(1.0).alias("alpha"))
-    else:
-        alpha = blur_mask(mask, sizes, keys, radius)
-    return composite(original, filled, alpha, keys)
+    return composite(original, filled, soft_mask(mask, sizes, keys, radius), keys)
 
 
 def bilateral(sized: DataFrame, keys: Sequence[str], radius: int = 2, sigma_colour: float = 50.0,
-              sigma_space: float = 50.0) -> DataFrame:
+              sigma_space: float = 50.0, at: DataFrame | None = None) -> DataFrame:
     """Edge-preserving mean over a disc; colour distance is the sum over channels.
 
-    Every pixel is sent to the positions that read it (at most the disc size,
-    plus mirror reads at the border), then joined with the centre and averaged.
+    Each position reads the pixels of its disc (13 at radius 2), mirrored at the
+    border. `at` limits the work to the positions (keys, x, y) that are needed.
     """
     disc = [(dx, dy) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1)
             if dx * dx + dy * dy <= radius * radius]
@@ -188,7 +196,8 @@ def bilateral(sized: DataFrame, keys: Sequence[str], radius: int = 2, sigma_colo
                               F.lit(math.exp(-(dx * dx + dy * dy) / (2 * sigma_space ** 2))).alias("w"))
                      for dx, dy in disc])
     place = [*keys, "x", "y"]
-    reads = sized.select(*place, *[F.col(c).alias(f"c_{c}") for c in CHANNELS], "cw", "ch",
+    centres = sized if at is None else sized.join(at.select(*place), place, "left_semi")
+    reads = centres.select(*place, *[F.col(c).alias(f"c_{c}") for c in CHANNELS], "cw", "ch",
                          F.explode(taps).alias("_t")).select(
         *keys, reflect(F.col("x") + F.col("_t.dx"), F.col("cw")).alias("_x"),
         reflect(F.col("y") + F.col("_t.dy"), F.col("ch")).alias("_y"), "x", "y", "_t.w",
@@ -266,3 +275,35 @@ def crop_pixels(pixels: DataFrame, rects: DataFrame, tile: int = TILE) -> DataFr
     return tiled.join(listed, ["page_id", "_tx", "_ty"]).where(inside).select(
         "page_id", "ordinal", (F.col("x") - F.col("x0")).alias("x"), (F.col("y") - F.col("y0")).alias("y"),
         *CHANNELS, "x0", "y0")
+
+
+def paint_covers(pixels: DataFrame, covers: DataFrame, tile: int = TILE) -> DataFrame:
+    """Page pixels under cover rectangles in block order.
+
+    `covers`: page_id, ordinal, x, y, w, h in exact pixels, cover_color
+    (#rrggbb), cover_alpha. A pixel belongs to a rectangle that holds its
+    centre. Pixels without a cover keep their row unchanged.
+    """
+    def edge(value: Column) -> Column:
+        return F.ceil(value - 0.5).cast("int")
+
+    def part(start: int) -> Column:
+        return F.conv(F.substring("cover_color", start, 2), 16, 10).cast("int")
+
+    rects = covers.select("page_id", "ordinal", edge(F.col("x")).alias("x0"), edge(F.col("y")).alias("y0"),
+                          edge(F.col("x") + F.col("w")).alias("x1"), edge(F.col("y") + F.col("h")).alias("y1"))
+    paint = covers.select("page_id", "ordinal", part(6).alias("_b"), part(4).alias("_g"), part(2).alias("_r"),
+                          F.col("cover_alpha").alias("_a"))
+    hits = crop_pixels(pixels, rects, tile).join(paint, ["page_id", "ordinal"])
+    # The layers of one pixel: as many as blocks overlap there.
+    layers = F.array_sort(F.collect_list(F.struct("ordinal", "_b", "_g", "_r", "_a")))
+    place = [F.col("page_id"), (F.col("x") + F.col("x0")).alias("x"), (F.col("y") + F.col("y0")).alias("y")]
+    stacked = hits.groupBy(*place).agg(layers.alias("_layers"))
+    joined = pixels.join(stacked, ["page_id", "x", "y"], "left")
+
+    def mixed(c: str) -> Column:
+        painted = F.aggregate("_layers", F.col(c).cast("double"),
+                              lambda under, top: top[f"_{c}"] * top["_a"] + under * (1 - top["_a"]))
+        return F.when(F.col("_layers").isNull(), F.col(c)).otherwise(F.floor(painted + 0.5).cast("int"))
+
+    return joined.withColumns({c: mixed(c) for c in CHANNELS}).select(*pixels.columns)

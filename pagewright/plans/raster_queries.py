@@ -245,6 +245,33 @@ def crop_pixels(t: Tables) -> DataFrame:
     return R.crop_pixels(crops(t).withColumnRenamed("crop_id", "page_id"), areas, tile=4)
 
 
+COVERS = (("covers", """SELECT vec_id AS page_id, i AS ordinal, CASE i WHEN 0 THEN 1.2e0 ELSE CAST(vec_id % 4 AS DOUBLE) END AS x0, CASE i WHEN 0 THEN 2e0 ELSE 0.5e0 END AS y0,
+    CASE i WHEN 0 THEN 5.7e0 ELSE 8e0 END AS x1, CASE i WHEN 0 THEN 8e0 ELSE 3.5e0 END AS y1, CASE i WHEN 0 THEN 255 ELSE 16 END AS cr, CASE i WHEN 0 THEN 255 ELSE 32 END AS cg,
+    CASE i WHEN 0 THEN 255 ELSE 48 END AS cb FROM embeddings, (VALUES (0), (1)) v(i)"""),
+          ("layered", """SELECT p.*, c0.page_id IS NOT NULL AS h0, c1.page_id IS NOT NULL AS h1 FROM px p
+    LEFT JOIN covers c0 ON c0.ordinal = 0 AND c0.page_id = crop_id AND x + 0.5e0 >= c0.x0 AND x + 0.5e0 < c0.x1 AND y + 0.5e0 >= c0.y0 AND y + 0.5e0 < c0.y1
+    LEFT JOIN covers c1 ON c1.ordinal = 1 AND c1.page_id = crop_id AND x + 0.5e0 >= c1.x0 AND x + 0.5e0 < c1.x1 AND y + 0.5e0 >= c1.y0 AND y + 0.5e0 < c1.y1"""))
+
+
+def painted_sql(c: str, top: int) -> str:
+    first = f"CASE WHEN h0 THEN 255 * 0.75e0 + {c} * (1 - 0.75e0) ELSE CAST({c} AS DOUBLE) END"
+    both = f"CASE WHEN h1 THEN {top} * 0.75e0 + ({first}) * (1 - 0.75e0) ELSE {first} END"
+    return f"CASE WHEN h0 OR h1 THEN CAST(floor({both} + 0.5e0) AS INT) ELSE {c} END AS {c}"
+
+
+@query("painted_covers", with_views(("fx_colour_pixels",), "SELECT crop_id AS page_id, x, y, " + ", ".join(
+    painted_sql(c, top) for c, top in (("b", 48), ("g", 32), ("r", 16))) + " FROM layered", PX + COVERS))
+def painted_covers(t: Tables) -> DataFrame:
+    """Two overlapping covers per crop, the second on top."""
+    second = (F.col("vec_id") % 4).cast("double")
+    rect = F.array(*[F.struct(*[v.alias(n) for n, v in zip(("ordinal", "x", "y", "x1", "y1", "cover_color"), map(F.lit, r))])
+                     for r in ((0, 1.2, 2.0, 5.7, 8.0, "#ffffff"), (1, 0.0, 0.5, 8.0, 3.5, "#102030"))])
+    rows = t["embeddings"].select(F.col("vec_id").alias("page_id"), second.alias("_s"), F.explode(rect).alias("q")).select("page_id", "_s", "q.*")
+    rows = rows.withColumn("x", F.when(F.col("ordinal") == 1, F.col("_s")).otherwise(F.col("x")))
+    covers = rows.withColumns({"w": F.col("x1") - F.col("x"), "h": F.col("y1") - F.col("y"), "cover_alpha": F.lit(0.75)})
+    return R.paint_covers(crops(t).withColumnRenamed("crop_id", "page_id"), covers)
+
+
 HALVES = (("half", """SELECT crop_id * 2 + i AS k, crop_id, i AS ordinal, x, x - 4 * i AS cx, y, b, g, r, 4 AS cw, 8 AS ch
     FROM fx_colour_pixels, (VALUES (0), (1)) v(i) WHERE x >= 4 * i AND x < 4 * i + 4"""),
           ("half_px", "SELECT k, cx AS x, y, b, g, r, cw, ch FROM half"), *mask_ctes("k", "half_px"),
