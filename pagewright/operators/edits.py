@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..session import ensure_checkpoint_dir
+from .ranking import row_numbers
 
 BOX = ("xmin", "ymin", "xmax", "ymax")
 # A block made by hand in the viewer.
@@ -15,6 +17,7 @@ NEW_BLOCK = {
 }
 DEBOUNCE = "800 milliseconds"
 CELLS_PER_BLOCK = 1024
+DRAGS_PER_STEP = 100_000
 
 
 def new_blocks(requests: DataFrame) -> DataFrame:
@@ -96,6 +99,34 @@ def apply_edits(blocks: DataFrame, edits: DataFrame) -> DataFrame:
     return kept.select(*[value(c).alias(c) for c in blocks.columns])
 
 
+def fold_drags(blocks: DataFrame, drags: DataFrame, part_rows: int = DRAGS_PER_STEP) -> DataFrame:
+    """Boxes after drags that are known by their distances only.
+
+    `drags`: page_id, block_id, ts, seq, op (move or resize), dx, dy. Each drag
+    starts where the one before it ended, so they apply in (ts, seq) order. A
+    block with more than `part_rows` drags takes several steps; no list grows
+    past `part_rows`.
+    """
+    keys = ["page_id", "block_id"]
+    cut = row_numbers(drags, keys, ["ts", "seq"], "_n").withColumn("_part", F.floor((F.col("_n") - 1) / part_rows))
+    lists = cut.groupBy(*keys, "_part").agg(F.array_sort(F.collect_list(F.struct("_n", "op", "dx", "dy"))).alias("_drags"))
+    last = lists.agg(F.max("_part")).head()[0]
+    if last is None:
+        return blocks
+    if last > 0:
+        ensure_checkpoint_dir(blocks.sparkSession)
+        lists = lists.checkpoint()
+    for part in range(last + 1):
+        joined = blocks.join(lists.where(F.col("_part") == part).drop("_part"), keys, "left")
+        box = F.aggregate(F.coalesce("_drags", F.array().cast("array<struct<_n:bigint,op:string,dx:double,dy:double>>")),
+                          F.struct(*BOX), lambda s, d: drag_box({c: s[c] for c in BOX}, d["op"], d["dx"], d["dy"]))
+        moved = joined.withColumn("_box", box)
+        blocks = moved.select(*[F.col(f"_box.{c}").alias(c) if c in BOX else F.col(c) for c in blocks.columns])
+        if part < last:
+            blocks = blocks.checkpoint()
+    return blocks
+
+
 def latest_progress(events: DataFrame) -> DataFrame:
     """(page_id, progress) at the latest time."""
     return events.groupBy("page_id").agg(F.max_by("progress", F.struct("ts", "seq")).alias("progress"))

@@ -90,6 +90,39 @@ def apply_edits(t: Tables) -> DataFrame:
     return D.apply_edits(blocks, edits).withColumns({c: F.round(c, 6) for c in BOX})
 
 
+def _step(low: str, high: str, delta: str) -> tuple[str, str]:
+    """New ends of one axis after a move, and the new upper end after a resize."""
+    size = f"(s.{high} - s.{low})"
+    down = f"s.{low} + e.{delta} < 0"
+    new_high = f"CASE WHEN {down} THEN {size} ELSE s.{high} + e.{delta} END"
+    move_low = f"CASE WHEN {new_high} > 100 THEN 100 - {size} WHEN {down} THEN 0e0 ELSE s.{low} + e.{delta} END"
+    move_high = f"CASE WHEN {new_high} > 100 THEN 100e0 ELSE {new_high} END"
+    return (f"CASE WHEN e.op = 'resize' THEN s.{low} ELSE {move_low} END",
+            f"CASE WHEN e.op = 'resize' THEN least(100e0, greatest(s.{low} + 2, s.{high} + e.{delta})) ELSE {move_high} END")
+
+
+X_STEP, Y_STEP = _step("xmin", "xmax", "dx"), _step("ymin", "ymax", "dy")
+FOLDED = (
+    ("base", "SELECT page_id, 'b' || ordinal AS block_id, ordinal, xmin, ymin, xmax, ymax FROM fx_blocks"),
+    ("drags", """SELECT page_id, block_id, list({'op': CASE op WHEN 'move' THEN 'move' ELSE 'resize' END, 'dx': CAST(dx - 5 AS DOUBLE), 'dy': CAST(dy - 10 AS DOUBLE),
+        'xmin': 0e0, 'ymin': 0e0, 'xmax': 0e0, 'ymax': 0e0} ORDER BY ts, seq) AS steps FROM fx_edits WHERE op IN ('move', 'type') GROUP BY page_id, block_id"""),
+    ("folded", f"""SELECT page_id, block_id, ordinal, list_reduce(coalesce(steps, []), lambda s, e: {{'op': e.op, 'dx': e.dx, 'dy': e.dy,
+        'xmin': {X_STEP[0]}, 'ymin': {Y_STEP[0]}, 'xmax': {X_STEP[1]}, 'ymax': {Y_STEP[1]}}},
+        {{'op': '', 'dx': 0e0, 'dy': 0e0, 'xmin': xmin, 'ymin': ymin, 'xmax': xmax, 'ymax': ymax}}) AS r FROM base LEFT JOIN drags USING (page_id, block_id)"""),
+)
+
+
+@query("folded_drags", with_views(("fx_blocks", "fx_edits"), """
+SELECT page_id, block_id, ordinal, round(r.xmin, 6) AS xmin, round(r.ymin, 6) AS ymin, round(r.xmax, 6) AS xmax, round(r.ymax, 6) AS ymax FROM folded""", FOLDED))
+def folded_drags(t: Tables) -> DataFrame:
+    """Drags one after another: purchases move a block, sign-ups resize it."""
+    blocks = t["fx_blocks"].select("page_id", F.concat(F.lit("b"), F.col("ordinal").cast("string")).alias("block_id"), "ordinal", *BOX)
+    drags = t["fx_edits"].where(F.col("op").isin("move", "type")).select(
+        "page_id", "block_id", "ts", "seq", F.when(F.col("op") == "move", "move").otherwise("resize").alias("op"),
+        (F.col("dx") - 5).alias("dx"), (F.col("dy") - 10).alias("dy"))
+    return D.fold_drags(blocks, drags).withColumns({c: F.round(c, 6) for c in BOX})
+
+
 @query("created_blocks", """
 SELECT user_id AS page_id, 'n' || event_id AS block_id, '' AS original_text, '新文字框' AS translated_text, 40e0 AS xmin, 60e0 AS xmax,
   40e0 AS ymin, 48e0 AS ymax, '#FFFFFF' AS text_color, '#000000' AS bg_color, 2.2e0 AS font_size_pct, 'bubble' AS type FROM events""")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.names import is_page_image
+from ..operators.ranking import last_wins
+from ..plugins import run_ocr
 from ..schema import BINARY_FILE
 from ..sources.files import file_name
 
@@ -34,3 +36,21 @@ def start_intake(pages: DataFrame, work: Callable[[DataFrame, int], None], check
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
+
+
+def ocr_to_table(engine: Callable[[], Callable[[bytes], list[dict]]], path: str) -> Callable[[DataFrame, int], None]:
+    """Work for `start_intake`: append OCR replies and errors per page to a Parquet table.
+
+    The batch id is the version, so a repeated batch is recognised; see
+    `latest_replies`.
+    """
+    def work(batch: DataFrame, batch_id: int) -> None:
+        replies = run_ocr(batch, engine).withColumn("version", F.lit(batch_id).cast("long"))
+        replies.write.mode("append").parquet(path)
+
+    return work
+
+
+def latest_replies(spark: SparkSession, path: str) -> DataFrame:
+    """One row per page: page_id, reply, error of its newest batch."""
+    return last_wins(spark.read.parquet(path), ["page_id"], ["version"]).drop("version")

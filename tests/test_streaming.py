@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pagewright.operators import edits as D
 from pagewright.streaming import edits as T
-from pagewright.streaming.intake import page_stream, start_intake
+from pagewright.streaming.intake import latest_replies, ocr_to_table, page_stream, start_intake
 from pagewright.streaming.state import page_state_stream
 
 START = dt.datetime(2024, 1, 1)
@@ -83,6 +83,62 @@ def test_page_state(spark, tmp_path):
     assert (1, "failed", 40, "boom", 1) in {tuple(r) for r in updates}
 
 
+def test_progress_stream(spark, tmp_path):
+    columns = "page_id long, seq long, ts timestamp, progress int"
+    batches = [[(1, 1, at(0), 10), (2, 2, at(0), 5)], [(1, 4, at(9), 90), (1, 3, at(5), 30)]]
+    updates = drain(D.latest_progress(stream_of(spark, tmp_path, batches, columns)), tmp_path, "progress", "update").collect()
+    assert sorted(map(tuple, updates)) == [(1, 10), (1, 90), (2, 5)]
+
+
+def test_intake_writes_replies(spark, tmp_path):
+    source, table = tmp_path / "pages", str(tmp_path / "replies")
+    source.mkdir()
+    for name in ("a.png", "b.png"):
+        (source / name).write_bytes(name.encode())
+
+    def engine():
+        def detect(content):
+            if content == b"b.png":
+                raise ValueError("broken")
+            return [{"text": "x", "box": [[0, 0], [1, 0], [1, 1], [0, 1]], "confidence": 1.0}]
+
+        return detect
+
+    work = ocr_to_table(engine, table)
+    query = start_intake(page_stream(spark, str(source)), work, str(tmp_path / "ck"), available_now=True)
+    query.awaitTermination(120)
+    assert query.exception() is None
+    work(page_batch(spark, source), 0)  # the same batch once more
+    got = {r.page_id.rsplit("/", 1)[1]: (r.reply is not None, r.error) for r in latest_replies(spark, table).collect()}
+    assert got == {"a.png": (True, None), "b.png": (False, "broken")}
+
+
+def page_batch(spark, source):
+    files = spark.read.format("binaryFile").load(str(source))
+    return files.select(F.col("path").alias("page_id"), "content")
+
+
+def test_fold_drags_in_steps(spark):
+    blocks = spark.createDataFrame([(1, "b0", 10.0, 10.0, 30.0, 20.0), (1, "b1", 0.0, 0.0, 5.0, 5.0)],
+                                   "page_id int, block_id string, xmin double, ymin double, xmax double, ymax double")
+    rows, box = [], [10.0, 10.0, 30.0, 20.0]
+    for i in range(57):
+        dx, dy, op = (i * 37) % 50 - 25.0, (i * 23) % 40 - 20.0, "resize" if i % 4 == 3 else "move"
+        rows.append((1, "b0", at(i // 2), i, op, dx, dy))
+        for low, high, d in ((0, 2, dx), (1, 3, dy)):
+            if op == "resize":
+                box[high] = min(100, max(box[low] + 2, box[high] + d))
+            else:
+                size = box[high] - box[low]
+                new = (0.0, size) if box[low] + d < 0 else (box[low] + d, box[high] + d)
+                box[low], box[high] = (100 - size, 100.0) if new[1] > 100 else new
+    drags = spark.createDataFrame(rows, "page_id int, block_id string, ts timestamp, seq int, op string, dx double, dy double")
+    for part_rows in (1000, 10):
+        got = {r.block_id: tuple(r)[2:] for r in D.fold_drags(blocks, drags, part_rows).collect()}
+        assert [round(v, 6) for v in got["b0"]] == [round(v, 6) for v in box] and got["b1"] == (0.0, 0.0, 5.0, 5.0)
+    assert D.fold_drags(blocks, drags.limit(0)).count() == 2
+
+
 def test_latest_progress(spark):
     rows = spark.createDataFrame([(1, 1, at(0), 10), (1, 3, at(5), 30), (1, 2, at(5), 20)], "page_id int, seq int, ts timestamp, progress int")
     assert [tuple(r) for r in D.latest_progress(rows).collect()] == [(1, 30)]
