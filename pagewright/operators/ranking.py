@@ -77,12 +77,13 @@ def neighbours(df: DataFrame, group: list[str], position: str, value: str, befor
     edge = F.struct(position, F.col(value).alias("v"))
     edges = cut.groupBy(*keys).agg(F.min(edge).alias("_lo"), F.max(edge).alias("_hi"))
     over_parts = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_part")
-    edges = edges.select(*keys, F.lag("_hi.v").over(over_parts).alias("_prev"),
+    edges = edges.select(*[F.col(k).alias(f"_e{i}") for i, k in enumerate(keys)], F.lag("_hi.v").over(over_parts).alias("_prev"),
                          F.lead("_lo.v").over(over_parts).alias("_next"),
                          F.col(f"_lo.{position}").alias("_first"), F.col(f"_hi.{position}").alias("_last"))
     inside = Window.partitionBy(*keys).orderBy(position)
     local = cut.withColumn(before, F.lag(value).over(inside)).withColumn(after, F.lead(value).over(inside))
-    joined = local.join(edges, keys)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_e{i}")) for i, k in enumerate(keys)])
+    joined = local.join(edges, same)  # null-safe: a group without a key is a group too
     return (joined
             .withColumn(before, F.when(F.col(position) == F.col("_first"), F.col("_prev")).otherwise(F.col(before)))
             .withColumn(after, F.when(F.col(position) == F.col("_last"), F.col("_next")).otherwise(F.col(after)))

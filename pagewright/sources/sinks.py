@@ -1,4 +1,4 @@
-"""Block lists and artifacts as append-only Parquet tables.
+"""Block lists and artifacts as append-only Parquet tables, and as files of a page folder.
 
 Every write adds rows with a version; readers take the newest version per key.
 A repeated or half-finished write therefore never damages earlier content, and
@@ -7,14 +7,22 @@ nothing is rewritten in place.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pandas as pd
+from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.names import CACHE_FOLDER
+
 from ..operators.payload import blocks_json
 from ..operators.ranking import PART_ROWS, last_wins
 from ..schema import BLOCK
 
 BUCKETS = 256
+FILE_RESULT = "path string, error string"
 
 
 def _with_bucket(df: DataFrame, key: str) -> DataFrame:
@@ -61,3 +69,69 @@ def read_artifacts(spark: SparkSession, path: str, with_content: bool = True) ->
 def replace_pages(new: DataFrame, path: str) -> None:
     """The manifest of a newly opened folder replaces the old one."""
     new.write.mode("overwrite").parquet(path)
+
+
+def _open_folder(path: str) -> tuple[arrow_fs.FileSystem, str]:
+    if path.startswith("file:"):
+        return arrow_fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    if path.startswith("/"):
+        return arrow_fs.LocalFileSystem(), path
+    return arrow_fs.FileSystem.from_uri(quote(path, safe="/:@?=&%"))
+
+
+def write_block_files(blocks: DataFrame, folder: str, part_rows: int = PART_ROWS) -> DataFrame:
+    """Write `<page_name>_blocks.json` into the cache folder, one file per page; gives (path, error).
+
+    Executors write the files when the result is read. The parts of a page come
+    in order and are appended to the open file, so memory holds one batch only.
+    A repeated task writes the same file again.
+    """
+    parts = blocks_json(blocks, "page_name", part_rows).repartition("page_name").sortWithinPartitions("page_name", "part")
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, root = _open_folder(f"{folder}/{CACHE_FOLDER}")
+        files.create_dir(root, recursive=True)
+        page, stream, done = None, None, []
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                if row.page_name != page:
+                    if stream:
+                        stream.write(b"]")
+                        stream.close()
+                    page = row.page_name
+                    path = f"{root}/{page}_blocks.json"
+                    stream = files.open_output_stream(path)
+                    stream.write(b"[")
+                    done.append(path)
+                else:
+                    stream.write(b",")
+                stream.write(row.blocks_json[1:-1].encode())
+            yield pd.DataFrame({"path": done, "error": None}, columns=["path", "error"])
+            done = []
+        if stream:
+            stream.write(b"]")
+            stream.close()
+
+    return parts.mapInPandas(write, FILE_RESULT)
+
+
+def delete_files(listing: DataFrame) -> DataFrame:
+    """Delete the files of `path` (such as orphans); gives (path, error). A file that is gone already is no error.
+
+    Executors delete when the result is read.
+    """
+    def delete(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            errors = []
+            for path in batch["path"]:
+                try:
+                    files, name = _open_folder(path)
+                    files.delete_file(name)
+                    errors.append(None)
+                except FileNotFoundError:
+                    errors.append(None)
+                except (OSError, ValueError) as failure:
+                    errors.append(str(failure))
+            yield pd.DataFrame({"path": batch["path"], "error": errors})
+
+    return listing.select("path").mapInPandas(delete, FILE_RESULT)

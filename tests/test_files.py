@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pagewright import plugins as V
 from pagewright.operators import raster as R
+from pagewright.operators.manifest import orphans
 from pagewright.plans.translate import lay_out, translate_folder
 from pagewright.schema import BLOCK_FIELDS, RunConfig, StyleConfig
 from pagewright.sources import files as S
@@ -142,6 +143,23 @@ def test_block_sink_keeps_newest(spark, tmp_path):
     assert set(got[0].asDict()) - {"page_name", "ordinal"} == set(BLOCK_FIELDS) - {"id"} | {"block_id"}
 
 
+def test_block_files_and_cleanup(spark, tmp_path):
+    folder = str(tmp_path)
+    many = stored_blocks(spark, "many").withColumn("page_name", F.lit("a b.png"))
+    one = stored_blocks(spark, "one", 1)
+    written = K.write_block_files(many.unionByName(one), folder, part_rows=10).collect()
+    assert sorted(r.path.rsplit("/", 1)[1] for r in written) == ["a b.png_blocks.json", "p.png_blocks.json"]
+    assert {r.error for r in written} == {None}
+    rows = S.cached_blocks(S.read_block_cache(spark, folder)).orderBy("name", "ordinal").collect()
+    assert [(r.name, r.ordinal, r.block_id) for r in rows] == [("a b.png", i, f"b{i}") for i in range(25)] + [("p.png", 0, "b0")]
+    pages = spark.createDataFrame([("p.png",)], "name string")
+    gone = orphans(S.list_artifacts(spark, folder), pages)
+    assert [r.error for r in K.delete_files(gone).collect()] == [None]
+    assert [p.name for p in (tmp_path / "translation_cache").iterdir() if p.suffix == ".json"] == ["p.png_blocks.json"]
+    missing = spark.createDataFrame([(folder + "/nothing.png",)], "path string")
+    assert K.delete_files(missing).head().error is None
+
+
 def test_artifact_sink(spark, tmp_path):
     path = str(tmp_path / "artifacts")
     rows = lambda tag: spark.createDataFrame([("p", "erased", tag, bytearray(tag.encode()))],

@@ -43,11 +43,11 @@ def test_ordinals_of_line_items(spark):
 
 
 def test_neighbours_across_slices_and_gaps(spark):
-    df = spark.createDataFrame([(g, p, f"{g}-{p}") for g in (1, 2) for p in (0, 1, 2, 5, 9, 10, 31)], "g int, p int, v string")
+    df = spark.createDataFrame([(g, p, f"{g}-{p}") for g in (1, 2, None) for p in (0, 1, 2, 5, 9, 10, 31)], "g int, p int, v string")
     w = Window.partitionBy("g").orderBy("p")
     want = df.withColumn("a", F.lag("v").over(w)).withColumn("b", F.lead("v").over(w))
     got = K.neighbours(df, ["g"], "p", "v", "a", "b", part_rows=3)
-    key = lambda r: (r[0], r[1])
+    key = lambda r: (r[0] or 0, r[1])
     assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
 
 
