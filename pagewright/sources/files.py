@@ -18,6 +18,8 @@ from ..schema import BLOCK
 
 PNG_MAGIC = "89504E470D0A1A0A"
 STRIP_ROWS = 64
+# Byte runs that are unpacked into pixel rows at once.
+RUNS_PER_YIELD = 512
 DECODE_ERROR = "Failed to decode image"
 PIXELS = "page_id string, x int, y int, b int, g int, r int"
 
@@ -194,15 +196,14 @@ def read_crops(images: DataFrame, rects: DataFrame, rows: int = STRIP_ROWS) -> D
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for n, part in batch.groupby("n_channels"):
-                lengths = part["run"].map(len).to_numpy() // n
-                bgr = _bgr(b"".join(part["run"]), n)
-                ends = np.cumsum(lengths)
-                x = np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)
-                yield pd.DataFrame({"page_id": np.repeat(part["page_id"].to_numpy(), lengths),
-                                    "ordinal": np.repeat(part["ordinal"].to_numpy(), lengths), "x": x,
-                                    "y": np.repeat(part["y"].to_numpy(), lengths),
-                                    "b": bgr[:, 0], "g": bgr[:, 1], "r": bgr[:, 2]})
+            for start in range(0, len(batch), RUNS_PER_YIELD):
+                for n, part in batch[start:start + RUNS_PER_YIELD].groupby("n_channels"):
+                    lengths = part["run"].map(len).to_numpy() // n
+                    bgr = _bgr(b"".join(part["run"]), n)
+                    ends = np.cumsum(lengths)
+                    x = np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)
+                    repeated = {c: np.repeat(part[c].to_numpy(), lengths) for c in ("page_id", "ordinal", "y")}
+                    yield pd.DataFrame({**repeated, "x": x, "b": bgr[:, 0], "g": bgr[:, 1], "r": bgr[:, 2]})
 
     return runs.mapInPandas(explode, "page_id string, ordinal int, x int, y int, b int, g int, r int")
 
