@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import held_out, sample_texts, strings
 
-DIMS = 1 << 14
+DIMS = 1 << 13
 CENTROIDS = 4
-SAMPLE_PER_LANG = 600  # bound of the labelled sample
+SAMPLE_PER_LANG = 400  # bound of the labelled sample
 REJECT_QUANTILE = 0.001
 REJECT_SLACK = 0.4
 SHARPNESS = 25.0
@@ -89,18 +89,20 @@ def _k_means(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 def fit_texts(samples: list[tuple[str, str]]) -> LangModel:
     """A model from (lang, text) pairs; pairs without a letter teach nothing."""
-    rows, names = [], []
+    tf, names = np.zeros((len(samples), DIMS), np.float32), []
     for lang, text in samples:
         c = counts(text)
         if c is not None:
-            rows.append(c.astype(np.float32))
+            tf[len(names)] = c
             names.append(lang)
-    if not rows:
+    tf = tf[:len(names)]
+    if not names:
         return LangModel((), np.ones(DIMS, np.float32), np.zeros((DIMS, 0), np.float32), np.zeros(0, int), np.zeros(16))
-    tf = np.array(rows)
     grams = tf.sum(axis=1)
     idf = np.log((1 + len(tf)) / (1 + (tf > 0).sum(axis=0))).astype(np.float32) + 1
-    x = _units(np.log1p(tf) * idf)
+    x = np.log1p(tf, out=tf)  # in place: the driver holds the sample's vectors once
+    x *= idf
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     langs = tuple(sorted(set(names)))
     own = np.array([langs.index(n) for n in names])
     parts = [_k_means(x[own == i], CENTROIDS) for i in range(len(langs))]
