@@ -120,12 +120,16 @@ def fit_texts(samples: list[tuple[str, str]]) -> LangModel:
 def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> LangModel:
     """Learns from at most `per_lang` training texts of every non-null language.
 
-    Only ids are ranked; ranks above the limit are dropped in every task before
-    rows of a language meet.
+    Ids are taken in hash order. Languages are counted first, and of a large
+    one only the ids in the lowest part of the hash range, about four times the
+    limit, are ranked: what meets in one task does not grow with the table.
     """
-    ids = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & ~held_out())
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = ids.withColumn("_n", F.row_number().over(by_hash)).where(F.col("_n") <= per_lang).drop("_n")
+    ids = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & ~held_out()).withColumn("_h", F.xxhash64("doc_id"))
+    sizes = ids.groupBy("lang").agg(F.count("*").alias("_all"))
+    low = F.shiftrightunsigned("_h", 1) <= F.lit(4.0 * per_lang) / F.col("_all") * float(1 << 63)
+    by_hash = Window.partitionBy("lang").orderBy("_h", "doc_id")
+    ranked = ids.join(F.broadcast(sizes), "lang").where(low).withColumn("_n", F.row_number().over(by_hash))  # one size per language
+    chosen = ranked.where(F.col("_n") <= per_lang).select("doc_id", "lang")
     rows = sample_texts(docs, chosen, "lang")
     return fit_texts([(lang, b"".join(pieces).decode("utf-8", "ignore")) for lang, _, pieces in rows])
 
@@ -152,33 +156,33 @@ def classify(texts: list[str], model: LangModel) -> tuple[list[str], list[float]
     return langs, scores, rejected
 
 
-def predict(docs: DataFrame, model: LangModel, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, rejected) and the columns in `keep`, one row per document row.
+def predict(docs: DataFrame, model: LangModel) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score, rejected), one row per document row.
 
     A null text or one without a letter is `und` with score 0 and is rejected.
     So is every text if there was nothing to learn from. Equal cosines go to
     the language that sorts first. Repeated rows are judged alike; an empty
     table gives an empty result; other columns are ignored.
     """
-    columns = ["doc_id", *[c for c in keep if c not in ("doc_id", "text")]]
 
     def judge(batches):
         for batch in batches:
             langs, scores, rejected = classify(strings(batch.column("text")), model)
-            arrays = {c: batch.column(c) for c in batch.schema.names if c != "text" or "text" in keep}
-            arrays |= {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64()),
-                       "rejected": pa.array(rejected, pa.bool_())}
-            yield pa.RecordBatch.from_arrays(list(arrays.values()), list(arrays))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())],
+                ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
-    chosen = docs.select(*columns, "text").withColumn("held_out", held_out())
-    out = [f for f in chosen.schema if f.name != "text" or "text" in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out)
-    return chosen.mapInArrow(judge, schema + ", lang_pred string, score double, rejected boolean")
+    chosen = docs.select("doc_id", "text").withColumn("held_out", held_out())
+    kind = chosen.schema["doc_id"].dataType.simpleString()
+    return chosen.mapInArrow(judge, f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def keep_known(docs: DataFrame, model: LangModel) -> DataFrame:
-    """The documents that are not rejected, with their own columns."""
-    kept = predict(docs, model, tuple(docs.columns)).where(~F.col("rejected"))
-    return kept.select(*docs.columns)
+    """The documents that are not rejected, with all their columns."""
 
+    def known(batches):
+        for batch in batches:
+            rejected = classify(strings(batch.column("text")), model)[2]
+            yield batch.filter(pa.array([not r for r in rejected], pa.bool_()))
 
+    return docs.mapInArrow(known, docs.schema)

@@ -16,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import held_out, labelled, sample_texts, utf8
 
@@ -112,29 +111,30 @@ def fit_texts(good: list[list[bytes]], bad: list[list[bytes]]) -> QualityModel:
     return QualityModel(books[0], books[1], tuple(float(v) for v in w))
 
 
-def quality_scores(docs: DataFrame, model: QualityModel, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, held_out, score, predicted) and the columns in `keep`, one row per document row.
+def quality_scores(docs: DataFrame, model: QualityModel) -> DataFrame:
+    """(doc_id, held_out, score, predicted), one row per document row.
 
     Null and empty texts get the score of no evidence (difference 0). Repeated
     rows are scored one by one and alike. An empty table gives an empty result;
     other columns are ignored. A text is one value in one task, of any length.
     """
-    columns = ["doc_id", *[c for c in keep if c not in ("doc_id", "text")]]
 
     def judge(batches):
         for batch in batches:
             scores = [score_of(x, model) for x in utf8(batch.column("text"))]
-            arrays = {c: batch.column(c) for c in batch.schema.names if c != "text" or "text" in keep}
-            arrays["score"] = pa.array(scores, pa.float64())
-            arrays["predicted"] = pa.array([int(s >= 0.5) for s in scores], pa.int32())
-            yield pa.RecordBatch.from_arrays(list(arrays.values()), list(arrays))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())],
+                ["doc_id", "held_out", "score", "predicted"])
 
-    chosen = docs.select(*columns, "text").withColumn("held_out", held_out())
-    out = [f for f in chosen.schema if f.name != "text" or "text" in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out) + ", score double, predicted int"
-    return chosen.mapInArrow(judge, schema)
+    chosen = docs.select("doc_id", "text").withColumn("held_out", held_out())
+    return chosen.mapInArrow(judge, f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: QualityModel, least: float = 0.5) -> DataFrame:
-    """The documents whose score reaches `least`, with their own columns."""
-    return quality_scores(docs, model, tuple(docs.columns)).where(F.col("score") >= least).select(*docs.columns)
+    """The documents whose score reaches `least`, with all their columns."""
+
+    def good(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([score_of(x, model) >= least for x in utf8(batch.column("text"))], pa.bool_()))
+
+    return docs.mapInArrow(good, docs.schema)
