@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MIN_WORDS = 8
+WORD = r"[^\x20\x09-\x0D]+"
 _OTHER_SEED = 7
 
 
@@ -40,7 +41,7 @@ def _pair(a: Column, b: Column) -> Column:
 def numbered_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, version, row, line, words, id): lines with a word, at their place in the text."""
     lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(
-        i.alias("line"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("words"), _id(x).alias("id")))
+        i.alias("line"), F.regexp_count(x, F.lit(WORD)).alias("words"), _id(x).alias("id")))
     return (docs.where(F.col("text").isNotNull())
             .select("doc_id", F.xxhash64("text").alias("version"), F.monotonically_increasing_id().alias("row"),
                     F.filter(lines, lambda u: u["words"] > 0).alias("_units"))
@@ -91,12 +92,14 @@ def ranked_prefixes(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def later_copies(blocks: DataFrame) -> DataFrame:
     """(doc_id, version, lines to delete) from the intervals of equal ranks with more than one place."""
-    key = ["lines", "p", "q"]
     here = F.struct("doc_id", "version", "first_line")
     # Minimum and count are combined before the shuffle, so a common line costs one row a task. The join
-    # back has one row per interval on one side; Spark may split the other side of a hot interval.
-    firsts = (blocks.groupBy(*key).agg(F.min(here).alias("kept"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n"))
-    later = blocks.join(firsts, key).where(here > F.col("kept"))
+    # back has one row per interval on one side, and Spark splits the other side of a hot interval; it can
+    # do so only if the small side is shuffled again, hence the key under another form.
+    firsts = (blocks.groupBy("lines", "p", "q").agg(F.min(here).alias("kept"), F.count("*").alias("n")).where(F.col("n") > 1)
+              .select(F.bitwise_not("lines").alias("_n"), F.bitwise_not("p").alias("_p"), F.bitwise_not("q").alias("_q"), "kept"))
+    same = ((F.col("lines") == F.bitwise_not("_n")) & (F.col("p") == F.bitwise_not("_p")) & (F.col("q") == F.bitwise_not("_q")))
+    later = blocks.join(firsts, same).where(here > F.col("kept"))
     return later.groupBy("doc_id", "version").agg(
         F.array_distinct(F.flatten(F.collect_list(F.sequence("first_line", "last_line")))).alias("gone"))
 
@@ -106,22 +109,24 @@ def delete_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFra
 
     Documents are ordered by doc_id (null first), then by a hash of the text;
     the first copy of a run stays. Blank lines carry no words: they do not
-    separate a run, and go with it when they stand inside. Null texts stay null
-    with 0 lines, an empty text has 1 line and stays. Rows that repeat both id
-    and text are one document and keep the same lines. A document whose every
-    line is a later copy keeps its row with an empty text. Columns of `docs`
+    separate a run and always stay, unless every line with a word goes; then
+    the row stays with an empty text. Null texts stay null with 0 lines, an
+    empty text has 1 line and stays. Rows that repeat both id and text are one
+    document and keep the same lines. Columns of `docs`
     named n_lines or n_removed are replaced. An empty table gives no rows.
     """
     gone = later_copies(ranked_prefixes(numbered_lines(docs.select("doc_id", "text")), min_words)) \
         .select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), "gone")
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed", "text")]
-    left = docs.select(*columns, "text").withColumn("_own", F.xxhash64("text"))
-    joined = left.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_version")), "left")
-    lines = F.split("text", "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(
-        F.array_join(F.transform(kept, lambda i: F.get(F.col("_lines"), i)), "\n"))
-    return (joined.withColumn("_lines", lines)
-            .select(*columns, text.alias("text"), F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"),
-                    F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
-            .withColumn("n_lines", F.greatest("n_lines", F.lit(0))).withColumn("n_removed", F.greatest("n_removed", F.lit(0))))
+    # One struct for the row, so that no name of `docs` meets one of the columns below.
+    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_version"))
+    joined = left.join(gone, F.col("own_id").eqNullSafe(F.col("_id")) & (F.col("own_version") == F.col("_version")), "left")
+    line = lambda i: F.get(F.col("lines"), i)
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    text = F.when(F.col("gone").isNull(), F.col("doc.text")).when(F.col("rest").rlike(WORD), F.col("rest")).otherwise("")
+    return (joined.withColumn("lines", F.split("doc.text", "\n", -1))
+            .withColumn("gone", F.filter("gone", lambda i: line(i).rlike(WORD)))  # blocks span blank lines
+            .withColumn("rest", F.array_join(F.transform(kept, line), "\n"))
+            .select(*[F.col("doc").getField(c).alias(c) for c in columns], text.alias("text"),
+                    F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
+                    F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed")))
