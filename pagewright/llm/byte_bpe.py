@@ -19,10 +19,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import utf8
+from .common import Recent, utf8
 
-TEXT_AT_ONCE = 1 << 20
-CACHE_PIECES = 250_000
+TEXT_AT_ONCE = 1 << 21
+CACHE_PIECES = 200_000
+CACHE_WORDS = 300_000
 CACHED_PIECE_BYTES = 64
 WORDS_AT_ONCE = 20_000  # words of one recursive query
 QUERY_BYTES = 256  # longer words are contracted by a queue, as a query's work grows with the square of the length
@@ -53,17 +54,18 @@ CONTRACT = """
 WITH RECURSIVE state AS (
     SELECT w, pos, tok, 0 AS step FROM base
     UNION ALL
-    SELECT w, pos, CASE WHEN pair = best THEN best // 1024 ELSE tok END AS tok, step + 1 AS step
-    FROM (
-        SELECT w, pos, tok, step, pair, min(pair) OVER (PARTITION BY w) AS best,
-               lag(pair) OVER (PARTITION BY w ORDER BY pos) AS left_pair
+    (WITH pairs AS (
+        SELECT s.w, s.pos, s.tok, s.step, s.next_pos, m.merged * 1024 + s.pos AS pair
         FROM (
-            SELECT s.w, s.pos, s.tok, s.step, m.merged * 1024 + s.pos AS pair
-            FROM (SELECT w, pos, tok, step, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS next FROM state) s
-            LEFT JOIN merges m ON m.a = s.tok AND m.b = s.next
-        )
+            SELECT w, pos, tok, step, lead(tok) OVER along AS next, lead(pos) OVER along AS next_pos, lead(w) OVER along AS next_w
+            FROM state WINDOW along AS (ORDER BY w * 1024 + pos)
+        ) s
+        LEFT JOIN merges m ON m.a = s.tok AND m.b = CASE WHEN s.next_w = s.w THEN s.next END
+    ), best AS (
+        SELECT w, min(pair) AS best, arg_min(next_pos, pair) AS gone FROM pairs WHERE pair IS NOT NULL GROUP BY w
     )
-    WHERE best IS NOT NULL AND left_pair IS DISTINCT FROM best
+    SELECT p.w, p.pos, CASE WHEN p.pair = b.best THEN b.best // 1024 ELSE p.tok END AS tok, p.step + 1 AS step
+    FROM pairs p JOIN best b ON p.w = b.w WHERE p.pos <> b.gone)
 )
 SELECT s.w AS w, list(s.tok ORDER BY s.pos) AS ids, string_agg(hex(v.bytes), '' ORDER BY s.pos) AS decoded
 FROM state s
@@ -183,18 +185,21 @@ def safe_parts(text: str) -> list[str]:
 
 
 class ByteBpe:
-    """Encodes and decodes texts; pieces met before are kept up to a bound that affects time only."""
+    """Encodes and decodes texts. Two tables of recent work: pieces between spaces, and words of the split pattern."""
 
     def __init__(self, path: str):
         import regex
 
         self.tables = BpeTables(path)
         self.split = regex.compile(pattern()).findall
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-
-    def _learn(self, parts: list[str]) -> dict[str, tuple[bytes, bytes]]:
-        words = {p: [w.encode() for w in self.split(p)] for p in parts}
-        made = self.tables.encode(sorted(set().union(*words.values())))
+        self.pieces, self.words = Recent(CACHE_PIECES), Recent(CACHE_WORDS)
+
+    def _learn(self, pieces: list[str]) -> dict[str, tuple[bytes, bytes]]:
+        words = {p: [w.encode() for w in self.split(p)] for p in pieces}
+        everything = set().union(*words.values())
+        made = self.tables.encode(sorted(self.words.missing(everything)))
+        made |= {w: self.words[w] for w in everything if w not in made}
+        self.words.learn({w: x for w, x in made.items() if len(w) <= CACHED_PIECE_BYTES})
         return {p: (b"".join([made[w][0] for w in ws]), b"".join([made[w][1] for w in ws])) for p, ws in words.items()}
 
     def many(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
@@ -204,16 +209,10 @@ class ByteBpe:
             first, *rest = safe_parts(text)
             split.append([first, *[" " + p for p in rest]])
         everything = set().union(*split)
-        fresh = everything.difference(self.known)
-        known = self.known
-        if fresh:
-            if len(known) + len(fresh) > CACHE_PIECES:
-                self.known = known = {}
-                fresh = everything
-            made = self._learn(sorted(fresh))
-            known.update((p, x) for p, x in made.items() if len(p) <= CACHED_PIECE_BYTES)
-            if any(len(p) > CACHED_PIECE_BYTES for p in made):
-                known = {**known, **made}
+        fresh = self.pieces.missing(everything)
+        made = self._learn(sorted(fresh)) if fresh else {}
+        known = {p: self.pieces[p] for p in everything if p not in made} | made
+        self.pieces.learn({p: x for p, x in made.items() if len(p) <= CACHED_PIECE_BYTES})
         out = []
         for parts in split:
             pairs = [known[p] for p in parts]
@@ -221,6 +220,12 @@ class ByteBpe:
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def _bpe(path: str) -> ByteBpe:
+    """One per Python worker, so that the tasks it runs share its tables."""
+    return ByteBpe(path)
+
+
 def encode_documents(docs: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), one row per document row.
 
@@ -232,7 +237,7 @@ def encode_documents(docs: DataFrame, vocabulary_path: str | None = None) -> Dat
     chosen = docs.select("doc_id", "text")
 
     def run(batches):
-        bpe = ByteBpe(path)
+        bpe = _bpe(path)
         for batch in batches:
             texts = [x.decode() for x in utf8(batch.column("text"))]
             counts, ids, decoded = [], [], []

@@ -68,3 +68,27 @@ def utf8(column: pa.Array) -> list[bytes]:
 def strings(column: pa.Array) -> list[str]:
     """Texts as str; null counts as empty."""
     return [x or "" for x in column.to_pylist()]
+
+
+class Recent(dict):
+    """A dictionary of two generations: when the young one is full it becomes the old one, and what was
+    not asked for since then is forgotten. Affects time only."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def missing(self, keys: set) -> set:
+        """Those of `keys` that are not known; known ones of the old generation become young again."""
+        fresh = keys.difference(self)
+        if self.old and fresh:
+            back = fresh.intersection(self.old)
+            self.update((k, self.old[k]) for k in back)
+            fresh -= back
+        return fresh
+
+    def learn(self, items: dict) -> None:
+        if len(self) + len(items) > self.most:
+            self.old = dict(self)
+            self.clear()
+        self.update(items)

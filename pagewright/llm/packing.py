@@ -10,22 +10,27 @@ these ends of neighbouring tasks are packed together in a second, small step.
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .common import utf8
+from .common import Recent, utf8
 
 WINDOW = 2048
 END_ID = 1
 POOL = 1024  # pieces at which a task starts to pack
 CACHE_WORDS = 300_000
+RUNS_AT_ONCE = 2_000
+WORD_END = "</w>"
+MARKS = (b",", b".", b"!", b"?", b";", b":")
 CACHED_WORD_BYTES = 64
 TEXT_AT_ONCE = 1 << 20
 TASKS_PER_END = 64  # tasks whose ends are packed together: at most 64 windows of ids
@@ -42,34 +47,69 @@ class WordTokenizer:
     """Token ids of texts as little-endian 32-bit bytes.
 
     The vocabulary drops white space and no token crosses it, so a text is the
-    sequence of its words; the ids of words met before are kept, up to a bound
-    that affects time only.
+    sequence of its words. It is blind to the case of ASCII letters, and a mark
+    after a run of letters is a token sequence of its own, so new words are cut
+    into letters and mark. What was met lately is kept (see `Recent`).
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self._encode = Tokenizer.from_file(path).encode_batch
-        self._known: dict[bytes, bytes] = {}
+        tokenizer = Tokenizer.from_file(path)
+        self._encode = tokenizer.encode_batch_fast
+        vocabulary = tokenizer.get_vocab()
+        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+        self._words, self._letters = Recent(CACHE_WORDS), Recent(CACHE_WORDS)
+        self._marks = {m: self._each([m])[m] for m in MARKS}
 
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+    def _each(self, words: list[bytes]) -> dict[bytes, bytes]:
         made = self._encode([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return {w: b"".join(i.to_bytes(4, "little") for i in x.ids) for w, x in zip(words, made)}
+        return {w: np.array(x.ids, "<u4").tobytes() for w, x in zip(words, made)}
+
+    def _letter_runs(self, runs: list[bytes]) -> dict[bytes, bytes]:
+        """Runs of letters, many at once: each run's last token is the only one with a word end."""
+        out: dict[bytes, bytes] = {}
+        for at in range(0, len(runs), RUNS_AT_ONCE):
+            part = runs[at:at + RUNS_AT_ONCE]
+            ids = np.array(self._encode([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self._ends[ids]) + 1
+            if len(ends) != len(part):  # a run that normalisation has changed in kind
+                out |= self._each(part)
+                continue
+            raw, start = ids.tobytes(), 0
+            for run, end in zip(part, (4 * ends).tolist()):
+                out[run] = raw[start:end]
+                start = end
+        return out
+
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        cut, whole = {}, []
+        for w in words:
+            run, mark = (w[:-1], w[-1:]) if w[-1:] in self._marks else (w, b"")
+            if run and run.decode("utf-8", "replace").isalpha():
+                cut[w] = (run.lower(), mark)
+            else:
+                whole.append(w)
+        runs = {run for run, _ in cut.values()}
+        made = self._letter_runs(sorted(self._letters.missing(runs)))
+        ids = {run: made[run] if run in made else self._letters[run] for run in runs}
+        self._letters.learn({run: x for run, x in made.items() if len(run) <= CACHED_WORD_BYTES})
+        marks = self._marks | {b"": b""}
+        return self._each(sorted(whole)) | {w: ids[run] + marks[mark] for w, (run, mark) in cut.items()}
 
     def many(self, texts: list[bytes]) -> list[bytes]:
         split = [x.split() for x in texts]
-        fresh = set().union(*split).difference(self._known)
-        if fresh:
-            if len(self._known) + len(fresh) > CACHE_WORDS:
-                self._known = {}
-                fresh = set().union(*split)
-            long = {w for w in fresh if len(w) > CACHED_WORD_BYTES}
-            self._known.update(self._learn(sorted(fresh - long)))
-            if long:
-                known = {**self._known, **self._learn(sorted(long))}
-                return [b"".join([known[w] for w in words]) for words in split]
-        get = self._known.__getitem__
+        fresh = self._words.missing(set().union(*split))
+        made = self._learn(fresh) if fresh else {}
+        long = {w: x for w, x in made.items() if len(w) > CACHED_WORD_BYTES}
+        if not long and len(self._words) + len(made) <= CACHE_WORDS:
+            self._words.learn(made)
+            get = self._words.__getitem__
+        else:
+            get = (dict(self._words) | made).__getitem__
+            self._words.learn({w: x for w, x in made.items() if w not in long})
         return [b"".join(map(get, words)) for words in split]
 
     def long(self, text: bytes) -> bytes:
@@ -85,6 +125,12 @@ class WordTokenizer:
         return b"".join(parts)
 
 
+@functools.lru_cache(maxsize=1)
+def _tokenizer(path: str) -> WordTokenizer:
+    """One per Python worker, so that the tasks it runs share it."""
+    return WordTokenizer(path)
+
+
 def tokens(texts: list[bytes], tokenizer: WordTokenizer):
     """The ids of each text with the end id, in order."""
     end = END_ID.to_bytes(4, "little")
@@ -221,7 +267,7 @@ def pack(docs: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
 
     def tasks(batches):
         task = TaskContext.get().partitionId()
-        packer, tokenizer, id_type = Packer(task << 32), WordTokenizer(path), None
+        packer, tokenizer, id_type = Packer(task << 32), _tokenizer(path), None
         for batch in batches:
             id_type = batch.schema.field("doc_id").type
             ids = batch.column("doc_id").to_pylist()
