@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, line_runs, packing, quality_zstd, simhash_trie
+from . import (byte_bpe, langid, line_runs, order_minhash, packing, quality_rules, quality_zstd, simhash_trie, token_counts,
+               url_templates)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +19,11 @@ def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     return build
 
 
+@query
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -44,3 +50,90 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_runs.delete_repeated_runs(docs)
+
+
+@query
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge(table(spark, sf_dir, "pages"))
+
+
+@query
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.judge(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def _star(level: int) -> str:
+    """The tree after generalising one more segment."""
+    parent = ", ".join(["host", *[f"s{i}" for i in range(1, level)]])
+    own, source = f"s{level}", f"t{level - 1}"
+    return f"""
+c{level} AS (SELECT {parent}, {own}, sum(n) AS cn FROM {source} GROUP BY ALL),
+p{level} AS (SELECT {parent}, count(*) AS children, sum(cn) AS whole FROM c{level} GROUP BY ALL),
+t{level} AS (
+    SELECT t.* REPLACE (CASE WHEN {own} <> '' AND children > {url_templates.FAN_OUT} AND cn * {url_templates.FAN_OUT} < whole
+                             THEN '*' ELSE {own} END AS {own})
+    FROM {source} t JOIN c{level} USING ({parent}, {own}) JOIN p{level} USING ({parent}))"""
+
+
+def _rules_sql(column: str) -> str:
+    cases = "".join(
+        f" WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.text if column == 'rule' else r.verdict}'"
+        for r in sorted(url_templates.RULES, key=lambda r: (-len(r.text), r.text)))
+    return f"CASE{cases} END"
+
+
+ORACLES["op7_url_filter"] = f"""
+WITH parts AS (
+    SELECT page_id,
+           translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+    FROM pages),
+ruled AS (
+    SELECT *, {_rules_sql('rule')} AS rule, {_rules_sql('verdict')} AS verdict,
+           list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: regexp_replace(x, '[0-9]+', '{{n}}', 'g')) AS s
+    FROM parts),
+urls AS (
+    SELECT page_id, host, path, rule, verdict, coalesce(s[1], '') AS raw1, coalesce(s[2], '') AS raw2, coalesce(s[3], '') AS raw3,
+           CASE WHEN len(s) > 3 THEN '**' ELSE '' END AS raw4
+    FROM ruled),
+t0 AS (
+    SELECT host, raw1, raw2, raw3, raw4, raw1 AS s1, raw2 AS s2, raw3 AS s3, count(*) AS n,
+           sum(CASE WHEN verdict = 'block' THEN 1 ELSE 0 END) AS bad, sum(CASE WHEN verdict IS NOT NULL THEN 1 ELSE 0 END) AS known
+    FROM urls GROUP BY host, raw1, raw2, raw3, raw4),
+{_star(1)},{_star(2)},{_star(3)},
+leaves AS (SELECT host, s1, s2, s3, raw4, sum(bad)::DOUBLE AS bad, sum(known)::DOUBLE AS known FROM t3 GROUP BY ALL),
+pooled AS (SELECT host, s1, sum(bad) AS pbad, sum(known) AS pknown FROM leaves GROUP BY ALL),
+tested AS (
+    SELECT *, CASE WHEN known = 0 THEN true
+                   ELSE (bad / known - pbad / pknown) * (bad / known - pbad / pknown)
+                        <= {url_templates.CHANCE} * (pbad / pknown) * (1 - pbad / pknown) / known END AS alike
+    FROM leaves JOIN pooled USING (host, s1)),
+merged AS (SELECT host, s1, sum(bad) AS mb, sum(known) AS mk FROM tested WHERE alike GROUP BY ALL),
+hosts AS (SELECT host, sum(bad) AS hb, sum(known) AS hk FROM leaves GROUP BY ALL),
+shares AS (
+    SELECT host, (hb + {url_templates.HOST_WEIGHT} * (SELECT CASE WHEN sum(hk) > 0 THEN sum(hb) / sum(hk) ELSE 0 END FROM hosts))
+                 / (hk + {url_templates.HOST_WEIGHT}) AS share
+    FROM hosts),
+judged AS (
+    SELECT host, s1, s2, s3, raw4,
+           (CASE WHEN alike THEN mb ELSE bad END + {url_templates.TEMPLATE_WEIGHT} * share)
+           / (CASE WHEN alike THEN mk ELSE known END + {url_templates.TEMPLATE_WEIGHT}) AS purity
+    FROM tested LEFT JOIN merged USING (host, s1) JOIN shares USING (host))
+SELECT page_id, host, path, rule,
+       coalesce(verdict, CASE WHEN purity >= {url_templates.REJECT_FROM} THEN 'block' ELSE 'allow' END) AS verdict,
+       (CASE WHEN s1 <> '' THEN '/' || s1 ELSE '' END) || (CASE WHEN s2 <> '' THEN '/' || s2 ELSE '' END)
+       || (CASE WHEN s3 <> '' THEN '/' || s3 ELSE '' END) || (CASE WHEN raw4 <> '' THEN '/' || raw4 ELSE '' END) AS template,
+       purity
+FROM urls JOIN t3 USING (host, raw1, raw2, raw3, raw4) JOIN judged USING (host, s1, s2, s3, raw4)
+"""

@@ -89,15 +89,15 @@ def templates(urls: DataFrame) -> DataFrame:
     for i in range(1, DEPTH + 1):
         tree = _generalised(tree, i)
     leaf = ["host", *[f"s{i}" for i in range(1, DEPTH + 1)], f"raw{DEPTH + 1}"]
-    leaves = tree.groupBy(*leaf).agg(F.sum("bad").alias("bad"), F.sum("known").alias("known"))
+    leaves = tree.groupBy(*leaf).agg(F.sum("bad").cast("double").alias("bad"), F.sum("known").cast("double").alias("known"))
     branch = ["host", "s1"]
     pooled = leaves.groupBy(*branch).agg(F.sum("bad").alias("_bad"), F.sum("known").alias("_known"))
-    share, common = F.col("bad") / F.col("known"), F.col("_bad") / F.col("_known")
-    alike = F.coalesce((share - common) * (share - common) <= CHANCE * common * (1 - common) / F.col("known"), F.lit(True))
+    share, common = F.try_divide("bad", "known"), F.try_divide("_bad", "_known")
+    alike = F.coalesce((share - common) * (share - common) <= F.try_divide(CHANCE * common * (1 - common), F.col("known")), F.lit(True))
     leaves = leaves.join(pooled, branch).withColumn("_alike", alike)
     merged = (leaves.where("_alike").groupBy(*branch).agg(F.sum("bad").alias("_mb"), F.sum("known").alias("_mk")))
     hosts = leaves.groupBy("host").agg(F.sum("bad").alias("_hb"), F.sum("known").alias("_hk"))
-    prior = hosts.agg(F.coalesce(F.sum("_hb") / F.sum("_hk"), F.lit(0.0))).scalar()  # one value
+    prior = hosts.agg(F.coalesce(F.try_divide(F.sum("_hb"), F.sum("_hk")), F.lit(0.0))).scalar()  # one value
     hosts = hosts.select("host", ((F.col("_hb") + HOST_WEIGHT * prior) / (F.col("_hk") + HOST_WEIGHT)).alias("_host_share"))
     bad = F.when(F.col("_alike"), F.col("_mb")).otherwise(F.col("bad"))
     known = F.when(F.col("_alike"), F.col("_mk")).otherwise(F.col("known"))
