@@ -13,7 +13,6 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +21,16 @@ from pyspark.sql import DataFrame
 from .common import Recent, utf8
 
 TEXT_AT_ONCE = 1 << 21
-CACHE_PIECES = 200_000
-CACHE_WORDS = 300_000
+CACHE_PIECES = 250_000
+CACHE_WORDS = 400_000
 CACHED_PIECE_BYTES = 64
 WORDS_AT_ONCE = 20_000  # words of one recursive query
 QUERY_BYTES = 256  # longer words are contracted by a queue, as a query's work grows with the square of the length
 MEMORY = "250MB"
-_SPACE = re.compile(r"[\t-\r \x85\xa0  -     　]")  # Unicode White_Space
+#: Unicode's White_Space.
+WHITE_SPACE = "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+_RARE_SPACE = [c for c in WHITE_SPACE if c not in " \n"]
+MARKS = (",", ".", "!", "?", ";", ":")
 
 
 def vocabulary() -> str:
@@ -125,7 +127,8 @@ class BpeTables:
             offsets = ids.offsets.to_numpy() * 4
             raw = ids.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()
             for i, (n, text) in enumerate(zip(found.column("w").to_pylist(), found.column("decoded").to_pylist())):
-                made[part[n]] = (raw[offsets[i]:offsets[i + 1]], bytes.fromhex(text))
+                word, decoded = part[n], bytes.fromhex(text)
+                made[word] = (raw[offsets[i]:offsets[i + 1]], word if decoded == word else decoded)  # one copy in the tables
         return made
 
     def _names(self) -> dict[int, bytes]:
@@ -164,59 +167,82 @@ def contract_long(word: bytes, rank_of: dict[bytes, int]) -> list[int]:
     return [rank_of[word[i:end[i]]] for i in range(n) if alive[i]]
 
 
-def safe_parts(text: str) -> list[str]:
-    """The text cut before single spaces that stand between two characters that are no white space.
+def pieces_of(text: str) -> list[str]:
+    """The text cut where no match of the split pattern can cross; joined the pieces give the text.
 
-    The split pattern cannot match across such a cut, as a space there always
-    begins a match. Joining the parts with a space gives the text back.
+    A space between two characters that are no white space begins a match, so
+    it begins a piece; a line feed between two such characters is a match and a
+    piece of its own. A text with any other kind of white space, or with white
+    space next to white space or at an end, is cut by the careful loop below.
     """
-    parts = text.split(" ")
-    if "" not in parts and not any(_SPACE.match(p[0]) or _SPACE.match(p[-1]) for p in parts if not p[0].isalnum() or not p[-1].isalnum()):
-        return parts
+    if not text:
+        return []
+    if not (any(c in text for c in _RARE_SPACE) or "  " in text or "\n\n" in text or " \n" in text or "\n " in text
+            or text[0] in " \n" or text[-1] in " \n"):
+        first, *lines = text.split("\n")
+        out = _words_of(first)
+        for line in lines:
+            out.append("\n")
+            out += _words_of(line)
+        return out
     out: list[str] = []
     open_end = False
-    for i, p in enumerate(parts):
-        if i and (open_end or not p or _SPACE.match(p[0])):
-            out[-1] += " " + p
+    for i, part in enumerate(text.split(" ")):
+        if i and (open_end or not part or part[0] in WHITE_SPACE):
+            out[-1] += " " + part
         else:
-            out.append(p)
-        open_end = not p or bool(_SPACE.match(p[-1]))
-    return out
+            out.append(" " + part if i else part)
+        open_end = not part or part[-1] in WHITE_SPACE
+    return [p for p in out if p]
+
+
+def _words_of(line: str) -> list[str]:
+    first, *rest = line.split(" ")
+    return [first, *[" " + w for w in rest]]
 
 
 class ByteBpe:
-    """Encodes and decodes texts. Two tables of recent work: pieces between spaces, and words of the split pattern."""
+    """Encodes and decodes texts. Two tables of recent work: pieces of texts, and words of the split pattern."""
 
     def __init__(self, path: str):
         import regex
 
         self.tables = BpeTables(path)
         self.split = regex.compile(pattern()).findall
-        self.pieces, self.words = Recent(CACHE_PIECES), Recent(CACHE_WORDS)
-
-    def _learn(self, pieces: list[str]) -> dict[str, tuple[bytes, bytes]]:
-        words = {p: [w.encode() for w in self.split(p)] for p in pieces}
-        everything = set().union(*words.values())
-        made = self.tables.encode(sorted(self.words.missing(everything)))
-        made |= {w: self.words[w] for w in everything if w not in made}
-        self.words.learn({w: x for w, x in made.items() if len(w) <= CACHED_PIECE_BYTES})
-        return {p: (b"".join([made[w][0] for w in ws]), b"".join([made[w][1] for w in ws])) for p, ws in words.items()}
+        self.pieces = Recent(CACHE_PIECES)
+        self.words = Recent(CACHE_WORDS)
+
+    def _split(self, piece: str) -> list[bytes]:
+        """The matches of the split pattern. A run of letters with a space before and a mark behind is seen without it."""
+        run = piece[1:] if piece[0] == " " else piece
+        if run.isalpha():
+            return [piece.encode()]
+        if run[-1:] in MARKS and run[:-1].isalpha():
+            return [piece[:-1].encode(), run[-1:].encode()]
+        return [w.encode() for w in self.split(piece)]
+
+    def _learn(self, pieces: set[str]) -> dict[str, tuple[bytes, bytes]]:
+        words = {p: self._split(p) for p in pieces}
+        fresh = self.words.missing(set().union(*words.values()))
+        self.words.update(self.tables.encode(sorted(fresh)))
+        known = self.words
+        made = {p: known[ws[0]] if len(ws) == 1 else (b"".join([known[w][0] for w in ws]), b"".join([known[w][1] for w in ws]))
+                for p, ws in words.items()}
+        known.forget(w for w in fresh if len(w) > CACHED_PIECE_BYTES)
+        return made
 
     def many(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """(ids, decoded) of each text."""
-        split = []
-        for text in texts:
-            first, *rest = safe_parts(text)
-            split.append([first, *[" " + p for p in rest]])
-        everything = set().union(*split)
-        fresh = self.pieces.missing(everything)
-        made = self._learn(sorted(fresh)) if fresh else {}
-        known = {p: self.pieces[p] for p in everything if p not in made} | made
-        self.pieces.learn({p: x for p, x in made.items() if len(p) <= CACHED_PIECE_BYTES})
+        split = [pieces_of(text) for text in texts]
+        fresh = self.pieces.missing(set().union(*split))
+        if fresh:
+            self.pieces.update(self._learn(fresh))
+        get = self.pieces.__getitem__
         out = []
         for parts in split:
-            pairs = [known[p] for p in parts]
-            out.append((b"".join([x for x, _ in pairs]), b"".join([y for _, y in pairs])))
+            ids, decoded = zip(*map(get, parts)) if parts else ((), ())
+            out.append((b"".join(ids), b"".join(decoded)))
+        self.pieces.forget(p for p in fresh if len(p) > CACHED_PIECE_BYTES)
         return out
 
 

@@ -71,15 +71,21 @@ def strings(column: pa.Array) -> list[str]:
 
 
 class Recent(dict):
-    """A dictionary of two generations: when the young one is full it becomes the old one, and what was
-    not asked for since then is forgotten. Affects time only."""
+    """A dictionary of two generations, whose bound affects time only.
+
+    `missing` first makes a full young generation the old one, brings back
+    those of its keys that the old one has, and returns the rest, which the
+    caller adds. So all keys of one call are there until the next call.
+    """
 
     def __init__(self, most: int):
         super().__init__()
         self.most, self.old = most, {}
 
     def missing(self, keys: set) -> set:
-        """Those of `keys` that are not known; known ones of the old generation become young again."""
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
         fresh = keys.difference(self)
         if self.old and fresh:
             back = fresh.intersection(self.old)
@@ -87,8 +93,6 @@ class Recent(dict):
             fresh -= back
         return fresh
 
-    def learn(self, items: dict) -> None:
-        if len(self) + len(items) > self.most:
-            self.old = dict(self)
-            self.clear()
-        self.update(items)
+    def forget(self, keys) -> None:
+        for k in keys:
+            self.pop(k, None)

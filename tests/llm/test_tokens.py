@@ -146,9 +146,9 @@ def test_bpe_long_words_match_the_query(reference_bpe):
         assert byte_bpe.contract_long(word.encode(), rank_of) == reference_bpe.encode_ordinary(word)
 
 
-def test_safe_parts_give_the_text_back():
+def test_pieces_give_the_text_back():
     for text in ODD_TEXTS:
-        assert " ".join(byte_bpe.safe_parts(text)) == text
+        assert "".join(byte_bpe.pieces_of(text)) == text
 
 
 def test_bpe_documents(odd_docs, no_docs, reference_bpe):
