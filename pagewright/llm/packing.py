@@ -93,24 +93,22 @@ class WordTokenizer:
             else:
                 whole.append(w)
         runs = {run for run, _ in cut.values()}
-        made = self._letter_runs(sorted(self._letters.missing(runs)))
-        ids = {run: made[run] if run in made else self._letters[run] for run in runs}
-        self._letters.learn({run: x for run, x in made.items() if len(run) <= CACHED_WORD_BYTES})
+        fresh = self._letters.missing(runs)
+        self._letters.update(self._letter_runs(sorted(fresh)))
         marks = self._marks | {b"": b""}
-        return self._each(sorted(whole)) | {w: ids[run] + marks[mark] for w, (run, mark) in cut.items()}
+        made = self._each(sorted(whole)) | {w: self._letters[run] + marks[mark] for w, (run, mark) in cut.items()}
+        self._letters.forget(run for run in fresh if len(run) > CACHED_WORD_BYTES)
+        return made
 
     def many(self, texts: list[bytes]) -> list[bytes]:
         split = [x.split() for x in texts]
         fresh = self._words.missing(set().union(*split))
-        made = self._learn(fresh) if fresh else {}
-        long = {w: x for w, x in made.items() if len(w) > CACHED_WORD_BYTES}
-        if not long and len(self._words) + len(made) <= CACHE_WORDS:
-            self._words.learn(made)
-            get = self._words.__getitem__
-        else:
-            get = (dict(self._words) | made).__getitem__
-            self._words.learn({w: x for w, x in made.items() if w not in long})
-        return [b"".join(map(get, words)) for words in split]
+        if fresh:
+            self._words.update(self._learn(fresh))
+        get = self._words.__getitem__
+        out = [b"".join(map(get, words)) for words in split]
+        self._words.forget(w for w in fresh if len(w) > CACHED_WORD_BYTES)
+        return out
 
     def long(self, text: bytes) -> bytes:
         """One text of any length, part by part, cut at spaces."""
