@@ -52,6 +52,39 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_runs.delete_repeated_runs(docs)
 
 
+_LEAST = line_runs.MIN_WORDS
+ORACLES["op6_line_dedup"] = f"""
+WITH numbered AS (
+    SELECT doc_id, unnest(range(len(lines))) AS line, unnest(lines) AS content
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)),
+counted AS (SELECT *, len(regexp_extract_all(content, '[^\\x20\\x09-\\x0D]+')) AS words FROM numbered),
+units AS (
+    SELECT *, CAST(sum(words) OVER d AS BIGINT) AS upto, CAST(sum(words) OVER d - words AS BIGINT) AS before,
+           sum(words) OVER (PARTITION BY doc_id) AS whole, row_number() OVER d AS u
+    FROM counted WHERE words > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY line)),
+texts AS (SELECT doc_id, list(content ORDER BY line) AS contents FROM units GROUP BY doc_id),
+spans AS (
+    SELECT doc_id, u AS s, u - 1 + count(*) OVER (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND {_LEAST - 1} FOLLOWING) AS e,
+           whole - before >= {_LEAST} AS enough FROM units
+    UNION ALL
+    SELECT doc_id, u + 1 - count(*) OVER (PARTITION BY doc_id ORDER BY upto RANGE BETWEEN {_LEAST - 1} PRECEDING AND CURRENT ROW), u,
+           upto >= {_LEAST} FROM units),
+blocks AS (SELECT DISTINCT doc_id, s, e, contents[s:e] AS content FROM spans JOIN texts USING (doc_id) WHERE enough),
+firsts AS (SELECT content, min({{'d': doc_id, 's': s}}) AS place FROM blocks GROUP BY content),
+gone AS (
+    SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS u
+    FROM blocks JOIN firsts USING (content) WHERE {{'d': doc_id, 's': s}} > place),
+rest AS (
+    SELECT c.doc_id, string_agg(c.content, chr(10) ORDER BY c.line) FILTER (g.u IS NULL) AS rest, count(*) AS n_lines,
+           count(g.u) AS n_removed, bool_or(c.words > 0 AND g.u IS NULL) AS has_words
+    FROM counted c LEFT JOIN units n ON n.doc_id = c.doc_id AND n.line = c.line LEFT JOIN gone g ON g.doc_id = c.doc_id AND g.u = n.u
+    GROUP BY c.doc_id)
+SELECT doc_id, CASE WHEN coalesce(n_removed, 0) = 0 THEN text WHEN has_words THEN rest ELSE '' END AS text,
+       coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed
+FROM documents LEFT JOIN rest USING (doc_id)
+"""
+
+
 @query
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.judge(table(spark, sf_dir, "pages"))
