@@ -172,19 +172,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Texts without words, and null texts, have fingerprint zero and link to each
     other and to what lies near zero. Fewer than three words are one shingle.
     Rows that repeat an id are rows of one document. A null id takes part in its
-    fingerprint's class but is nobody's component id; alone its component is
-    null. An empty table gives an empty result; other columns are ignored.
+    fingerprint's class and links it to others, but is nobody's component id; a
+    component of null ids alone is null. An empty table gives an empty result; other columns are ignored.
     """
     ensure_checkpoint_dir(docs.sparkSession)
     fps = fingerprints(docs).checkpoint()  # texts are read and hashed once
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     classes = classes.checkpoint()
-    pairs = near_pairs(classes.select("fp"))
-    links = (pairs.join(classes.select(F.col("fp").alias("a"), F.col("rep").alias("u")), "a")
-             .join(classes.select(F.col("fp").alias("b"), F.col("rep").alias("v")), "b").select("u", "v"))
-    grouped = components(links)
-    labels = (classes.join(grouped, classes["rep"] == grouped["node"], "left")
-              .select("fp", F.coalesce("component", "rep").alias("component_id")))
+    # Components of fingerprints first, then the least id of each.
+    linked = components(near_pairs(classes.select("fp")).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    linked = linked.withColumnRenamed("node", "fp").join(classes, "fp")
+    least = linked.groupBy("component").agg(F.min("rep").alias("least"))
+    named = linked.join(least, "component").select("fp", "least")
+    labels = classes.join(named, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
     return fps.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

@@ -3,6 +3,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from pagewright.llm import line_runs, order_minhash, simhash_trie
 from pagewright.llm.components import components
@@ -91,6 +92,16 @@ def test_near_duplicates_whole_table(spark, small):
     assert sorted(r["doc_id"] for r in simhash_trie.keep_one(docs).collect()) == sorted(set(want.values()))
 
 
+def test_a_document_without_id_still_links(spark, monkeypatch):
+    values = {b"a": 0b0011, b"b": 0b1111, b"c": 0b111111}
+    spark_docs = spark.createDataFrame([(5, "a"), (None, "b"), (9, "c"), (None, "d")], "doc_id long, text string")
+    fps = spark_docs.select("doc_id", F.when(F.col("text") == "a", values[b"a"]).when(F.col("text") == "b", values[b"b"])
+                            .when(F.col("text") == "c", values[b"c"]).otherwise(1 << 40).alias("fp"))
+    monkeypatch.setattr(simhash_trie, "fingerprints", lambda docs: fps)
+    got = {r["fingerprint"]: r["component_id"] for r in simhash_trie.near_duplicates(spark_docs).collect()}
+    assert [got[f"{v:016x}"] for v in values.values()] == [5, 5, 5] and got[f"{1 << 40:016x}"] is None
+
+
 def test_near_duplicates_odd_rows(odd_docs, no_docs):
     rows = simhash_trie.near_duplicates(odd_docs).collect()
     assert len(rows) == odd_docs.count()
