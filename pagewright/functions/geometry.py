@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .semantics import clamp
 
+# Fixed values.
 VERTICAL_RATIO = 1.15
 MIN_FONT_PCT = 1.2
 DEFAULT_FONT_PCT = 2.0

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .semantics import browser_trim
 
-# Where the text of a chat reply sits, by provider family.
+# Where the text of a chat reply sits, by provider family.
 ENVELOPE_PATHS = {
     "gemini": "$.candidates[0].content.parts[0].text",
     "openai": "$.choices[0].message.content",

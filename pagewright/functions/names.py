@@ -23,8 +23,8 @@ BASE_LETTERS = "aaaaaaceeeeiiiinooooouuuuyy"
 def natural_key(name: Column) -> Column:
     """A string whose plain order is the natural, case-blind order of names.
 
-    A run of digits becomes its length in three digits followed by the run
-    without leading zeros, so runs compare by value at any length.
+    A run of digits becomes its length in ten digits, which no string exceeds,
+    followed by the run without leading zeros, so runs compare by value.
     """
     folded = F.translate(F.translate(F.lower(name), MARKED_LETTERS, BASE_LETTERS),
                          COLLATION_PUNCTUATION, PUNCTUATION_RANKS)
@@ -32,7 +32,7 @@ def natural_key(name: Column) -> Column:
 
     def encode(run: Column) -> Column:
         digits = F.ltrim(run, F.lit("0"))
-        return F.when(run.rlike(r"^\d"), F.concat(F.lpad(F.length(digits).cast("string"), 3, "0"), digits)).otherwise(run)
+        return F.when(run.rlike(r"^\d"), F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)).otherwise(run)
 
     return F.array_join(F.transform(runs, encode), "")
 

@@ -25,13 +25,16 @@ WIDE_EM = 1.0
 OTHER_EM = 0.5
 SPACE_EM = 0.25
 
+# Ratios to the font size, and least sizes.
 LINE_PITCH = 1.2
 COLUMN_PITCH = 1.1
 PADDING = 0.4
 EXPORT_MIN_PX = 7.0
 VIEWER_MIN_PX = 6.0
-# Above any width of a line in em; leaves room for 2^26 lines in a double.
+# The state of a line break in one double: finished lines * LINE_UNIT + width of the open line. Widths are cut
+# at half a unit, eight million em, which is past any line, so a longer token counts as wider than the line.
 LINE_UNIT = 2.0 ** 24
+WIDEST = LINE_UNIT / 2
 # Tokens per inner list while lines are collected, so that long texts copy little.
 TOKENS_PER_STEP = 256
 
@@ -69,7 +72,8 @@ def count_lines(widths: Column, gap_em: Column, font_px: Column, max_w: Column)
     empty.
     """
 
-    def step(s: Column, token: Column) -> Column:
+    def step(s: Column, width: Column) -> Column:
+        token = F.least(width, F.lit(WIDEST))
         done = F.floor(s / LINE_UNIT)
         open_em = s - done * LINE_UNIT
         is_open = open_em > 0

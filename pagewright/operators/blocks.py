@@ -29,13 +29,17 @@ def _explode_items(df: DataFrame, items: Column) -> DataFrame:
 
 
 def read_ocr(df: DataFrame, json_col: str = "reply") -> DataFrame:
-    """Canonical reply JSON to one row per region. Unreadable JSON gives no rows; see `ocr_errors`."""
+    """Canonical reply JSON to one row per region. A reply that is no JSON or has another shape gives no rows; see `ocr_errors`."""
     return _explode_items(df.withColumn("_r", F.from_json(json_col, OCR_REPLY)).drop(json_col), F.col("_r.blocks"))
 
 
 def ocr_errors(df: DataFrame, json_col: str = "reply") -> DataFrame:
-    """Pages whose reply is not JSON, with the reason; they never fail the job."""
-    bad = df.where(F.try_parse_json(json_col).isNull())
+    """Pages whose reply `read_ocr` cannot read, with the reason; they never fail the job.
+
+    The same parse decides both: a reply without a list of blocks is an error,
+    an empty list is a page without text. A missing reply is one too.
+    """
+    bad = df.where(F.from_json(json_col, OCR_REPLY)["blocks"].isNull())
     return bad.withColumn("error", F.lit("Invalid OCR reply")).drop(json_col)
 
 
@@ -125,10 +129,12 @@ def drop_blank(lines: DataFrame, text: str = "text") -> DataFrame:
 
 def visible_for(blocks: DataFrame, stage: str, onomatopoeia_mode: str) -> DataFrame:
     """Blocks a stage works on: `cover`, `text` or `erase`. A null type counts as bubble."""
+    return blocks.where(is_visible(stage, onomatopoeia_mode))
+
+
+def is_visible(stage: str, onomatopoeia_mode: str) -> Column:
     hidden = ("ignore", "transparent") if stage == "cover" else ("ignore",)
-    if onomatopoeia_mode not in hidden:
-        return blocks
-    return blocks.where(F.coalesce(F.col("type"), F.lit("bubble")) != "onomatopoeia")
+    return F.coalesce(F.col("type"), F.lit("bubble")) != "onomatopoeia" if onomatopoeia_mode in hidden else F.lit(True)
 
 
 def empty_pages(pages: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..session import ensure_checkpoint_dir
-from .ranking import row_numbers
+from .ranking import row_numbers, with_ordinal
 
 BOX = ("xmin", "ymin", "xmax", "ymax")
 # A block made by hand in the viewer.
@@ -61,7 +61,7 @@ def drag_box(start: dict[str, Column], op: Column, dx: Column, dy: Column) -> Co
     return F.struct(*[F.when(op == "resize", resized[c]).otherwise(moved[c]).alias(c) for c in BOX])
 
 
-def apply_edits(blocks: DataFrame, edits: DataFrame) -> DataFrame:
+def apply_edits(blocks: DataFrame, edits: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """Blocks after an edit log.
 
     `edits`: page_id, block_id, ts, seq, op, value, and a `box` struct for
@@ -70,6 +70,11 @@ def apply_edits(blocks: DataFrame, edits: DataFrame) -> DataFrame:
     per field counts, a deleted block stays deleted, a created one starts from
     NEW_BLOCK. The log is reduced per block before the shuffle, so a busy block
     is no hot task.
+
+    Where `blocks` has an `ordinal`, created blocks stand at the end of their
+    page in the order of their creation and deleted ones leave no gap. Where it
+    has `width` and `height`, a created block takes those of its page: from
+    `pages` (page_id, width, height) or else from the page's other blocks.
     """
     order = F.struct("ts", "seq")
 
@@ -96,7 +101,15 @@ def apply_edits(blocks: DataFrame, edits: DataFrame) -> DataFrame:
             return F.coalesce(F.col(f"e_{c}"), base)
         return base
 
-    return kept.select(*[value(c).alias(c) for c in blocks.columns])
+    done = kept.select(*[value(c).alias(c) for c in blocks.columns], F.col("e_created").alias("_made"), (~old).alias("_new"))
+    size = [c for c in ("width", "height") if c in blocks.columns]
+    if size:
+        known = (pages if pages is not None else blocks).groupBy("page_id").agg(*[F.max(c).alias(f"_{c}") for c in size])
+        done = done.join(known, "page_id", "left").withColumns({c: F.coalesce(c, f"_{c}") for c in size})
+    if "ordinal" in blocks.columns:
+        place = [F.col("_new"), F.when(~F.col("_new"), F.col("ordinal")), F.when(F.col("_new"), F.col("_made")), F.col("block_id")]
+        done = with_ordinal(done.withColumn("_place", F.struct(*place)).drop("ordinal"), ["page_id"], ["_place"])
+    return done.select(*blocks.columns)
 
 
 def fold_drags(blocks: DataFrame, drags: DataFrame, part_rows: int = DRAGS_PER_STEP) -> DataFrame:

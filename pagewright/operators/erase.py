@@ -63,28 +63,39 @@ def apply_fill(pixels: DataFrame, filled: DataFrame) -> DataFrame:
 
 
 def erase_order(areas: DataFrame) -> DataFrame:
-    """Adds `step`: blocks of equal step touch no common cell, later blocks have later steps.
-
-    Within each cell a block waits for the one before it, so every cell gives a
-    chain, not all pairs. The step is the longest chain that leads to a block;
-    it settles after as many rounds as there are steps.
+    """Adds `bound` (the rectangle overlaps another one of its page) and `step`.
+
+    Blocks of equal step do not overlap, and of two that do the later one has
+    the later step. Cells of the page tell which blocks may overlap; of these,
+    every pixel gives a chain in which a block waits for the one before it, so
+    there are no pairs of all blocks. The step is the longest chain that leads
+    to a block; it settles after as many rounds as there are steps, on a table
+    of one row per bound block.
     """
-    def cells(low: str, high: str):
-        return F.sequence(F.floor(F.col(low) / CELL), F.floor((F.col(high) - 1) / CELL))
+    def cells(low: str, high: str, side: int):
+        return F.sequence(F.floor(F.col(low) / side), F.floor((F.col(high) - 1) / side))
+
+    def spread(df: DataFrame, side: int) -> DataFrame:
+        return df.withColumn("_cx", F.explode(cells("x0", "x1", side))).withColumn("_cy", F.explode(cells("y0", "y1", side)))
 
     ensure_checkpoint_dir(areas.sparkSession)
-    touched = (areas.withColumn("_cx", F.explode(cells("x0", "x1"))).withColumn("_cy", F.explode(cells("y0", "y1"))))
-    chain = Window.partitionBy("page_id", "_cx", "_cy").orderBy("ordinal")
-    waits = touched.select("page_id", "ordinal", F.lag("ordinal").over(chain).alias("before"))
+    place = ["page_id", "_cx", "_cy"]
+    corners = areas.select(*KEYS, "x0", "y0", "x1", "y1")
+    shared = spread(corners, CELL).groupBy(*place).agg(F.count("*").alias("_n")).where(F.col("_n") > 1)
+    near = corners.join(spread(corners, CELL).join(shared, place, "left_semi").select(*KEYS).distinct(), KEYS, "left_semi")
+    chain = Window.partitionBy(*place).orderBy("ordinal")  # the blocks over one pixel
+    waits = spread(near, 1).select("page_id", "ordinal", F.lag("ordinal").over(chain).alias("before"))
     waits = waits.where(F.col("before").isNotNull()).distinct().checkpoint()
-    steps = areas.select("page_id", "ordinal", F.lit(0).alias("step")).checkpoint()
+    bound = waits.select(*KEYS).unionByName(waits.select("page_id", F.col("before").alias("ordinal"))).distinct()
+    steps = bound.select(*KEYS, F.lit(0).alias("step")).checkpoint()
     while True:
         ready = steps.select("page_id", F.col("ordinal").alias("before"), (F.col("step") + 1).alias("_s"))
         later = waits.join(ready, ["page_id", "before"]).groupBy("page_id", "ordinal").agg(F.max("_s").alias("_s"))
         moved = steps.join(later, KEYS, "left").select(*KEYS, F.coalesce("_s", F.lit(0)).alias("_new"), "step")
         moved = moved.checkpoint()
         if moved.where(F.col("_new") != F.col("step")).isEmpty():
-            return areas.join(steps, KEYS)
+            return areas.join(steps.withColumn("bound", F.lit(True)), KEYS, "left").withColumns(
+                {"bound": F.coalesce("bound", F.lit(False)), "step": F.coalesce("step", F.lit(0))})
         steps = moved.select(*KEYS, F.col("_new").alias("step"))
 
 
@@ -93,34 +104,40 @@ def erase_page(pixels: DataFrame, blocks: DataFrame, onomatopoeia_mode: str = "i
     """Erase the text of every page.
 
     Blocks act one after another, and an overlapping block sees earlier fills.
-    Blocks of one step cannot overlap, so each step is one set operation over
-    all pages; `disjoint=True` skips the ordering where overlap is ruled out.
+    Blocks that overlap no other are one set operation over all pages. The
+    rest goes step by step over a table of only the pixels under them; the page
+    pixels are read to crop either kind and joined once with all that changed.
+    `disjoint=True` skips the ordering where overlap is ruled out.
     """
     areas = rects(visible_for(blocks, "erase", onomatopoeia_mode))
     if disjoint:
         filled, mask, routes = erase_steps(pixels, areas)
         return ErasePlan(apply_fill(pixels, filled), mask, routes)
-    spark = pixels.sparkSession
-    ensure_checkpoint_dir(spark)
     ordered = erase_order(areas).checkpoint()
-    last = ordered.agg(F.max("step")).head()[0]
-    masks, routes = [], []
-    for step in range((last if last is not None else -1) + 1):
-        filled, mask, route = erase_steps(pixels, ordered.where(F.col("step") == step).drop("step"))
+    free = ordered.where(~F.col("bound")).drop("bound", "step")
+    filled, mask, routes = erase_steps(pixels, free)
+    bound = ordered.where("bound").drop("bound")
+    last = bound.agg(F.max("step")).head()[0]
+    if last is None:
+        return ErasePlan(apply_fill(pixels, filled), mask, routes)
+    under = R.crop_pixels(pixels, bound).join(bound.select(*KEYS, "x0", "y0"), KEYS).select(
+        "page_id", (F.col("x") + F.col("x0")).cast("int").alias("x"), (F.col("y") + F.col("y0")).cast("int").alias("y"), *R.CHANNELS)
+    under = under.distinct().checkpoint()
+    masks, ways = [mask], [routes]
+    for step in range(last + 1):
+        changed, mask, route = erase_steps(under, bound.where(F.col("step") == step).drop("step"))
         masks.append(mask)
-        routes.append(route)
-        pixels = apply_fill(pixels, filled).checkpoint()
-    if not masks:
-        filled, mask, route = erase_steps(pixels, areas)
-        return ErasePlan(pixels, mask, route)
-    return ErasePlan(pixels, R.union_masks(*masks), union_all(routes))
+        ways.append(route)
+        under = apply_fill(under, changed).checkpoint()
+    return ErasePlan(apply_fill(pixels, filled.unionByName(under)), R.union_masks(*masks), union_all(ways))
 
 
 def finish_inpaint(original: DataFrame, inpainted: DataFrame, mask: DataFrame, sizes: DataFrame,
-                   feather_radius: int) -> DataFrame:
+                   feather_radius: int | str = "feather_radius") -> DataFrame:
     """Smooth the inpainted pixels and blend them in along the mask edge.
 
-    Only positions under the blurred mask are smoothed; no other is visible.
+    `sizes`: page_id, cw, ch and each page's feather_radius; a number in its
+    place holds for all pages. Only positions under the blurred mask are smoothed; no other is visible.
     """
     keys = ["page_id"]
     alpha = R.soft_mask(mask, sizes, keys, feather_radius)

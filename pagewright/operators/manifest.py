@@ -1,7 +1,14 @@
-"""Page manifest and artifact cache: marks, merges, clean-up, export."""
+"""Page manifest and artifact cache: marks, merges, clean-up, export.
+
+Names are unique in a folder only. Over many folders, pages and listing carry
+the same folder columns, and `folder` names them: equal names of two folders
+then never meet.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +16,7 @@ from ..functions.names import artifact_kind, artifact_owner, export_name, natura
 from ..schema import StyleConfig
 from .ranking import last_wins, neighbours, row_numbers
 
-# Best picture of a page first: (kind, location).
+# Fixed values. Best picture of a page first: (kind, location).
 PREVIEW_ORDER = (("translated", "cache"), ("translated", "root"), ("erased", "cache"), ("erased", "root"))
 STATUSES = ("idle", "processing", "completed", "failed")
 
@@ -19,60 +26,60 @@ def with_artifact_parts(listing: DataFrame) -> DataFrame:
     return listing.withColumns({"kind": artifact_kind(F.col("file_name")), "owner": artifact_owner(F.col("file_name"))})
 
 
-def artifact_flags(listing: DataFrame) -> DataFrame:
-    """One row per owner: has_ocr_cache (blocks), has_erased_cache (either picture)."""
+def artifact_flags(listing: DataFrame, folder: Sequence[str] = ()) -> DataFrame:
+    """One row per folder and owner: has_ocr_cache (blocks), has_erased_cache (either picture)."""
     known = with_artifact_parts(listing).where(F.coalesce("owner", F.lit("")) != "")
-    return known.groupBy("owner").agg(
+    return known.groupBy(*folder, "owner").agg(
         F.bool_or(F.col("kind") == "blocks").alias("has_ocr_cache"),
         F.bool_or(F.col("kind").isin("translated", "erased")).alias("has_erased_cache"))
 
 
-def mark_cached(pages: DataFrame, listing: DataFrame) -> DataFrame:
+def mark_cached(pages: DataFrame, listing: DataFrame, folder: Sequence[str] = ()) -> DataFrame:
     """Cached blocks make a page completed at 100 %; other pages start idle at 0."""
-    flags = artifact_flags(listing).withColumnRenamed("owner", "name")
+    flags = artifact_flags(listing, folder).withColumnRenamed("owner", "name")
     keep = [c for c in pages.columns if c not in ("status", "progress", "has_ocr_cache", "has_erased_cache")]
     has_blocks = F.coalesce("has_ocr_cache", F.lit(False))
-    return pages.select(*keep).join(flags, "name", "left").select(
+    return pages.select(*keep).join(flags, [*folder, "name"], "left").select(
         *keep, F.when(has_blocks, F.lit("completed")).otherwise(F.lit("idle")).alias("status"),
         F.when(has_blocks, F.lit(100)).otherwise(F.lit(0)).alias("progress"),
         has_blocks.alias("has_ocr_cache"), F.coalesce("has_erased_cache", F.lit(False)).alias("has_erased_cache"))
 
 
-def known_names(pages: DataFrame) -> DataFrame:
-    return pages.select("name").distinct()
+def known_names(pages: DataFrame, folder: Sequence[str] = ()) -> DataFrame:
+    return pages.select(*folder, "name").distinct()
 
 
-def orphan_marks(listing: DataFrame, pages: DataFrame) -> DataFrame:
+def orphan_marks(listing: DataFrame, pages: DataFrame, folder: Sequence[str] = ()) -> DataFrame:
     """Adds `is_orphan`: the owner is known from the name but no page has it."""
-    names = known_names(pages).select(F.col("name").alias("owner"), F.lit(True).alias("_known"))
-    marked = with_artifact_parts(listing).join(names, "owner", "left")
+    names = known_names(pages, folder).select(*folder, F.col("name").alias("owner"), F.lit(True).alias("_known"))
+    marked = with_artifact_parts(listing).join(names, [*folder, "owner"], "left")
     has_owner = F.coalesce("owner", F.lit("")) != ""
     return marked.withColumn("is_orphan", has_owner & F.col("_known").isNull()).drop("_known")
 
 
-def orphans(listing: DataFrame, pages: DataFrame) -> DataFrame:
+def orphans(listing: DataFrame, pages: DataFrame, folder: Sequence[str] = ()) -> DataFrame:
     """The delete list. Nothing is deleted here."""
     owned = with_artifact_parts(listing).where(F.coalesce("owner", F.lit("")) != "")
-    return owned.join(known_names(pages).withColumnRenamed("name", "owner"), "owner", "left_anti")
+    return owned.join(known_names(pages, folder).withColumnRenamed("name", "owner"), [*folder, "owner"], "left_anti")
 
 
-def cleanup_summary(listing: DataFrame, pages: DataFrame) -> DataFrame:
-    return orphan_marks(listing, pages).agg(F.count_if("is_orphan").alias("deleted"),
+def cleanup_summary(listing: DataFrame, pages: DataFrame, folder: Sequence[str] = ()) -> DataFrame:
+    return orphan_marks(listing, pages, folder).agg(F.count_if("is_orphan").alias("deleted"),
                                             F.count_if(~F.col("is_orphan")).alias("kept"))
 
 
-def best_artifact(pages: DataFrame, listing: DataFrame) -> DataFrame:
+def best_artifact(pages: DataFrame, listing: DataFrame, folder: Sequence[str] = ()) -> DataFrame:
     """`translated_path` by PREVIEW_ORDER for completed pages, `erased_path` cache before root."""
     files = with_artifact_parts(listing).withColumn("path", F.concat_ws("/", "location", "file_name"))
     rank = F.lit(None).cast("int")
     for i, (kind, location) in enumerate(PREVIEW_ORDER):
         rank = F.when((F.col("kind") == kind) & (F.col("location") == location), F.lit(i)).otherwise(rank)
     ranked = files.withColumn("_rank", rank).where(F.col("_rank").isNotNull())
-    best = ranked.groupBy(F.col("owner").alias("name")).agg(
+    best = ranked.groupBy(*folder, F.col("owner").alias("name")).agg(
         F.min_by("path", F.struct("_rank", "path")).alias("translated_path"),
         F.min(F.when(F.col("kind") == "erased", F.struct("_rank", "path"))).getField("path").alias("erased_path"))
     completed = F.when(F.col("status") == "completed", F.col("translated_path"))
-    return pages.join(best, "name", "left").withColumn("translated_path", completed)
+    return pages.join(best, [*folder, "name"], "left").withColumn("translated_path", completed)
 
 
 def display_path(pages: DataFrame) -> DataFrame:
@@ -139,10 +146,10 @@ def media_summary(files: DataFrame, media_type: str = "media_type") -> DataFrame
     return counted.withColumn("error", F.when(F.col("accepted") == 0, F.lit("No image files")))
 
 
-def natural_order(pages: DataFrame, chapter: list[str] | None = None, hot_rows: int | None = None) -> DataFrame:
+def natural_order(pages: DataFrame, chapter: list[str] | None = None) -> DataFrame:
     """Adds `page_rank` from 1 in natural name order (then page_id), per chapter or over all pages."""
     keyed = pages.withColumn("_key", natural_key(F.col("name")))
-    return row_numbers(keyed, chapter or [], ["_key", "page_id"], "page_rank", hot_rows).drop("_key")
+    return row_numbers(keyed, chapter or [], ["_key", "page_id"], "page_rank").drop("_key")
 
 
 def page_neighbours(ranked: DataFrame, chapter: list[str] | None = None) -> DataFrame:
@@ -151,7 +158,7 @@ def page_neighbours(ranked: DataFrame, chapter: list[str] | None = None) -> Data
     return out.withColumns({"has_prev": F.col("prev_page").isNotNull(), "has_next": F.col("next_page").isNotNull()})
 
 
-def export_manifest(pages: DataFrame, style: StyleConfig) -> DataFrame:
+def export_manifest(pages: DataFrame, style: StyleConfig, folder: Sequence[str] = ()) -> DataFrame:
     """Completed pages with a block list, by archive entry; of equal entries the last page counts.
 
     `pages`: page_id, name, status, n_blocks (null: no list), render_hash,
@@ -161,7 +168,7 @@ def export_manifest(pages: DataFrame, style: StyleConfig) -> DataFrame:
     reusable = F.lit(not style.export_compressed) & F.coalesce("has_translated", F.lit(False)) & \
         F.col("render_hash").eqNullSafe(F.col("last_rendered_hash"))
     entries = ready.select(
-        export_name(F.col("name"), style.export_compressed).alias("entry_name"), "page_id", "name", "n_blocks",
+        *folder, export_name(F.col("name"), style.export_compressed).alias("entry_name"), "page_id", "name", "n_blocks",
         F.when(reusable, F.lit("reuse")).otherwise(F.lit("render")).alias("action"),
         F.lit("image/webp" if style.export_compressed else "image/png").alias("content_type"))
-    return last_wins(entries, ["entry_name"], [natural_key(F.col("name")), "page_id"])
+    return last_wins(entries, [*folder, "entry_name"], [natural_key(F.col("name")), "page_id"])

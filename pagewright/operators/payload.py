@@ -1,8 +1,8 @@
 """Blocks of a page as JSON: translation requests, cache content, render hash.
 
-A page is cut into parts of `part_rows` blocks (see `ordered_parts`). Usual
-pages have the single part 0, which is the whole document. Requests of several
-parts are separate valid requests; block ids keep them apart on the way back.
+A page is one document at any size. A caller whose service bounds its requests
+passes `part_rows`; the parts are then separate valid requests of that many
+blocks, and block ids keep them apart on the way back.
 """
 
 from __future__ import annotations
@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions.semantics import round_half_up, text_or
 from ..schema import BLOCK_FIELDS, StyleConfig
-from .ranking import PART_ROWS, ordered_parts
+from .ranking import ordered_parts
 
 
-def request_payload(blocks: DataFrame, part_rows: int = PART_ROWS, extra: Sequence[Column] = ()) -> DataFrame:
+def request_payload(blocks: DataFrame, part_rows: int | None = None, extra: Sequence[Column] = ()) -> DataFrame:
     """(page_id, part, n_items, payload, …): id, text and rounded percents per block in order."""
     item = F.struct(
         F.col("block_id").alias("id"), F.col("original_text").alias("text"),
@@ -32,7 +32,7 @@ def block_struct(blocks: DataFrame) -> Column:
     return F.struct(*[F.col(names.get(f, f)).alias(f) for f in BLOCK_FIELDS])
 
 
-def blocks_json(blocks: DataFrame, key: str = "page_id", part_rows: int = PART_ROWS) -> DataFrame:
+def blocks_json(blocks: DataFrame, key: str = "page_id", part_rows: int | None = None) -> DataFrame:
     """(key, part, n_items, blocks_json): every stored field, in order."""
     parts = ordered_parts(blocks, [key], "ordinal", block_struct(blocks), "_items", part_rows)
     return parts.select(key, "part", "n_items", F.to_json("_items").alias("blocks_json"))
@@ -53,29 +53,29 @@ def style_text(style: StyleConfig) -> str:
                     for v in values)
 
 
-def render_hash(blocks: DataFrame, style: StyleConfig, part_rows: int = PART_ROWS) -> DataFrame:
+def render_hash(blocks: DataFrame, style: StyleConfig) -> DataFrame:
     """(page_id, render_hash) over style, text, colours and type.
 
-    Geometry and font size are not part of it; `layout_hash` includes them. The
-    hash is the SHA-256 of the plain text; a page of several parts hashes the
-    hashes of its parts, so no task holds all blocks of a page.
+    Geometry and font size are not part of it; `layout_hash` includes them.
     """
     item = F.concat_ws("-", F.coalesce("translated_text", F.lit("")), F.coalesce("text_color", F.lit("")),
                        F.coalesce("bg_color", F.lit("")), text_or(F.col("type"), "bubble"))
-    return _hash_parts(ordered_parts(blocks, ["page_id"], "ordinal", item, "_items", part_rows),
-                       F.array_join("_items", ","), style_text(style), "render_hash")
+    return _page_hash(blocks, item, style_text(style), "render_hash")
 
 
-def layout_hash(blocks: DataFrame, style: StyleConfig, part_rows: int = PART_ROWS) -> DataFrame:
+def layout_hash(blocks: DataFrame, style: StyleConfig) -> DataFrame:
     """(page_id, layout_hash): as `render_hash`, with geometry, font size and escaped fields."""
-    parts = ordered_parts(blocks, ["page_id"], "ordinal", block_struct(blocks), "_items", part_rows)
-    return _hash_parts(parts, F.to_json("_items"), style_text(style) + f"-{style.export_compressed}".lower(),
-                       "layout_hash")
+    return _page_hash(blocks, F.to_json(block_struct(blocks)), style_text(style) + f"-{style.export_compressed}".lower(), "layout_hash")
 
 
-def _hash_parts(parts: DataFrame, text: Column, prefix: str, name: str) -> DataFrame:
-    hashed = parts.select("page_id", "part", F.sha2(F.concat(F.lit(prefix + "-"), text), 256).alias("_h"))
-    listed = F.array_sort(F.collect_list(F.struct("part", "_h")))
-    per_page = hashed.groupBy("page_id").agg(F.transform(listed, lambda s: s["_h"]).alias("_hs"))
-    return per_page.select("page_id", F.when(F.size("_hs") == 1, F.get("_hs", F.lit(0))).otherwise(
-        F.sha2(F.array_join("_hs", ","), 256)).alias(name))
+def _page_hash(blocks: DataFrame, item: Column, prefix: str, name: str) -> DataFrame:
+    """SHA-256 over the style, the number of blocks and the sum of their digests.
+
+    A block's digest covers its ordinal and its text, so order and content both
+    count; four 60-bit words of it are summed. Sums are combined before the
+    shuffle: no task holds the blocks of a page, and one rule fits every size.
+    """
+    digests = blocks.select("page_id", F.sha2(F.concat(F.col("ordinal").cast("string"), F.lit(":"), item), 256).alias("_h"))
+    words = [F.sum(F.conv(F.substring("_h", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")).cast("string") for i in range(4)]
+    return digests.groupBy("page_id").agg(
+        F.sha2(F.concat_ws("-", F.lit(prefix), F.count("*").cast("string"), *words), 256).alias(name))

@@ -5,63 +5,47 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
-# Largest group that is ranked by one window task.
-HOT_ROWS = 1_000_000
-# Rows that share one list or one window when a group is cut by position.
+# Positions that share one window when a group is cut by position; affects tasks, not results.
 PART_ROWS = 10_000
 
 
-def row_numbers(df: DataFrame, group: list[str], order: list[str | Column], name: str,
-                hot_rows: int | None = None) -> DataFrame:
+def row_numbers(df: DataFrame, group: list[str], order: list[str | Column], name: str) -> DataFrame:
     """Exact row number from 1 inside each group, in `order`.
 
-    Groups up to `hot_rows` use one window. Larger ones are range-sorted over
-    group and order together, so they spread over many tasks; the sorted rows
-    are checkpointed and numbered by local position plus the sizes of the
-    earlier slices. No rows are dropped on either way.
+    Rows are range-sorted over group and order together, so a group of any size
+    spreads over many tasks; the sorted rows are checkpointed (an exact rank
+    needs the sizes of the slices before, hence one job) and numbered by local
+    position plus the sizes of the earlier slices. A null group is a group.
     """
-    hot_rows = hot_rows or HOT_ROWS
-    if not group:
-        if df.count() <= hot_rows:
-            one = Window.partitionBy(F.lit(0)).orderBy(*order)
-            return df.withColumn(name, F.row_number().over(one).cast("long"))
-        return _number_sorted(df, [], order, name)
-    window = Window.partitionBy(*group).orderBy(*order)
-    hot = df.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows).select(*group)
-    if hot.isEmpty():
-        return df.withColumn(name, F.row_number().over(window).cast("long"))
-    ensure_checkpoint_dir(df.sparkSession)
-    hot = hot.checkpoint()  # at most (all rows / hot_rows) keys
-    cold = df.join(hot, group, "left_anti").withColumn(name, F.row_number().over(window).cast("long"))
-    big = _number_sorted(df.join(hot, group, "left_semi"), group, order, name)
-    return cold.unionByName(big)
-
-
-def _number_sorted(df: DataFrame, group: list[str], order: list[str | Column], name: str) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     # The id holds the slice number in its upper bits and the local position in
     # the lower 33. It must not change after it is read once: hence checkpoint.
-    rows = (df.orderBy(*group, *order).withColumn("_id", F.monotonically_increasing_id()).checkpoint()
+    rows = (df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
+            .withColumn("_id", F.monotonically_increasing_id()).checkpoint()
             .withColumn("_slice", F.shiftright("_id", 33))
             .withColumn("_local", F.col("_id").bitwiseAND((1 << 33) - 1)))
-    slices = rows.groupBy(*group, "_slice").agg(F.min("_local").alias("_first"), F.count("*").alias("_n"))
-    # One row per group and slice: its size is bounded by the number of slices.
-    earlier = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    joined = rows.join(slices.drop("_n"), [*group, "_slice"])
-    return joined.withColumn(name, F.col("_local") - F.col("_first") + F.col("_before") + 1).select(*df.columns, name)
+    # One number per slice, as many as the range sort has tasks.
+    sizes = sorted((r["_slice"], r["_n"]) for r in rows.groupBy("_slice").agg(F.count("*").alias("_n")).collect())
+    before = accumulate((n for _, n in sizes), initial=0)
+    slices = df.sparkSession.createDataFrame([(s, b) for (s, _), b in zip(sizes, before)], "_slice long, _before long")
+    placed = rows.join(F.broadcast(slices), "_slice").withColumn("_at", F.col("_before") + F.col("_local"))
+    if not group:
+        return placed.withColumn(name, F.col("_at") + 1).select(*df.columns, name)
+    first = placed.groupBy(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)]).agg(F.min("_at").alias("_first"))
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)])
+    return placed.join(first, same).withColumn(name, F.col("_at") - F.col("_first") + 1).select(*df.columns, name)
 
 
-def with_ordinal(df: DataFrame, group: list[str], order: list[str | Column], name: str = "ordinal",
-                 hot_rows: int | None = None) -> DataFrame:
+def with_ordinal(df: DataFrame, group: list[str], order: list[str | Column], name: str = "ordinal") -> DataFrame:
     """Position from 0 inside each group (array index)."""
-    ranked = row_numbers(df, group, order, name, hot_rows)
+    ranked = row_numbers(df, group, order, name)
     return ranked.withColumn(name, (F.col(name) - 1).cast("int"))
 
 
@@ -96,13 +80,13 @@ def batches(df: DataFrame, rank: str, size: int = 5, name: str = "batch_no") ->
 
 
 def ordered_parts(df: DataFrame, group: list[str], ordinal: str, item: Column, name: str,
-                  part_rows: int = PART_ROWS, extra: Sequence[Column] = ()) -> DataFrame:
-    """Ordered lists of `item` per group, cut every `part_rows` ordinals.
+                  part_rows: int | None = None, extra: Sequence[Column] = ()) -> DataFrame:
+    """Ordered lists of `item` per group: (group, part, n_items, name) and the `extra` aggregates.
 
-    Gives (group, part, n_items, name) and the `extra` aggregates. A group within one part is one row with
-    part 0. Ordinals are unique in a group, so no list grows past `part_rows`.
+    A group is one list with part 0, as the document it stands for is one value. With `part_rows` the list
+    is cut every so many ordinals; these are unique in a group, so no list is longer.
     """
-    cut = df.withColumn("part", F.floor(F.col(ordinal) / part_rows).cast("int"))
+    cut = df.withColumn("part", F.floor(F.col(ordinal) / part_rows).cast("int") if part_rows else F.lit(0))
     listed = F.array_sort(F.collect_list(F.struct(F.col(ordinal).alias("_o"), item.alias("_v"))))
     return cut.groupBy(*group, "part").agg(
         F.count("*").alias("n_items"), F.transform(listed, lambda s: s["_v"]).alias(name), *extra)

@@ -18,6 +18,7 @@ from ..functions.colour import grey_fixed_point, grey_of_background, luma_float,
 from ..functions.semantics import median_avg_trunc, median_upper
 
 CHANNELS = ("b", "g", "r")
+# Thresholds on colours and pixels.
 UNIFORM_STD = 15.0
 TEXT_DIFF = 25
 SOLID_TOLERANCE = 8
@@ -128,28 +129,53 @@ def reflect(pos: Column, limit: Column) -> Column:
     return F.when(limit == 1, F.lit(0)).otherwise(F.least(inside, period - inside))
 
 
-def blur_mask(mask: DataFrame, sizes: DataFrame, keys: Sequence[str], radius: int) -> DataFrame:
+def kernel_weight(offset: Column, radius: Column, total: Column) -> Column:
+    """Weight of a Gaussian kernel of 2 radius + 1 at an offset from its middle, as `gaussian_kernel` gives it.
+
+    `total` is the sum of the unscaled weights, for radii above 3.
+    """
+    small = F.lit(None).cast("double")
+    for size, weights in SMALL_KERNELS.items():
+        small = F.when(radius == size // 2, F.get(F.array(*map(F.lit, weights)), (offset + radius).cast("int"))).otherwise(small)
+    return F.coalesce(small, _bell(offset, radius) / total)
+
+
+def _bell(offset: Column, radius: Column) -> Column:
+    sigma = 0.3 * (radius - 1) + 0.8
+    return F.exp(-(offset * offset) / (2 * sigma * sigma))
+
+
+def _with_radius(sizes: DataFrame, keys: Sequence[str], radius: int | str) -> DataFrame:
+    """(keys, cw, ch, _r, _total): the radius of each group, a number for all or a column of `sizes`."""
+    r = F.col(radius) if isinstance(radius, str) else F.lit(radius)
+    one = sizes.select(*keys, "cw", "ch", r.cast("int").alias("_r"))
+    around = F.sequence(-F.greatest("_r", F.lit(1)), F.greatest("_r", F.lit(1)))
+    return one.withColumn("_total", F.aggregate(around, F.lit(0.0), lambda s, d: s + _bell(d, F.greatest("_r", F.lit(1)))))
+
+
+def blur_mask(mask: DataFrame, sizes: DataFrame, keys: Sequence[str], radius: int | str) -> DataFrame:
     """Gaussian blur of a 0/1 mask with kernel 2 radius + 1: (keys, x, y, alpha), alpha > 0 only.
 
-    Sends each mask pixel to the positions that read it, rows then columns, and
-    sums per position; the sums combine before the shuffle.
+    `radius` is one number or the name of a column of `sizes`. Sends each mask
+    pixel to the positions that read it, rows then columns, and sums per
+    position; the sums combine before the shuffle.
     """
-    kernel = F.array(*[F.lit(w) for w in gaussian_kernel(2 * radius + 1)])
-    sized = mask.join(sizes.select(*keys, "cw", "ch"), list(keys)).withColumn("alpha", F.lit(1.0))
+    sized = mask.join(_with_radius(sizes, keys, radius), list(keys)).withColumn("alpha", F.lit(1.0))
+    r = F.col("_r")
 
     def spread(df: DataFrame, axis: str, limit: str) -> DataFrame:
         own, last = F.col(axis).cast("int"), (F.col(limit) - 1).cast("int")
         # Padded positions that show this pixel: its own, and mirror images near a border.
-        outside = F.concat(F.sequence(F.lit(-radius), F.lit(-1)), F.sequence(last + 1, last + radius))
+        outside = F.concat(F.sequence(-r, F.lit(-1)), F.sequence(last + 1, last + r))
         mirrored = F.filter(outside, lambda q: reflect(q, F.col(limit)) == F.col(axis))
-        near_edge = (own <= radius) | (own >= last - radius)
+        near_edge = (own <= r) | (own >= last - r)
         shown = F.when(near_edge, F.concat(F.array(own), mirrored)).otherwise(F.array(own))
         seen = df.withColumn("_q", F.explode(shown))
-        seen = seen.where((F.col("_q") >= -radius) & (F.col("_q") <= last + radius))
-        readers = F.sequence(F.greatest(F.lit(0), F.col("_q") - radius), F.least(last, F.col("_q") + radius))
+        seen = seen.where((F.col("_q") >= -r) & (F.col("_q") <= last + r))
+        readers = F.sequence(F.greatest(F.lit(0), F.col("_q") - r), F.least(last, F.col("_q") + r))
         moved = seen.withColumn("_p", F.explode(readers))
-        return moved.groupBy(*keys, *[c for c in ("x", "y") if c != axis], F.col("_p").alias(axis), "cw", "ch").agg(
-            F.sum(F.col("alpha") * F.get(kernel, F.col("_q") - F.col("_p") + radius)).alias("alpha"))
+        return moved.groupBy(*keys, *[c for c in ("x", "y") if c != axis], F.col("_p").alias(axis), "cw", "ch", "_r", "_total").agg(
+            F.sum(F.col("alpha") * kernel_weight(F.col("_q") - F.col("_p"), r, F.col("_total"))).alias("alpha"))
 
     return spread(spread(sized, "x", "cw"), "y", "ch").select(*keys, "x", "y", "alpha")
 
@@ -170,16 +196,23 @@ def composite(original: DataFrame, filled: DataFrame, alpha: DataFrame, keys: Se
     return joined.withColumns({c: mixed(c) for c in CHANNELS}).select(*original.columns)
 
 
-def soft_mask(mask: DataFrame, sizes: DataFrame, keys: Sequence[str], radius: int) -> DataFrame:
+def soft_mask(mask: DataFrame, sizes: DataFrame, keys: Sequence[str], radius: int | str) -> DataFrame:
     """(keys, x, y, alpha): the blurred mask, or the plain one for a radius of 0 or less."""
-    if radius <= 0:
-        return mask.select(*keys, "x", "y", F.lit(1.0).alias("alpha"))
-    return blur_mask(mask, sizes, keys, radius)
+    if isinstance(radius, int):
+        if radius <= 0:
+            return mask.select(*keys, "x", "y", F.lit(1.0).alias("alpha"))
+        return blur_mask(mask, sizes, keys, radius)
+    hard = mask.join(sizes.where(F.col(radius) <= 0).select(*keys), list(keys), "left_semi").select(*keys, "x", "y", F.lit(1.0).alias("alpha"))
+    return blur_mask(mask, sizes.where(F.col(radius) > 0), keys, radius).unionByName(hard)
 
 
 def feather_blend(original: DataFrame, filled: DataFrame, mask: DataFrame, sizes: DataFrame, keys: Sequence[str],
-                  radius: int) -> DataFrame:
-    """Blend along a blurred mask edge; a radius of 0 or less copies the masked pixels."""
+                  radius: int | str) -> DataFrame:
+    """Blend along a blurred mask edge; a radius of 0 or less copies the masked pixels.
+
+    `radius` is one number or the name of a column of `sizes`, such as the
+    `feather_radius` of each page (`geometry.radii`).
+    """
     return composite(original, filled, soft_mask(mask, sizes, keys, radius), keys)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Providers by what they accept.
 VISION_PROVIDERS = ("gemini", "openai", "custom")
 TEXT_PROVIDERS = ("gemini", "openai", "custom", "deepseek")
 

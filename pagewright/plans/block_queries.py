@@ -72,6 +72,17 @@ def ocr_blocks(t: Tables) -> DataFrame:
                          r6("font_size_pct"), "is_vertical", r6("confidence"))
 
 
+SHAPES = ("'{\"error\":\"x\"}'", "'[]'", "'{\"blocks\":[]}'", "'no json'", "CAST(NULL AS STRING)", "'{\"blocks\":[{\"text\":\"a\"}]}'")
+
+
+@query("ocr_errors", """
+SELECT event_id AS page_id, 'Invalid OCR reply' AS error FROM events WHERE event_id % 6 IN (0, 1, 3, 4)""")
+def ocr_errors(t: Tables) -> DataFrame:
+    """Replies of a wrong shape, an empty list, no JSON and no reply at all among good ones."""
+    reply = F.element_at(F.array(*map(F.expr, SHAPES)), (F.col("event_id") % 6 + 1).cast("int"))
+    return B.ocr_errors(t["events"].select(F.col("event_id").alias("page_id"), reply.alias("reply")))
+
+
 @query("ocr_parallel_arrays", """
 SELECT o_orderkey AS page_id, CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY i) - 1 AS INT) AS ordinal,
   text, round(confidence, 6) AS confidence, px0, py0, px1, py1
@@ -232,10 +243,10 @@ def visible_blocks(t: Tables) -> DataFrame:
     """Blocks per page that each stage works on, for each sound-effect mode."""
     cases = [("cover", "ignore"), ("cover", "transparent"), ("cover", "normal"), ("text", "ignore"),
              ("text", "transparent"), ("erase", "ignore"), ("erase", "normal")]
-    blocks = t["fx_blocks"].select("page_id", "type")
-    counted = [B.visible_for(blocks, stage, mode).groupBy("page_id").agg(F.count("*").alias("n"))
-               .select(F.lit(stage).alias("stage"), F.lit(mode).alias("mode"), "page_id", "n") for stage, mode in cases]
-    return K.union_all(counted)
+    shown = F.array(*[F.when(B.is_visible(stage, mode), F.struct(F.lit(stage).alias("stage"), F.lit(mode).alias("mode")))
+                      for stage, mode in cases])
+    cells = t["fx_blocks"].select("page_id", F.explode(F.array_compact(shown)).alias("c"))
+    return cells.groupBy("c.stage", "c.mode", "page_id").agg(F.count("*").alias("n"))
 
 
 @query("drop_degenerate", with_views(("fx_blocks",), f"""
@@ -265,13 +276,13 @@ PAYLOAD = PAYLOAD_SQL.replace("{{", "{").replace("}}", "}")
 
 
 @query("request_payload", with_views(("fx_blocks",), f"""
-SELECT page_id, CAST(ordinal // 10000 AS INT) AS part, count(*) AS n_items, {PAYLOAD} AS payload FROM fx_blocks GROUP BY page_id, part"""))
+SELECT page_id, CAST(0 AS INT) AS part, count(*) AS n_items, {PAYLOAD} AS payload FROM fx_blocks GROUP BY page_id, part"""))
 def request_payload(t: Tables) -> DataFrame:
     return P.request_payload(t["fx_blocks"])
 
 
 @query("ready_requests", with_views(("fx_blocks",), f"""
-SELECT page_id, CAST(ordinal // 10000 AS INT) AS part, count(*) AS n_items, count(*) FILTER (WHERE is_vertical) AS n_vertical, {PAYLOAD} AS payload
+SELECT page_id, CAST(0 AS INT) AS part, count(*) AS n_items, count(*) FILTER (WHERE is_vertical) AS n_vertical, {PAYLOAD} AS payload
 FROM fx_blocks WHERE xmax > xmin AND ymax > ymin AND coalesce(type, 'bubble') <> 'onomatopoeia' GROUP BY page_id, part"""))
 def ready_requests(t: Tables) -> DataFrame:
     """Flagship: pages with their usable blocks as requests, and how many are vertical."""
@@ -281,7 +292,7 @@ def ready_requests(t: Tables) -> DataFrame:
 
 
 @query("blocks_json", with_views(("fx_blocks",), """
-SELECT page_id, CAST(ordinal // 10000 AS INT) AS part, count(*) AS n_items, '[' || string_agg(CAST(to_json(
+SELECT page_id, CAST(0 AS INT) AS part, count(*) AS n_items, '[' || string_agg(CAST(to_json(
   {'id': block_id, 'original_text': original_text, 'translated_text': translated_text, 'ymin': round(ymin, 3), 'xmin': round(xmin, 3),
    'ymax': round(ymax, 3), 'xmax': round(xmax, 3), 'text_color': text_color, 'bg_color': bg_color,
    'font_size_pct': round(font_size_pct, 3), 'type': coalesce(type, 'bubble')}) AS VARCHAR), ',' ORDER BY ordinal) || ']' AS blocks_json
@@ -292,12 +303,12 @@ def blocks_json(t: Tables) -> DataFrame:
 
 
 STYLE_TEXT = "Outfit-1-original-#FFFFFF-original-#000000-90-true-false-#000000-2-true-false-true-ignore-"
-# The hash of the text, or of the part hashes where a page has more than one part.
+# The style, the number of blocks and the summed words of the block digests.
 HASH_SQL = f"""
-SELECT page_id, CAST(sum(n) AS BIGINT) AS n_blocks, CASE WHEN count(*) = 1 THEN any_value(h) ELSE sha256(string_agg(h, ',' ORDER BY part)) END AS render_hash
-FROM (SELECT page_id, ordinal // 10000 AS part, count(*) AS n, sha256('{STYLE_TEXT}' || string_agg(
-        concat_ws('-', translated_text, text_color, bg_color, coalesce(type, 'bubble')), ',' ORDER BY ordinal)) AS h
-      FROM fx_blocks GROUP BY page_id, part) GROUP BY page_id"""
+SELECT page_id, count(*) AS n_blocks, sha256(concat_ws('-', '{STYLE_TEXT.removesuffix('-')}', CAST(count(*) AS VARCHAR),
+  {', '.join(f"CAST(sum(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS BIGINT)) AS VARCHAR)" for i in range(4))})) AS render_hash
+FROM (SELECT page_id, sha256(concat(CAST(ordinal AS VARCHAR), ':', concat_ws('-', coalesce(translated_text, ''), coalesce(text_color, ''),
+        coalesce(bg_color, ''), coalesce(type, 'bubble')))) AS h FROM fx_blocks) GROUP BY page_id"""
 
 
 @query("render_hash", with_views(("fx_blocks",), f"SELECT page_id, render_hash FROM ({HASH_SQL})"))
@@ -358,7 +369,7 @@ def image_payload(t: Tables) -> DataFrame:
 WITH folded AS (SELECT doc_id, source, translate(lower(concat(source, '_', lang, doc_id, '-p0', doc_id % 7, ' (x).png')),
     ' _-,;:!?.''"()[]{}@*/\\&#%`^+<=>|~$', concat(""" + ", ".join(f"chr({i + 1})" for i in range(33)) + """)) AS name FROM documents)
 SELECT doc_id, array_to_string(list_transform(regexp_extract_all(name, '(\\d+|\\D+)', 1), lambda r: CASE WHEN regexp_matches(r, '^\\d')
-  THEN concat(lpad(CAST(length(ltrim(r, '0')) AS VARCHAR), 3, '0'), ltrim(r, '0')) ELSE r END), '') AS sort_key FROM folded""")
+  THEN concat(lpad(CAST(length(ltrim(r, '0')) AS VARCHAR), 10, '0'), ltrim(r, '0')) ELSE r END), '') AS sort_key FROM folded""")
 def natural_keys(t: Tables) -> DataFrame:
     name = F.concat("source", F.lit("_"), "lang", F.col("doc_id").cast("string"), F.lit("-p0"),
                     (F.col("doc_id") % 7).cast("string"), F.lit(" (x).png"))

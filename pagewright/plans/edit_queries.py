@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import edits as D
+from ..operators import payload as P
+from ..schema import StyleConfig
 from ..streaming.edits import invalidate_erased
 from .block_queries import BOX, BOX_SQL
 from .fixtures import Tables
@@ -61,33 +63,65 @@ def page_states(t: Tables) -> DataFrame:
 
 
 EDITED = (
-    ("base", """SELECT page_id, 'b' || ordinal AS block_id, ordinal, xmin, ymin, xmax, ymax, translated_text, coalesce(type, 'bubble') AS type, text_color FROM fx_blocks"""),
-    ("log", """SELECT e.*, {'ts': ts, 'seq': seq} AS o FROM fx_edits e"""),
+    ("base", """SELECT page_id, 'b' || ordinal AS block_id, ordinal, xmin, ymin, xmax, ymax, translated_text, coalesce(type, 'bubble') AS type, text_color, bg_color, width, height FROM fx_blocks"""),
+    ("log", """SELECT page_id, payload, dx, dy, {'ts': ts, 'seq': seq} AS o, CASE WHEN seq % 11 = 0 THEN 'n' || seq ELSE block_id END AS block_id,
+        CASE WHEN seq % 11 = 0 THEN 'create' WHEN op = 'move' AND seq % 2 = 1 THEN 'resize' WHEN op = 'text_color' AND seq % 2 = 1 THEN 'bg_color' ELSE op END AS op
+      FROM fx_edits"""),
     ("reduced", """SELECT page_id, block_id, arg_max(payload, o) FILTER (WHERE op = 'text') AS e_text, arg_max(payload, o) FILTER (WHERE op = 'text_color') AS e_color,
-        arg_max(payload, o) FILTER (WHERE op = 'type') AS e_type, arg_max({'dx': dx, 'dy': dy}, o) FILTER (WHERE op = 'move') AS e_move, bool_or(op = 'delete') AS gone
+        arg_max(payload, o) FILTER (WHERE op = 'type') AS e_type, arg_max(payload, o) FILTER (WHERE op = 'bg_color') AS e_bg, min(o) FILTER (WHERE op = 'create') AS made,
+        arg_max({'dx': dx, 'dy': dy, 'op': op}, o) FILTER (WHERE op IN ('move', 'resize')) AS e_move, bool_or(op = 'delete') AS gone
       FROM log GROUP BY page_id, block_id"""),
     ("moved", """SELECT *, xmax - xmin AS sw, ymax - ymin AS sh, CASE WHEN xmin + e_move.dx < 0 THEN 0 ELSE xmin + e_move.dx END AS mx0,
         CASE WHEN xmin + e_move.dx < 0 THEN xmax - xmin ELSE xmax + e_move.dx END AS mx1, CASE WHEN ymin + e_move.dy < 0 THEN 0 ELSE ymin + e_move.dy END AS my0,
         CASE WHEN ymin + e_move.dy < 0 THEN ymax - ymin ELSE ymax + e_move.dy END AS my1 FROM base LEFT JOIN reduced USING (page_id, block_id)"""),
     ("after", """SELECT page_id, block_id, ordinal, coalesce(e_text, translated_text) AS translated_text, coalesce(e_type, type) AS type, coalesce(e_color, text_color) AS text_color,
-        CASE WHEN e_move IS NULL THEN xmin WHEN mx1 > 100 THEN 100 - sw ELSE mx0 END AS xmin, CASE WHEN e_move IS NULL THEN xmax WHEN mx1 > 100 THEN 100 ELSE mx1 END AS xmax,
-        CASE WHEN e_move IS NULL THEN ymin WHEN my1 > 100 THEN 100 - sh ELSE my0 END AS ymin, CASE WHEN e_move IS NULL THEN ymax WHEN my1 > 100 THEN 100 ELSE my1 END AS ymax
-      FROM moved WHERE NOT coalesce(gone, false)"""),
+        coalesce(e_bg, bg_color) AS bg_color, width, height, CAST(NULL AS STRUCT(ts TIMESTAMP, seq BIGINT)) AS made,
+        CASE WHEN e_move IS NULL OR e_move.op = 'resize' THEN xmin WHEN mx1 > 100 THEN 100 - sw ELSE mx0 END AS xmin, CASE WHEN e_move IS NULL THEN xmax WHEN e_move.op = 'resize' THEN least(100e0, greatest(xmin + 2, xmax + e_move.dx)) WHEN mx1 > 100 THEN 100 ELSE mx1 END AS xmax,
+        CASE WHEN e_move IS NULL OR e_move.op = 'resize' THEN ymin WHEN my1 > 100 THEN 100 - sh ELSE my0 END AS ymin, CASE WHEN e_move IS NULL THEN ymax WHEN e_move.op = 'resize' THEN least(100e0, greatest(ymin + 2, ymax + e_move.dy)) WHEN my1 > 100 THEN 100 ELSE my1 END AS ymax
+      FROM moved WHERE NOT coalesce(gone, false)
+      UNION ALL
+      SELECT r.page_id, r.block_id, NULL, '新文字框', 'bubble', '#FFFFFF', '#000000', s.width, s.height, r.made, 40e0, 60e0, 40e0, 48e0
+      FROM reduced r LEFT JOIN (SELECT page_id, max(width) AS width, max(height) AS height FROM base GROUP BY page_id) s ON s.page_id = r.page_id
+      WHERE r.made IS NOT NULL"""),
 )
 
 
 @query("apply_edits", with_views(("fx_blocks", "fx_edits"), f"""
-SELECT page_id, block_id, ordinal, translated_text, type, text_color, {BOX_SQL} FROM after""", EDITED))
+SELECT page_id, block_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY ordinal NULLS LAST, made, block_id) - 1 AS INT) AS ordinal,
+  translated_text, type, text_color, bg_color, width, height, {BOX_SQL} FROM after""", EDITED))
 def apply_edits(t: Tables) -> DataFrame:
-    """Every drag in the log starts from the detected box."""
+    """Every drag in the log starts from the detected box. Every eleventh edit makes a new block."""
+    return edited_blocks(t).withColumns({c: F.round(c, 6) for c in BOX})
+
+
+def edited_blocks(t: Tables) -> DataFrame:
     blocks = t["fx_blocks"].select("page_id", F.concat(F.lit("b"), F.col("ordinal").cast("string")).alias("block_id"), "ordinal",
-                                   *BOX, "translated_text", F.coalesce("type", F.lit("bubble")).alias("type"), "text_color")
+                                   *BOX, "translated_text", F.coalesce("type", F.lit("bubble")).alias("type"), "text_color",
+                                   "bg_color", "width", "height")
+    made = F.col("seq") % 11 == 0
+    odd = F.col("seq") % 2 == 1
+    op = (F.when(made, "create").when((F.col("op") == "move") & odd, "resize").when((F.col("op") == "text_color") & odd, "bg_color")
+          .otherwise(F.col("op")))
+    edited = t["fx_edits"].withColumns({"op": op, "block_id": F.when(made, F.concat(F.lit("n"), F.col("seq").cast("string"))).otherwise(F.col("block_id"))})
     starts = blocks.select("page_id", "block_id", F.struct(*BOX).alias("start"))
-    log = t["fx_edits"].join(starts, ["page_id", "block_id"], "left")
+    log = edited.join(starts, ["page_id", "block_id"], "left")
     box = D.drag_box({c: F.col(f"start.{c}") for c in BOX}, F.col("op"), F.col("dx"), F.col("dy"))
     edits = log.select("page_id", "block_id", "ts", "seq", "op", F.col("payload").alias("value"),
-                       F.when(F.col("op") == "move", box).alias("box"))
-    return D.apply_edits(blocks, edits).withColumns({c: F.round(c, 6) for c in BOX})
+                       F.when(F.col("op").isin("move", "resize"), box).alias("box"))
+    return D.apply_edits(blocks, edits)
+
+
+@query("edited_stale_pages", with_views(("fx_blocks", "fx_edits"), """
+SELECT page_id FROM (SELECT page_id, list({'o': ordinal, 't': translated_text, 'c': text_color, 'b': bg_color, 'k': type} ORDER BY ordinal) AS v FROM numbered GROUP BY page_id) n
+FULL JOIN (SELECT page_id, list({'o': ordinal, 't': translated_text, 'c': text_color, 'b': bg_color, 'k': type} ORDER BY ordinal) AS v FROM base GROUP BY page_id) o USING (page_id)
+WHERE n.v IS DISTINCT FROM o.v""", EDITED + (
+    ("numbered", """SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY ordinal NULLS LAST, made, block_id) - 1 AS INT) AS ordinal,
+        translated_text, text_color, bg_color, type FROM after"""),)))
+def edited_stale_pages(t: Tables) -> DataFrame:
+    """Edit log, then render hash: the pages that have to be rendered again, emptied and newly filled ones among them."""
+    before, after = (P.render_hash(b, StyleConfig()).withColumnRenamed("render_hash", name)
+                     for b, name in ((t["fx_blocks"], "old"), (edited_blocks(t), "new")))
+    return before.join(after, "page_id", "full").where(~F.col("old").eqNullSafe(F.col("new"))).select("page_id")
 
 
 def _step(low: str, high: str, delta: str) -> tuple[str, str]:

@@ -118,6 +118,64 @@ def best_artifact(t: Tables) -> DataFrame:
         "page_id", "name", "status", "translated_path", "erased_path")
 
 
+# The same names in three folders; every artifact lies in one of them.
+FOLDERS = (
+    ("shelf", "SELECT *, 'f' || page_id % 3 AS folder, 'p' || page_id % 40 || '.png' AS page FROM fx_pages"),
+    ("filed", """SELECT 'f' || page_id % 3 AS folder, location, owner, kind, file_name FROM (SELECT page_id, 'p' || page_id % 40 || '.png' AS owner,
+        CASE page_id % 4 WHEN 0 THEN 'blocks' WHEN 1 THEN 'erased' WHEN 2 THEN 'translated' END AS kind, CASE WHEN width % 200 = 0 THEN 'cache' ELSE 'root' END AS location,
+        'p' || page_id % 40 || '.png' || CASE page_id % 4 WHEN 0 THEN '_blocks.json' WHEN 1 THEN '_erased.png' WHEN 2 THEN '_translated.png' ELSE '.tmp' END AS file_name
+      FROM fx_pages WHERE page_id % 7 = 0) WHERE kind IS NOT NULL"""),
+)
+
+
+def _shelves(t: Tables) -> tuple[DataFrame, DataFrame]:
+    page = F.col("page_id")
+    shelf = t["fx_pages"].withColumns({"folder": F.concat(F.lit("f"), page % 3), "name": F.concat(F.lit("p"), page % 40, F.lit(".png"))})
+    suffix = F.element_at(F.array(*[F.lit(s) for s in ("_blocks.json", "_erased.png", "_translated.png", ".tmp")]), (page % 4 + 1).cast("int"))
+    filed = shelf.where(page % 7 == 0).select("folder", F.concat("name", suffix).alias("file_name"),
+                                             F.when(F.col("width") % 200 == 0, "cache").otherwise("root").alias("location"))
+    return shelf, filed
+
+
+@query("mark_cached_folders", with_views(("fx_pages",), """
+SELECT page_id, folder, page AS name, CASE WHEN b THEN 'completed' ELSE 'idle' END AS status, CASE WHEN b THEN 100 ELSE 0 END AS progress, b AS has_ocr_cache, e AS has_erased_cache
+FROM (SELECT page_id, folder, page, coalesce(b, false) AS b, coalesce(e, false) AS e FROM shelf LEFT JOIN
+  (SELECT folder, owner, bool_or(kind = 'blocks') AS b, bool_or(kind <> 'blocks') AS e FROM filed GROUP BY folder, owner) f USING (folder) WHERE f.owner = page
+  UNION ALL SELECT page_id, folder, page, false, false FROM shelf s WHERE NOT EXISTS (SELECT 1 FROM filed f WHERE f.folder = s.folder AND f.owner = s.page))""", FOLDERS))
+def mark_cached_folders(t: Tables) -> DataFrame:
+    shelf, filed = _shelves(t)
+    return M.mark_cached(shelf.select("page_id", "folder", "name"), filed, ["folder"])
+
+
+@query("orphans_folders", with_views(("fx_pages",), """
+SELECT folder, location, owner, kind, file_name FROM filed f WHERE NOT EXISTS (
+  SELECT 1 FROM shelf s WHERE s.folder = f.folder AND s.page = f.owner AND (s.page_id % 3 + s.page_id % 40) % 2 = 0)""", FOLDERS))
+def orphans_folders(t: Tables) -> DataFrame:
+    """In each folder every other page is gone."""
+    shelf, filed = _shelves(t)
+    return M.orphans(filed, shelf.where((F.col("page_id") % 3 + F.col("page_id") % 40) % 2 == 0), ["folder"]).select("folder", "location", "owner", "kind", "file_name")
+
+
+@query("best_artifact_folders", with_views(("fx_pages",), """
+SELECT page_id, folder, page AS name, CASE WHEN status = 'completed' THEN t END AS translated_path, e AS erased_path FROM shelf LEFT JOIN (
+  SELECT folder, owner, arg_min(path, {'r': r, 'p': path}) AS t, arg_min(path, {'r': r, 'p': path}) FILTER (WHERE kind = 'erased') AS e FROM (
+    SELECT *, location || '/' || file_name AS path, CASE kind WHEN 'translated' THEN 0 WHEN 'erased' THEN 2 END + CASE location WHEN 'root' THEN 1 ELSE 0 END AS r
+    FROM filed WHERE kind <> 'blocks') GROUP BY folder, owner) b ON b.folder = shelf.folder AND b.owner = shelf.page""".replace("SELECT page_id, folder,", "SELECT page_id, shelf.folder,"), FOLDERS))
+def best_artifact_folders(t: Tables) -> DataFrame:
+    shelf, filed = _shelves(t)
+    return M.best_artifact(shelf.select("page_id", "folder", "name", "status"), filed, ["folder"]).select(
+        "page_id", "folder", "name", "translated_path", "erased_path")
+
+
+@query("export_manifest_folders", with_views(("fx_pages",), """
+SELECT folder, 'translated_' || page AS entry_name, page_id, page AS name FROM (
+  SELECT *, row_number() OVER (PARTITION BY folder, page ORDER BY page_id DESC) AS k FROM shelf WHERE status = 'completed') WHERE k = 1""", FOLDERS))
+def export_manifest_folders(t: Tables) -> DataFrame:
+    shelf, _ = _shelves(t)
+    pages = shelf.withColumns({"n_blocks": F.lit(1), "render_hash": F.lit("h"), "last_rendered_hash": F.lit("h"), "has_translated": F.lit(True)})
+    return M.export_manifest(pages, StyleConfig(), ["folder"]).select("folder", "entry_name", "page_id", "name")
+
+
 @query("display_paths", with_views(("fx_pages", "fx_artifacts"), """
 SELECT page_id, CASE WHEN status = 'completed' THEN coalesce(translated_path, name) ELSE name END AS display_path
 FROM fx_pages LEFT JOIN best ON owner = name""", OWNED + BEST_SQL))

@@ -136,17 +136,26 @@ def erase_route(t: Tables) -> DataFrame:
 
 
 MIRROR = "CASE WHEN {0} < 0 THEN -({0}) WHEN {0} > 7 THEN 14 - ({0}) ELSE {0} END"
-BLUR = (("taps", "SELECT i - 2 AS o, [0.0625e0, 0.25e0, 0.375e0, 0.25e0, 0.0625e0][i + 1] AS w FROM range(5) v(i)"),
+# Crops have radius 1, 2 or 4 by turns.
+BLUR = (("bells", "SELECT i - 4 AS o, exp(-((i - 4) * (i - 4)) / (2 * 1.7e0 * 1.7e0)) AS w FROM range(9) v(i)"),
+        ("taps", """SELECT 1 AS r, i - 1 AS o, [0.25e0, 0.5e0, 0.25e0][i + 1] AS w FROM range(3) v(i)
+          UNION ALL SELECT 2, i - 2, [0.0625e0, 0.25e0, 0.375e0, 0.25e0, 0.0625e0][i + 1] FROM range(5) v(i)
+          UNION ALL SELECT 4, o, w / (SELECT sum(w) FROM bells) FROM bells"""),
         ("blurred", f"""SELECT p.crop_id, p.x, p.y, sum(h.w * v.w) AS alpha FROM px p, taps h, taps v, mask m
-          WHERE m.crop_id = p.crop_id AND m.x = {MIRROR.format('(p.x + h.o)')} AND m.y = {MIRROR.format('(p.y + v.o)')} GROUP BY ALL"""))
+          WHERE h.r = CASE p.crop_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 4 END AND v.r = h.r AND m.crop_id = p.crop_id AND m.x = {MIRROR.format('(p.x + h.o)')} AND m.y = {MIRROR.format('(p.y + v.o)')} GROUP BY ALL"""))
+
+
+def radius_sizes(pixels: DataFrame) -> DataFrame:
+    """Crop sizes with a feather radius of their own."""
+    k = F.col("crop_id") % 3
+    return pixels.select("crop_id", "cw", "ch").distinct().withColumn("feather_radius", F.when(k == 0, 1).when(k == 1, 2).otherwise(4))
 
 
 @query("blurred_mask", with_views(("fx_colour_pixels",), "SELECT crop_id, x, y, round(alpha, 6) AS alpha FROM blurred", MASKED + BLUR))
 def blurred_mask(t: Tables) -> DataFrame:
     pixels = sized(t)
     mask = R.text_mask(pixels, R.background(pixels, KEYS), KEYS)
-    sizes = pixels.select("crop_id", "cw", "ch").distinct()
-    return R.blur_mask(mask, sizes, KEYS, 2).withColumn("alpha", F.round("alpha", 6))
+    return R.blur_mask(mask, radius_sizes(pixels), KEYS, "feather_radius").withColumn("alpha", F.round("alpha", 6))
 
 
 MIXED = ", ".join(f"CAST(floor((255 - p.{c}) * coalesce(alpha, 0) + p.{c} * (1 - coalesce(alpha, 0)) + 1e-9) AS INT) AS {c}" for c in R.CHANNELS)
@@ -159,7 +168,7 @@ def feather_blend(t: Tables) -> DataFrame:
     pixels = sized(t)
     mask = R.text_mask(pixels, R.background(pixels, KEYS), KEYS)
     negative = crops(t).withColumns({c: 255 - F.col(c) for c in R.CHANNELS})
-    return R.feather_blend(crops(t), negative, mask, pixels.select("crop_id", "cw", "ch").distinct(), KEYS, 2)
+    return R.feather_blend(crops(t), negative, mask, radius_sizes(pixels), KEYS, "feather_radius")
 
 
 @query("composite", with_views(("fx_colour_pixels",), ", ".join([
@@ -322,9 +331,9 @@ def finish_inpaint(t: Tables) -> DataFrame:
     pixels = sized(t)
     mask = R.text_mask(pixels, R.background(pixels, KEYS), KEYS).withColumnRenamed("crop_id", "page_id")
     own = pixels.withColumnRenamed("crop_id", "page_id")
-    sizes = own.select("page_id", "cw", "ch").distinct()
+    sizes = radius_sizes(pixels).withColumnRenamed("crop_id", "page_id")
     own = own.drop("cw", "ch")
-    return E.finish_inpaint(own, own, mask, sizes, 2)
+    return E.finish_inpaint(own, own, mask, sizes)
 
 
 @query("inpainted_pixels", with_views(("fx_colour_pixels",), ", ".join([

@@ -79,13 +79,13 @@ def stored_blocks(t: Tables) -> DataFrame:
 
 
 @query("layout_hash", with_views(("fx_blocks",), """
-SELECT page_id, CASE WHEN count(*) = 1 THEN any_value(h) ELSE sha256(string_agg(h, ',' ORDER BY part)) END AS layout_hash FROM (
-  SELECT page_id, ordinal // 10000 AS part,
-    sha256('Outfit-1-original-#FFFFFF-original-#000000-90-true-false-#000000-2-true-false-true-ignore-false-' || '[' || string_agg(CAST(to_json(
+SELECT page_id, sha256(concat_ws('-', 'Outfit-1-original-#FFFFFF-original-#000000-90-true-false-#000000-2-true-false-true-ignore-false', CAST(count(*) AS VARCHAR),
+  """ + ", ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS BIGINT)) AS VARCHAR)" for i in range(4)) + """)) AS layout_hash FROM (
+  SELECT page_id, sha256(concat(CAST(ordinal AS VARCHAR), ':', CAST(to_json(
       {'id': block_id, 'original_text': original_text, 'translated_text': translated_text, 'ymin': floor(ymin), 'xmin': floor(xmin),
        'ymax': floor(ymax), 'xmax': floor(xmax), 'text_color': text_color, 'bg_color': bg_color,
-       'font_size_pct': floor(font_size_pct), 'type': coalesce(type, 'bubble')}) AS VARCHAR), ',' ORDER BY ordinal) || ']') AS h
-  FROM fx_blocks GROUP BY page_id, part) GROUP BY page_id"""))
+       'font_size_pct': floor(font_size_pct), 'type': coalesce(type, 'bubble')}) AS VARCHAR))) AS h
+  FROM fx_blocks) GROUP BY page_id"""))
 def layout_hash(t: Tables) -> DataFrame:
     """Whole percents keep the printed numbers equal in both engines."""
     whole = t["fx_blocks"].withColumns({c: F.floor(c).cast("double") for c in (*BOX, "font_size_pct")})

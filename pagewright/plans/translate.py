@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -15,13 +16,15 @@ from ..operators import replies as P
 from ..operators.layout import fit_font, place_horizontal, place_vertical
 from ..operators.payload import request_payload
 from ..operators.ranking import union_all
-from ..operators.routing import route, split_blank
+from ..operators.routing import route
 from ..plugins import run_ocr, run_translator
 from ..schema import RunConfig, StyleConfig
 from ..session import ensure_checkpoint_dir
-from ..sources.files import read_content, read_crops, read_images, solid_pages, with_base64
+from ..sources.files import page_facts, path_exists, read_content, read_crops, read_images, with_base64
+from ..sources.sinks import read_blocks, write_blocks
 
 PAGE = ["page_id", "name", "status", "progress", "error", "n_blocks"]
+# Fixed values.
 DEFAULT_COLOURS = {"text_color": "#000000", "bg_color": "#FFFFFF"}
 
 
@@ -43,37 +46,52 @@ def with_colours(blocks: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def translate_folder(spark: SparkSession, path: str, config: RunConfig, translator: Callable,
-                     ocr_engine: Callable | None = None, ocr_online: bool = True) -> Run:
+                     ocr_engine: Callable | None = None, ocr_online: bool = True, store: str | None = None,
+                     decoder: Callable | None = None) -> Run:
     """Run all pages of a folder.
 
     Routes: with OCR, regions go to `translator` as text requests; a vision
     provider without OCR gets the base64 picture instead and answers with
     whole blocks. Blank pages complete at once and undecodable ones fail; an
-    error on one page leaves the others alone. Answers of the plug-ins are
-    checkpointed, so each page is sent once also if executors are lost later.
+    error on one page leaves the others alone.
+
+    One pass over the pictures gives the facts of every page, a second one the
+    colours under the blocks. Facts, answers and found blocks are checkpointed,
+    so each page is decoded and sent once also if executors are lost later.
+
+    `store` is a table of block lists (`sinks.write_blocks`): pages that it
+    knows are taken from it and reach no plug-in, and what this run completes
+    is added, pages without text as empty lists. A run that was cut short goes
+    on from there when it is started again. `decoder` reads the pictures that
+    Spark's image source cannot, such as WebP.
     """
     ensure_checkpoint_dir(spark)
-    images = read_images(spark, path)
-    broken = images.where(F.col("status") == "failed")
-    decoded = images.where(F.col("status") != "failed")
-    blank, _ = split_blank(decoded.select("page_id", "name", "status"), solid_pages(decoded))
-    blank = blank.checkpoint()
-    # Blank and broken pages are few, so the picture bytes stay where they are.
-    skip = blank.select("page_id").unionByName(broken.select("page_id"))
-    content = read_content(spark, path).join(skip, "page_id", "left_anti")
+    images = read_images(spark, path, decoder)
+    facts = page_facts(images).checkpoint()
+    stored, known = _stored(spark, store, facts)
+    todo = facts.join(known, "page_id", "left_anti")
+    broken = todo.where(F.col("status") == "failed")
+    decoded = todo.where(F.col("status") != "failed")
+    wanted = decoded.where(~F.coalesce("is_solid", F.lit(False)))
+    content = read_content(spark, path).join(wanted.select("page_id"), "page_id", "left_semi")
     pages = route(content.withColumns({"provider": F.lit(config.provider), "ocr_online": F.lit(ocr_online)}))
     unsupported = pages.where(F.col("route").isNull()).select("page_id", "error")
     routed = pages.where(F.col("route").isNotNull()).drop("error")
 
-    text_side, text_errors = _by_text(routed.where(F.col("route") != "vision"), decoded, translator, ocr_engine)
+    text_side, text_errors = _by_text(routed.where(F.col("route") != "vision"), images, decoded, translator, ocr_engine)
     vision_side, vision_errors = _by_vision(routed.where(F.col("route") == "vision"), decoded, translator)
     errors = union_all([unsupported, text_errors, vision_errors,
                         broken.select("page_id", "error")]).groupBy("page_id").agg(F.min("error").alias("error"))
     errors = errors.checkpoint()
-    blocks = text_side.unionByName(vision_side).join(errors, "page_id", "left_anti")
+    fresh = text_side.unionByName(vision_side).join(errors, "page_id", "left_anti")
+    if store:
+        completed = decoded.join(errors, "page_id", "left_anti").select(F.col("page_id").alias("page_name"))
+        fresh = fresh.checkpoint()
+        write_blocks(fresh.withColumn("page_name", F.col("page_id")), store, time.time_ns(), completed)
+    blocks = fresh.unionByName(stored)
 
     counts = blocks.groupBy("page_id").agg(F.count("*").alias("n_blocks"))
-    listed = images.select("page_id", "name").join(errors, "page_id", "left").join(counts, "page_id", "left")
+    listed = facts.select("page_id", "name").join(errors, "page_id", "left").join(counts, "page_id", "left")
     failed = F.col("error").isNotNull()
     status = listed.select(
         "page_id", "name", F.when(failed, "failed").otherwise("completed").alias("status"),
@@ -82,34 +100,47 @@ def translate_folder(spark: SparkSession, path: str, config: RunConfig, translat
     return Run(status.select(*PAGE), blocks)
 
 
+def _stored(spark: SparkSession, store: str | None, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks that the store has for the pages of this folder, and the ids of all pages it knows."""
+    if not store or not path_exists(spark, store):
+        none = facts.select(*[F.lit(None).cast(t).alias(c) for c, t in zip(BLOCK_COLUMNS, _BLOCK_TYPES)]).where(F.lit(False))
+        return none, facts.select("page_id").where(F.lit(False))
+    known = spark.read.parquet(store).select(F.col("page_name").alias("page_id")).distinct().join(
+        facts.select("page_id"), "page_id", "left_semi").checkpoint()  # as of now, before this run writes
+    blocks = read_blocks(spark, store).withColumnRenamed("page_name", "page_id").join(
+        facts.select("page_id", "width", "height"), "page_id").select(*BLOCK_COLUMNS)
+    return blocks.checkpoint(), known
+
+
 BLOCK_COLUMNS = ["page_id", "ordinal", "block_id", "original_text", "translated_text", "ymin", "xmin", "ymax", "xmax",
                  "text_color", "bg_color", "font_size_pct", "type", "width", "height"]
 
 
-def _by_text(content: DataFrame, images: DataFrame, translator: Callable,
+def _by_text(content: DataFrame, images: DataFrame, facts: DataFrame, translator: Callable,
              ocr_engine: Callable | None) -> tuple[DataFrame, DataFrame]:
     if ocr_engine is None:
-        none = images.select(*[F.lit(None).cast(t).alias(c) for c, t in zip(BLOCK_COLUMNS, _BLOCK_TYPES)]).where(F.lit(False))
+        none = facts.select(*[F.lit(None).cast(t).alias(c) for c, t in zip(BLOCK_COLUMNS, _BLOCK_TYPES)]).where(F.lit(False))
         return none, content.select("page_id", F.lit("No OCR engine").alias("error"))
     replies = run_ocr(content, ocr_engine).checkpoint()
     regions = B.corners_to_bounds(B.read_ocr(replies.drop("error")))
-    found = with_colours(B.normalise(regions, images), images)
+    found = with_colours(B.normalise(regions, facts), images).checkpoint()
     # A page without regions makes no request.
     answers = run_translator(request_payload(found), translator).checkpoint()
     parsed = P.parse_reply(answers, "translations")
     blocks = P.attach_translations(found, P.translations(parsed), ["part", "pos"]).select(*BLOCK_COLUMNS)
-    errors = replies.select("page_id", "error").unionByName(parsed.select("page_id", "error"))
+    unread = B.ocr_errors(replies.where(F.col("error").isNull()).drop("error")).select("page_id", "error")
+    errors = union_all([replies.select("page_id", "error"), unread, parsed.select("page_id", "error")])
     return blocks, errors.where(F.col("error").isNotNull())
 
 
-def _by_vision(content: DataFrame, images: DataFrame, translator: Callable) -> tuple[DataFrame, DataFrame]:
+def _by_vision(content: DataFrame, facts: DataFrame, translator: Callable) -> tuple[DataFrame, DataFrame]:
     media = F.concat(F.lit("image/"), F.lower(F.regexp_extract("name", r"\.([^.]*)$", 1)))
     media = F.regexp_replace(media, "image/jpg", "image/jpeg")
     pictures = with_base64(content.select("page_id", "content", media.alias("media_type")))
     requests = pictures.select("page_id", F.lit(0).alias("part"), F.to_json(F.struct("mime", "base64")).alias("payload"))
     answers = run_translator(requests, translator).drop("part").checkpoint()
     parsed = P.parse_reply(answers, "blocks")
-    blocks = P.repair_blocks(parsed).join(images.select("page_id", "width", "height"), "page_id").select(*BLOCK_COLUMNS)
+    blocks = P.repair_blocks(parsed).join(facts.select("page_id", "width", "height"), "page_id").select(*BLOCK_COLUMNS)
     return blocks, parsed.where(F.col("error").isNotNull()).select("page_id", "error")
 
 

@@ -1,7 +1,7 @@
 """Places where models plug in. The models themselves are not part of this package.
 
-A plug-in is a factory without arguments; it runs once per task and returns the
-function that does the work, so a model is loaded once per task.
+A plug-in is a factory without arguments; it runs once per task at most and
+returns the function that does the work, so a model is loaded once per task.
 """
 
 from __future__ import annotations
@@ -14,9 +14,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.semantics import median_avg_trunc
 from .functions.text import GLYPH_EM, OTHER_EM, WIDE_CLASS, WIDE_EM, text_em
 
-INPAINT_TILE = 512
+INPAINT_TILE = 512  # side of the tiles a plugged-in model sees
 
 
 def _guarded(work: Callable[[], str]) -> tuple[str | None, str | None]:
@@ -26,6 +27,33 @@ def _guarded(work: Callable[[], str]) -> tuple[str | None, str | None]:
         return None, str(failure) or type(failure).__name__
 
 
+def run_decoder(files: DataFrame, decoder: Callable[[], Callable[[bytes], np.ndarray]]) -> DataFrame:
+    """(page_id, name, content) to (page_id, name, width, height, n_channels, data).
+
+    The decoder gives rows of BGR, BGRA or grey bytes as an array; where it
+    fails, all but the first two columns are null.
+    """
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = decoder()
+        for batch in batches:
+            done = []
+            for content in batch["content"]:
+                try:
+                    image = np.asarray(model(bytes(content)), np.uint8)
+                    h, w, n = image.shape if image.ndim == 3 else (*image.shape, 1)
+                    done.append((w, h, n, image.tobytes()) if w and h else (None,) * 4)
+                except Exception:  # one bad page must not stop the others
+                    done.append((None,) * 4)
+            out = pd.DataFrame(done, columns=["width", "height", "n_channels", "data"])
+            out.insert(0, "page_id", batch["page_id"].to_numpy())
+            out.insert(1, "name", batch["name"].to_numpy())
+            yield out.astype({c: "Int32" for c in ("width", "height", "n_channels")})
+
+    return files.select("page_id", "name", "content").mapInPandas(
+        decode, "page_id string, name string, width int, height int, n_channels int, data binary")
+
+
 def run_ocr(images: DataFrame, engine: Callable[[], Callable[[bytes], list[dict]]],
             content: str = "content") -> DataFrame:
     """(page_id, content) to (page_id, reply, error); the reply is canonical JSON."""
@@ -67,36 +95,53 @@ def echo_translator() -> Callable[[str], str]:
     return answer
 
 
-def median_inpainter() -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    """Built-in fill: masked pixels take the median colour of the rest of the tile."""
+def fill_median(pixels: DataFrame, mask: DataFrame) -> DataFrame:
+    """Built-in fill: masked pixels take, per channel, the median colour of the page's other pixels.
+
+    The middle pair is averaged and cut; a page without other pixels turns
+    white. Medians are counted over the 256 values, so the page's size and its
+    cutting into tiles do not matter.
+    """
+    return _with_fill(_marked(pixels, mask)).select(
+        "page_id", "x", "y", *[F.when(F.col("m"), F.col(f"_fill_{c}")).otherwise(F.col(c)).cast("int").alias(c) for c in "bgr"])
 
-    def fill(image: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        out = image.copy()
-        rest = image[~mask]
-        out[mask] = np.median(rest, axis=0) if len(rest) else 255
-        return out
 
-    return fill
+def _marked(pixels: DataFrame, mask: DataFrame) -> DataFrame:
+    """Pixels with `m`, true under the mask. A position that the mask names twice counts once."""
+    unique = mask.select("page_id", "x", "y").distinct()
+    marked = pixels.select("page_id", "x", "y", "b", "g", "r").join(unique.withColumn("m", F.lit(True)), ["page_id", "x", "y"], "left")
+    return marked.withColumn("m", F.coalesce("m", F.lit(False)))
+
+
+def _with_fill(marked: DataFrame) -> DataFrame:
+    rest = marked.where(~F.col("m")).groupBy("page_id").agg(*[median_avg_trunc(F.col(c)).alias(f"_fill_{c}") for c in "bgr"])
+    return marked.join(rest, "page_id", "left").withColumns({f"_fill_{c}": F.coalesce(f"_fill_{c}", F.lit(255)).cast("int") for c in "bgr"})
 
 
 def run_inpainter(pixels: DataFrame, mask: DataFrame,
-                  inpainter: Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]] = median_inpainter,
+                  inpainter: Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]] | None = None,
                   tile: int = INPAINT_TILE, halo: int = 16) -> DataFrame:
     """Pixels (page_id, x, y, b, g, r) with masked positions replaced.
 
-    Works on tiles with a halo, so a group holds at most (tile + 2 halo)^2
-    pixels whatever the page size. Tiles without mask pixels skip Python.
+    Without `inpainter` this is `fill_median`. A plugged-in model sees tiles
+    with a halo, so a group holds at most (tile + 2 halo)^2 pixels whatever the
+    page size; `tile` and `halo` are part of what such a model gives. Tiles
+    without mask pixels skip Python. Where the model fails, the built-in fill
+    takes its place.
     """
+    if inpainter is None:
+        return fill_median(pixels, mask)
+
     def tiles(axis: str) -> Column:
         low = F.greatest(F.lit(0), F.floor((F.col(axis) - halo) / tile)).cast("int")
         return F.sequence(low, F.floor((F.col(axis) + halo) / tile).cast("int"))
 
-    marked = pixels.join(mask.select("page_id", "x", "y", F.lit(True).alias("m")), ["page_id", "x", "y"], "left")
-    marked = marked.withColumn("m", F.coalesce("m", F.lit(False)))
+    marked = _with_fill(_marked(pixels, mask))
     busy = marked.where("m").select("page_id", F.floor(F.col("x") / tile).cast("int").alias("tx"),
                                     F.floor(F.col("y") / tile).cast("int").alias("ty")).distinct()
     spread = marked.withColumn("tx", F.explode(tiles("x"))).withColumn("ty", F.explode(tiles("y")))
     wanted = spread.join(busy, ["page_id", "tx", "ty"], "left_semi")
+    loaded: list = []  # travels empty with the function, so it is filled once per task
 
     def work(tile_pixels: pd.DataFrame) -> pd.DataFrame:
         x0, y0 = tile_pixels["x"].min(), tile_pixels["y"].min()
@@ -105,7 +150,13 @@ def run_inpainter(pixels: DataFrame, mask: DataFrame,
         hole = np.zeros(image.shape[:2], bool)
         image[ys, xs] = tile_pixels[["b", "g", "r"]].to_numpy()
         hole[ys, xs] = tile_pixels["m"].to_numpy()
-        done = inpainter()(image, hole)
+        try:
+            if not loaded:
+                loaded.append(inpainter())
+            done = loaded[0](image, hole)
+        except Exception:  # the model first, the built-in fill where it fails
+            done = image.copy()
+            done[hole] = tile_pixels[["_fill_b", "_fill_g", "_fill_r"]].iloc[0].to_numpy()
         own = (tile_pixels["m"] & (tile_pixels["x"] // tile == tile_pixels["tx"])
                & (tile_pixels["y"] // tile == tile_pixels["ty"])).to_numpy()
         out = tile_pixels.loc[own, ["page_id", "x", "y"]].copy()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,7 +13,7 @@ from ..functions.json_text import strict_json
 from ..functions.names import CACHE_FOLDER, is_page_image
 from ..operators.manifest import with_artifact_parts
 from ..operators.raster import CHANNELS, SOLID_TOLERANCE, within_tolerance
-from ..operators.ranking import PART_ROWS
+from ..plugins import run_decoder
 from ..schema import BLOCK
 
 PNG_MAGIC = "89504E470D0A1A0A"
@@ -88,11 +88,9 @@ def read_block_cache(spark: SparkSession, path: str) -> DataFrame:
 
 
 def cached_blocks(cache: DataFrame) -> DataFrame:
-    """`read_block_cache` rows as block rows with their ordinal. A `part` column counts parts of PART_ROWS blocks."""
-    first = F.col("part") * PART_ROWS if "part" in cache.columns else F.lit(0)
-    rows = cache.select("name", first.alias("_first"), F.posexplode_outer("blocks").alias("_pos", "_b")).where(
-        F.col("_pos").isNotNull())
-    return rows.select("name", (F.col("_first") + F.col("_pos")).alias("ordinal"), *[F.col("_b")[f.name].alias("block_id" if f.name == "id" else f.name)
+    """`read_block_cache` rows as block rows with their ordinal."""
+    rows = cache.select("name", F.posexplode_outer("blocks").alias("ordinal", "_b")).where(F.col("ordinal").isNotNull())
+    return rows.select("name", "ordinal", *[F.col("_b")[f.name].alias("block_id" if f.name == "id" else f.name)
                                             for f in BLOCK.fields])
 
 
@@ -106,19 +104,28 @@ def png_dims(content: Column) -> dict[str, Column]:
     return {"width": number(17), "height": number(21)}
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
+def read_images(spark: SparkSession, path: str, decoder: Callable | None = None) -> DataFrame:
     """Decoded images: page_id, name, width, height, n_channels, data (BGR rows), status, error.
 
-    A file that does not decode stays as a row with status failed.
+    `decoder` (see `plugins.run_decoder`) gets the files that the image source
+    cannot read. A file that does not decode stays as a row with status failed.
     """
     images = spark.read.format("image").load(path).select("image.*").where(is_page_image(file_name(F.col("origin"))))
     ok = F.col("width") > 0
-    return images.select(
+    out = images.select(
         page_path(F.col("origin")).alias("page_id"), file_name(F.col("origin")).alias("name"),
         F.when(ok, F.col("width")).alias("width"), F.when(ok, F.col("height")).alias("height"),
         F.when(ok, F.col("nChannels")).alias("n_channels"), F.when(ok, F.col("data")).alias("data"),
         F.when(ok, F.lit("idle")).otherwise(F.lit("failed")).alias("status"),
         F.when(~ok, F.lit(DECODE_ERROR)).alias("error"))
+    if decoder is None:
+        return out
+    undecoded = out.where(F.col("status") == "failed").select("page_id")
+    rest = run_decoder(read_content(spark, path).join(undecoded, "page_id", "left_semi"), decoder)
+    return out.where(F.col("status") != "failed").unionByName(rest.select(
+        "page_id", "name", "width", "height", "n_channels", "data",
+        F.when(F.col("data").isNull(), F.lit("failed")).otherwise(F.lit("idle")).alias("status"),
+        F.when(F.col("data").isNull(), F.lit(DECODE_ERROR)).alias("error")))
 
 
 def image_dims(images: DataFrame) -> DataFrame:
@@ -175,6 +182,38 @@ def solid_pages(images: DataFrame, tolerance: int = SOLID_TOLERANCE) -> DataFram
     return ends.select("page_id", within_tolerance(tolerance).alias("is_solid"))
 
 
+def page_facts(images: DataFrame, tolerance: int = SOLID_TOLERANCE) -> DataFrame:
+    """(page_id, name, width, height, status, error, is_solid) of `read_images`, from one pass over the pictures.
+
+    `is_solid` is null for a picture that does not decode.
+    """
+    facts = {"name": "string", "width": "int", "height": "int", "status": "string", "error": "string"}
+
+    def reduce_strips(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for row in batch.itertuples(index=False):
+                ends = [None] * 9
+                if row.strip is not None:
+                    bgr = _bgr(row.strip, int(row.n_channels))
+                    first = bgr[0].astype(int).tolist() if row.y0 == 0 else [None] * 3
+                    ends = [*first, *bgr.min(axis=0).tolist(), *bgr.max(axis=0).tolist()]
+                found.append((row.page_id, row.name, row.width, row.height, row.status, row.error, *ends))
+            out = pd.DataFrame(found, columns=["page_id", *facts, *names])
+            yield out.astype({c: "Int32" for c in ("width", "height", *names)})
+
+    names = [f"{e}_{c}" for e in ("f", "lo", "hi") for c in CHANNELS]
+    n, w = F.col("n_channels"), F.col("width")
+    starts = F.when(F.col("data").isNotNull(), F.sequence(F.lit(0), F.col("height") - 1, F.lit(STRIP_ROWS)))
+    cut = images.select("*", F.explode_outer(starts).alias("y0")).select(
+        "page_id", *facts, "n_channels", "y0", F.substring("data", F.col("y0") * w * n + 1, w * n * STRIP_ROWS).alias("strip"))
+    parts = cut.mapInPandas(reduce_strips, "page_id string, " + ", ".join(f"{c} {t}" for c, t in facts.items()) + ", " + ", ".join(f"{c} int" for c in names))
+    ends = parts.groupBy("page_id").agg(
+        *[F.max(c).alias(c) for c in facts], *[F.max(f"f_{c}").alias(f"f_{c}") for c in CHANNELS],
+        *[F.min(f"lo_{c}").alias(f"lo_{c}") for c in CHANNELS], *[F.max(f"hi_{c}").alias(f"hi_{c}") for c in CHANNELS])
+    return ends.select("page_id", *facts, F.when(F.col("status") != "failed", within_tolerance(tolerance)).alias("is_solid"))
+
+
 def read_crops(images: DataFrame, rects: DataFrame, rows: int = STRIP_ROWS) -> DataFrame:
     """Pixels under rectangles: page_id, ordinal, x, y (in the crop), b, g, r.
 

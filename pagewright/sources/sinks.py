@@ -7,6 +7,7 @@ nothing is rewritten in place.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -18,10 +19,13 @@ from pyspark.sql import functions as F
 from ..functions.names import CACHE_FOLDER
 
 from ..operators.payload import blocks_json
-from ..operators.ranking import PART_ROWS, last_wins
+from ..operators.ranking import last_wins
 from ..schema import BLOCK
 
 BUCKETS = 256
+FILES_PER_BUCKET = 4
+# Hadoop names of a store, as Arrow calls them.
+ARROW_SCHEMES = {"s3a": "s3", "s3n": "s3"}
 FILE_RESULT = "path string, error string"
 
 
@@ -29,11 +33,41 @@ def _with_bucket(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
 
 
-def write_blocks(blocks: DataFrame, path: str, version: int, part_rows: int = PART_ROWS) -> None:
-    """One JSON list per page name and part, in block order."""
-    listed = blocks_json(blocks, "page_name", part_rows).withColumn("part_rows", F.lit(part_rows))
+def _listed(blocks: DataFrame, pages: DataFrame | None, part_rows: int | None) -> DataFrame:
+    """(page_name, part, blocks_json); pages of `pages` (page_name) without a block have an empty list."""
+    listed = blocks_json(blocks, "page_name", part_rows).select("page_name", "part", "blocks_json")
+    if pages is None:
+        return listed
+    emptied = pages.select("page_name").distinct().join(blocks.select("page_name"), "page_name", "left_anti")
+    return listed.unionByName(emptied.select("page_name", F.lit(0).alias("part"), F.lit("[]").alias("blocks_json")))
+
+
+def write_blocks(blocks: DataFrame, path: str, version: int, pages: DataFrame | None = None, part_rows: int | None = None) -> None:
+    """One JSON list per page name (and part), in block order.
+
+    `pages` names the pages this version decides on: one that has lost its last
+    block is stored as an empty list, so its older blocks do not come back. A
+    bucket is written by at most FILES_PER_BUCKET tasks.
+    """
+    listed = _listed(blocks, pages, part_rows).withColumn("part_rows", F.lit(part_rows or 0))
     rows = _with_bucket(listed.withColumn("version", F.lit(version).cast("long")), "page_name")
-    rows.repartition("bucket", "page_name", "part").write.partitionBy("bucket").mode("append").parquet(path)
+    _by_bucket(rows).write.partitionBy("bucket").mode("append").parquet(path)
+
+
+def _by_bucket(rows: DataFrame) -> DataFrame:
+    share = F.pmod(F.xxhash64("page_name", F.lit(1)), F.lit(FILES_PER_BUCKET))
+    return rows.repartition("bucket", share)
+
+
+def compact(spark: SparkSession, path: str, target: str, keys: list[str]) -> None:
+    """The newest rows per key of a sink's table as a new table, so that reads stop to see all history.
+
+    `keys`: ["page_name"] for block lists, ["page_name", "kind"] for artifacts.
+    """
+    rows = spark.read.parquet(path)
+    best = rows.groupBy(*keys).agg(F.max("version").alias("version"))
+    unique = [*keys, "version", *[c for c in ("part",) if c in rows.columns]]
+    _by_bucket(rows.join(best, [*keys, "version"], "left_semi").dropDuplicates(unique)).write.partitionBy("bucket").parquet(target)
 
 
 def newest(table: DataFrame, key: str) -> DataFrame:
@@ -53,7 +87,7 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
 def write_artifacts(artifacts: DataFrame, path: str, version: int) -> None:
     """Records (page_name, kind, render_hash, content)."""
     rows = _with_bucket(artifacts.withColumn("version", F.lit(version).cast("long")), "page_name")
-    rows.write.partitionBy("bucket").mode("append").parquet(path)
+    _by_bucket(rows).write.partitionBy("bucket").mode("append").parquet(path)
 
 
 def read_artifacts(spark: SparkSession, path: str, with_content: bool = True) -> DataFrame:
@@ -72,47 +106,44 @@ def replace_pages(new: DataFrame, path: str) -> None:
 
 
 def _open_folder(path: str) -> tuple[arrow_fs.FileSystem, str]:
+    """The file system of a path. Paths without a scheme are local, so a cluster needs a shared mount or a scheme."""
     if path.startswith("file:"):
         return arrow_fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
     if path.startswith("/"):
         return arrow_fs.LocalFileSystem(), path
-    return arrow_fs.FileSystem.from_uri(quote(path, safe="/:@?=&%"))
+    scheme, rest = path.split("://", 1)
+    return arrow_fs.FileSystem.from_uri(f"{ARROW_SCHEMES.get(scheme, scheme)}://{quote(rest, safe='/:@?=&%')}")
 
 
-def write_block_files(blocks: DataFrame, folder: str, part_rows: int = PART_ROWS) -> DataFrame:
+def write_block_files(blocks: DataFrame, folder: str, pages: DataFrame | None = None) -> DataFrame:
     """Write `<page_name>_blocks.json` into the cache folder, one file per page; gives (path, error).
 
-    Executors write the files when the result is read. The parts of a page come
-    in order and are appended to the open file, so memory holds one batch only.
-    A repeated task writes the same file again.
+    `pages` (page_name) as in `write_blocks`: a page without blocks is written
+    as an empty list. Executors write when the result is read. A file is
+    written under another name and then moved, so a reader never sees half a
+    file and a repeated task writes the same one again; a page that cannot be
+    written gives its error and the others go on.
     """
-    parts = blocks_json(blocks, "page_name", part_rows).repartition("page_name").sortWithinPartitions("page_name", "part")
+    listed = _listed(blocks, pages, None)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        files, root = _open_folder(f"{folder}/{CACHE_FOLDER}")
-        files.create_dir(root, recursive=True)
-        page, stream, done = None, None, []
+        root = f"{folder}/{CACHE_FOLDER}"
         for batch in batches:
+            errors = []
             for row in batch.itertuples(index=False):
-                if row.page_name != page:
-                    if stream:
-                        stream.write(b"]")
-                        stream.close()
-                    page = row.page_name
-                    path = f"{root}/{page}_blocks.json"
-                    stream = files.open_output_stream(path)
-                    stream.write(b"[")
-                    done.append(path)
-                else:
-                    stream.write(b",")
-                stream.write(row.blocks_json[1:-1].encode())
-            yield pd.DataFrame({"path": done, "error": None}, columns=["path", "error"])
-            done = []
-        if stream:
-            stream.write(b"]")
-            stream.close()
-
-    return parts.mapInPandas(write, FILE_RESULT)
+                try:
+                    files, place = _open_folder(root)
+                    files.create_dir(place, recursive=True)
+                    draft = f"{place}/.{row.page_name}.{uuid.uuid4().hex}"
+                    with files.open_output_stream(draft) as stream:
+                        stream.write(row.blocks_json.encode())
+                    files.move(draft, f"{place}/{row.page_name}_blocks.json")
+                    errors.append(None)
+                except (OSError, ValueError) as failure:
+                    errors.append(str(failure))
+            yield pd.DataFrame({"path": [f"{root}/{name}_blocks.json" for name in batch["page_name"]], "error": errors})
+
+    return listed.mapInPandas(write, FILE_RESULT)
 
 
 def delete_files(listing: DataFrame) -> DataFrame:

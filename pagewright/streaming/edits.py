@@ -26,11 +26,13 @@ def debounce_stream(edits: DataFrame, payload: str, gap: str = DEBOUNCE) -> Data
     return sessions.select("page_id", F.col("_w.end").alias("fire_at"), "_last.seq", F.col(f"_last.{payload}"))
 
 
-def invalidate_erased(new_blocks: DataFrame, stored_blocks: DataFrame) -> DataFrame:
+def invalidate_erased(new_blocks: DataFrame, stored_blocks: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """Pages of a micro-batch whose erased picture is out of date: page_id, n_changed.
 
-    For use inside foreachBatch. The stored side is cut to the pages of the batch.
+    For use inside foreachBatch. The stored side is cut to the pages of the
+    batch. `pages` lists them where some have lost all their blocks; without it
+    only pages that still have a block are seen.
     """
-    touched = new_blocks.select("page_id").distinct()
+    touched = (pages if pages is not None else new_blocks).select("page_id").distinct()
     old = stored_blocks.join(touched, "page_id", "left_semi")
     return struct_diff(old, new_blocks).where("is_stale").select("page_id", "n_changed")

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 STATE = ("status string, progress int, error string, attempts long, ts timestamp, seq long, "
          "shown_ts timestamp, shown_seq long")
-OUTPUT = "page_id long, status string, progress int, error string, attempts long"
+OUTPUT = "status string, progress int, error string, attempts long"
 NEVER = (pd.Timestamp("1900-01-01"), -1)
 
 
@@ -30,16 +30,18 @@ class PageState(StatefulProcessor):
             status, progress, error, attempts, *order = self.state.get()
             last, shown = (pd.Timestamp(order[0]), order[1]), (pd.Timestamp(order[2]), order[3])
         for frame in rows:
-            for row in frame.itertuples(index=False):
-                at = (row.ts, row.seq)
-                percent = {"started": 0, "finished": 100}.get(row.event, row.progress if row.event == "progress" else None)
-                attempts += int(row.event == "started")
-                if percent is not None and at > shown:
-                    progress, shown = int(percent), at
-                if at > last:
-                    last = at
-                    status = {"finished": "completed", "failed": "failed"}.get(row.event, "processing")
-                    error = (row.error or "Unknown error") if row.event == "failed" else None
+            frame = frame.sort_values(["ts", "seq"])
+            attempts += int((frame["event"] == "started").sum())
+            percent = frame["progress"].where(frame["event"] == "progress").mask(frame["event"] == "started", 0).mask(frame["event"] == "finished", 100)
+            setting = frame[percent.notna()]
+            if len(setting) and (at := (setting["ts"].iloc[-1], setting["seq"].iloc[-1])) > shown:
+                progress, shown = int(percent.dropna().iloc[-1]), at
+            row = frame.iloc[-1]
+            if (at := (row["ts"], row["seq"])) > last:
+                last = at
+                status = {"finished": "completed", "failed": "failed"}.get(row["event"], "processing")
+                known = isinstance(row["error"], str) and row["error"]
+                error = (row["error"] if known else "Unknown error") if row["event"] == "failed" else None
         self.state.update((status, progress, error, attempts, last[0].to_pydatetime(), int(last[1]),
                            shown[0].to_pydatetime(), int(shown[1])))
         yield pd.DataFrame({"page_id": [key[0]], "status": [status], "progress": [progress], "error": [error],
@@ -51,5 +53,6 @@ class PageState(StatefulProcessor):
 
 def page_state_stream(events: DataFrame) -> DataFrame:
     """Current state of each page after every batch that brought events for it (update mode)."""
+    kind = events.schema["page_id"].dataType.simpleString()
     return events.groupBy("page_id").transformWithStateInPandas(
-        statefulProcessor=PageState(), outputStructType=OUTPUT, outputMode="Update", timeMode="None")
+        statefulProcessor=PageState(), outputStructType=f"page_id {kind}, {OUTPUT}", outputMode="Update", timeMode="None")

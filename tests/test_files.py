@@ -2,7 +2,10 @@
 
 import base64
 import json
+import os
 import struct
+import tempfile
+import time
 import zlib
 
 import numpy as np
@@ -143,11 +146,33 @@ def test_block_sink_keeps_newest(spark, tmp_path):
     assert set(got[0].asDict()) - {"page_name", "ordinal"} == set(BLOCK_FIELDS) - {"id"} | {"block_id"}
 
 
+def test_emptied_pages_stay_empty(spark, tmp_path):
+    path, pages = str(tmp_path / "blocks"), spark.createDataFrame([("p.png",), ("q.png",)], "page_name string")
+    both = stored_blocks(spark, "first", 2).unionByName(stored_blocks(spark, "first", 3).withColumn("page_name", F.lit("q.png")))
+    K.write_blocks(both, path, 1, pages)
+    K.write_blocks(both.where("page_name = 'q.png'"), path, 2, pages)
+    assert {r.page_name for r in K.read_blocks(spark, path).collect()} == {"q.png"}
+    K.write_blocks(stored_blocks(spark, "third", 1), path, 3)  # no page list: nothing is said about q.png
+    assert sorted(r.page_name for r in K.read_blocks(spark, path).collect()) == ["p.png", "q.png", "q.png", "q.png"]
+    K.compact(spark, path, str(tmp_path / "compact"), ["page_name"])
+    compact = spark.read.parquet(str(tmp_path / "compact"))
+    assert compact.count() == 2
+    assert K.read_blocks(spark, str(tmp_path / "compact")).count() == 4
+    done = K.write_block_files(both.where("page_name = 'q.png'"), str(tmp_path), pages).collect()
+    assert {r.error for r in done} == {None}
+    assert (tmp_path / "translation_cache" / "p.png_blocks.json").read_text() == "[]"
+
+
+def test_unwritable_pages_give_an_error_row(spark):
+    done = K.write_block_files(stored_blocks(spark, "x", 2), "nowhere://bucket/folder").collect()
+    assert len(done) == 1 and done[0].error
+
+
 def test_block_files_and_cleanup(spark, tmp_path):
     folder = str(tmp_path)
     many = stored_blocks(spark, "many").withColumn("page_name", F.lit("a b.png"))
     one = stored_blocks(spark, "one", 1)
-    written = K.write_block_files(many.unionByName(one), folder, part_rows=10).collect()
+    written = K.write_block_files(many.unionByName(one), folder).collect()
     assert sorted(r.path.rsplit("/", 1)[1] for r in written) == ["a b.png_blocks.json", "p.png_blocks.json"]
     assert {r.error for r in written} == {None}
     rows = S.cached_blocks(S.read_block_cache(spark, folder)).orderBy("name", "ordinal").collect()
@@ -213,6 +238,56 @@ def test_vision_and_unsupported_routes(spark, folder):
     assert {r.error for r in run.pages.where("status = 'failed'").collect()} == {"Unsupported provider: none", "Failed to decode image"}
 
 
+def test_a_second_run_sends_nothing(spark, folder, tmp_path):
+    log = tempfile.mkdtemp()
+
+    def counted(factory, kind):
+        def model():
+            work = factory()
+
+            def call(x):
+                open(f"{log}/{kind}-{os.getpid()}-{time.time_ns()}", "w").close()
+                return work(x)
+
+            return call
+
+        return model
+
+    store = str(tmp_path / "store")
+    run = lambda: translate_folder(spark, folder, RunConfig(provider="openai"), counted(V.echo_translator, "translate"),
+                                   counted(patch_engine(), "ocr"), store=store)
+    first = run()
+    assert "image" not in first.pages._jdf.queryExecution().optimizedPlan().toString().lower().replace("image_", "")
+    want = sorted(map(tuple, first.pages.collect())), sorted(map(tuple, first.blocks.collect()))
+    calls = len(os.listdir(log))
+    assert calls
+    second = run()
+    again = sorted(map(tuple, second.pages.collect())), sorted(map(tuple, second.blocks.collect()))
+    failed = first.pages.where("error = 'engine fell over'").count()
+    assert again == want and len(os.listdir(log)) == calls + failed  # only pages that failed are tried again
+
+
+def test_a_decoder_completes_what_spark_cannot_read(spark, tmp_path):
+    (tmp_path / "a.webp").write_bytes(b"RIFFxxxxWEBP")
+    (tmp_path / "b.webp").write_bytes(b"broken")
+    (tmp_path / "c.png").write_bytes(png(page(1)))
+
+    picture = page(3)[..., ::-1]
+
+    def decoder():
+        def decode(content):
+            if content == b"broken":
+                raise ValueError("no picture")
+            return picture
+
+        return decode
+
+    run = translate_folder(spark, str(tmp_path), RunConfig(provider="openai"), V.echo_translator, patch_engine(), decoder=decoder)
+    assert {r.name: (r.status, r.error) for r in run.pages.collect()} == {
+        "a.webp": ("completed", None), "b.webp": ("failed", "Failed to decode image"), "c.png": ("completed", None)}
+    assert {r.text_color for r in run.blocks.collect()} == {"#0a14cb", "#0a14c9"}
+
+
 def test_translator_failures_stay_on_their_page(spark):
     def moody():
         def answer(payload):
@@ -233,9 +308,47 @@ def test_inpainter_works_in_tiles(spark):
     rows = [(1, x, y, *map(int, img[y, x])) for y in range(40) for x in range(50)]
     pixels = spark.createDataFrame(rows, "page_id int, x int, y int, b int, g int, r int")
     mask = pixels.where("b = 0").select("page_id", "x", "y")
-    out = V.run_inpainter(pixels, mask, tile=20, halo=4).collect()
+    log = tempfile.mkdtemp()
+
+    def model():
+        open(f"{log}/{os.getpid()}-{time.time_ns()}", "w").close()  # one file per load
+
+        def fill(image, hole):
+            image = image.copy()
+            image[hole] = 200
+            return image
+
+        return fill
+
+    out = V.run_inpainter(pixels, mask.unionByName(mask), model, tile=20, halo=4).coalesce(1).collect()
     assert len(out) == 2000 and {(r.x, r.y) for r in out} == {(r[1], r[2]) for r in rows}
     assert {(r.b, r.g, r.r) for r in out} == {(200, 200, 200)}
+    tasks = spark.conf.get("spark.sql.shuffle.partitions")
+    assert 1 <= len(os.listdir(log)) <= int(tasks)
+
+
+def test_inpainter_falls_back_where_the_model_fails(spark):
+    pixels = spark.createDataFrame([(p, x, 0, 10 * p + x, 0, 0) for p in (1, 2) for x in range(5)], "page_id int, x int, y int, b int, g int, r int")
+    mask = pixels.where("x = 0").select("page_id", "x", "y")
+
+    def model():
+        def fill(image, hole):
+            if image[1:].sum() >= 0 and image[0, 1, 0] > 15:
+                raise ValueError("out of memory")
+            return np.full_like(image, 99)
+
+        return fill
+
+    got = {(r.page_id, r.x): r.b for r in V.run_inpainter(pixels, mask, model).collect()}
+    assert got[1, 0] == 99 and got[2, 0] == 22 and got[1, 3] == 13
+
+
+def test_default_fill_does_not_know_tiles(spark):
+    """A page past the tile size has one fill, as a small one."""
+    pixels = spark.range(600).select(F.lit(1).alias("page_id"), F.col("id").cast("int").alias("x"), F.lit(0).alias("y"),
+                                     *[F.when(F.col("id") < 300, 10).otherwise(200).alias(c) for c in "bgr"])
+    mask = pixels.where("x IN (0, 599)").select("page_id", "x", "y")
+    assert {r.b for r in V.run_inpainter(pixels, mask).where("x IN (0, 599)").collect()} == {105}
 
 
 def test_glyph_width_table(spark):

@@ -24,22 +24,32 @@ def rows(df):
 def test_hot_groups_rank_like_a_window(spark):
     df = skewed(spark)
     want = df.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("v", "id")).cast("long"))
-    for limit in (10_000, 100, 1):
-        assert rows(K.row_numbers(df, ["g"], ["v", "id"], "n", limit)) == rows(want)
+    assert rows(K.row_numbers(df, ["g"], ["v", "id"], "n")) == rows(want)
+
+
+def test_a_hot_null_group_ranks_like_any_other(spark):
+    df = spark.range(900).select(F.when(F.col("id") % 3 > 0, F.col("id") % 7).alias("g"), "id")
+    got = K.row_numbers(df, ["g"], ["id"], "n").where("g IS NULL").orderBy("id").collect()
+    assert [r.n for r in got] == list(range(1, 301))
 
 
 def test_global_rank(spark):
     df = skewed(spark)
-    got = K.row_numbers(df, [], ["v", "id"], "n", hot_rows=10).orderBy("n").collect()
+    got = K.row_numbers(df, [], ["v", "id"], "n").orderBy("n").collect()
     assert [r.n for r in got] == list(range(1, 3001))
     assert [(r.v, r.id) for r in got] == sorted((r.v, r.id) for r in got)
 
 
 def test_ordinals_of_line_items(spark):
     lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
-    plain = K.with_ordinal(lines, ["l_orderkey"], LINE_ORDER)
-    split = K.with_ordinal(lines, ["l_orderkey"], LINE_ORDER, hot_rows=4)
-    assert rows(plain) == rows(split)
+    window = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
+    plain = lines.withColumn("ordinal", (F.row_number().over(window) - 1).cast("int"))
+    assert rows(K.with_ordinal(lines, ["l_orderkey"], LINE_ORDER)) == rows(plain)
+
+
+def test_natural_order_has_no_single_task(spark):
+    pages = spark.range(50).select(F.col("id").alias("page_id"), F.concat(F.lit("p"), "id").alias("name"))
+    assert "SinglePartition" not in M.natural_order(pages)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_neighbours_across_slices_and_gaps(spark):
@@ -53,7 +63,7 @@ def test_neighbours_across_slices_and_gaps(spark):
 
 def test_page_neighbours_over_all_pages(spark):
     pages = spark.range(100).select(F.col("id").alias("page_id"), F.concat(F.lit("p"), F.col("id"), F.lit(".png")).alias("name"))
-    out = M.page_neighbours(M.natural_order(pages, hot_rows=5)).orderBy("page_rank").collect()
+    out = M.page_neighbours(M.natural_order(pages)).orderBy("page_rank").collect()
     assert [r.page_id for r in out] == list(range(100))
     assert [r.prev_page for r in out] == [None, *range(99)]
     assert (out[0].has_prev, out[0].has_next, out[-1].has_next) == (False, True, False)
@@ -94,8 +104,19 @@ def test_hash_ignores_geometry_but_not_order(spark):
     assert P.render_hash(blocks.withColumn("ordinal", 24 - F.col("ordinal")), style).head().render_hash != h
     assert P.render_hash(blocks, StyleConfig(export_compressed=True)).head().render_hash == h
     assert P.render_hash(blocks, StyleConfig(font_size_scale=1.2)).head().render_hash != h
-    split = P.render_hash(blocks, style, part_rows=10).head().render_hash
-    assert split != h and split == P.render_hash(blocks.repartition(3), style, part_rows=10).head().render_hash
+    assert P.render_hash(blocks.repartition(3), style).head().render_hash == h
+
+
+def test_one_rule_for_pages_of_any_size(spark):
+    """A page of 10,050 blocks is one request and one document; its hash sees its last block."""
+    import json
+
+    blocks = sample_blocks(spark, 10_050)
+    request = P.request_payload(blocks).collect()
+    assert [(r.part, r.n_items) for r in request] == [(0, 10_050)] and len(json.loads(request[0].payload)) == 10_050
+    assert P.blocks_json(blocks).count() == 1
+    changed = blocks.withColumn("translated_text", F.when(F.col("ordinal") == 10_049, "other").otherwise(F.col("translated_text")))
+    assert P.render_hash(changed, StyleConfig()).head() != P.render_hash(blocks, StyleConfig()).head()
 
 
 def test_stale_is_empty_after_rendering(spark):

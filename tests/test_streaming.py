@@ -159,12 +159,15 @@ def test_apply_edits(spark):
     box = D.drag_box({c: F.lit(v) for c, v in zip(("xmin", "ymin", "xmax", "ymax"), (10.0, 10.0, 30.0, 20.0))}, F.col("op"), F.col("d"), F.col("d"))
     edits = edits.withColumn("box", F.when(F.col("op").isin("move", "resize"), box))
     got = {r.block_id: r for r in D.apply_edits(blocks, edits).collect()}
-    assert set(got) == {"b0", "b2", "b3", "n1"}
+    assert {b: r.ordinal for b, r in got.items()} == {"b0": 0, "b2": 1, "b3": 2, "n1": 3}
     assert (got["b0"].translated_text, got["b0"].bg_color, got["b0"].text_color) == ("two", "#123456", "#000000")
     assert (got["b2"].xmin, got["b2"].xmax, got["b2"].ymin, got["b2"].ymax) == (80.0, 100.0, 90.0, 100.0)
     assert (got["b3"].xmin, got["b3"].xmax, got["b3"].ymax) == (10.0, 12.0, 12.0)
     made = got["n1"]
     assert (made.translated_text, made.xmin, made.ymax, made.font_size_pct, made.type) == ("新文字框", 40.0, 48.0, 2.2, "onomatopoeia")
+    sized = blocks.withColumns({"width": F.lit(600), "height": F.lit(900)})
+    for pages in (None, spark.createDataFrame([(1, 600, 900)], "page_id int, width int, height int")):
+        assert {(r.width, r.height) for r in D.apply_edits(sized, edits, pages).collect()} == {(600, 900)}
     fresh = D.new_blocks(spark.createDataFrame([(1, "n9")], "page_id int, block_id string")).head()
     assert (fresh.xmin, fresh.xmax, fresh.bg_color) == (40.0, 60.0, "#000000")
 
@@ -174,6 +177,8 @@ def test_invalidate_erased(spark):
     old = spark.createDataFrame([(p, i, 1.0, 1.0, 2.0, 2.0, None) for p in (1, 2, 3) for i in (0, 1)], columns)
     new = spark.createDataFrame([(1, 0, 1.0, 1.0, 2.0, 2.0, None), (1, 1, 1.0, 1.0, 2.0, 2.0, None), (2, 0, 1.0, 1.0, 2.0, 2.0, None)], columns)
     assert [tuple(r) for r in T.invalidate_erased(new, old).collect()] == [(2, 1)]
+    batch = spark.createDataFrame([(1,), (2,), (3,)], "page_id int")
+    assert sorted(tuple(r) for r in T.invalidate_erased(new, old, batch).collect()) == [(2, 1), (3, 2)]
 
 
 def test_intake_goes_on_where_it_stopped(spark, tmp_path):
