@@ -120,7 +120,7 @@ def erase_page(pixels: DataFrame, blocks: DataFrame, onomatopoeia_mode: str = "i
     last = bound.agg(F.max("step")).head()[0]
     if last is None:
         return ErasePlan(apply_fill(pixels, filled), mask, routes)
-    under = R.crop_pixels(pixels, bound).join(bound.select(*KEYS, "x0", "y0"), KEYS).select(
+    under = R.crop_pixels(pixels, bound).select(
         "page_id", (F.col("x") + F.col("x0")).cast("int").alias("x"), (F.col("y") + F.col("y0")).cast("int").alias("y"), *R.CHANNELS)
     under = under.distinct().checkpoint()
     masks, ways = [mask], [routes]
