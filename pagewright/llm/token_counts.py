@@ -19,11 +19,11 @@ import math
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import strings
+from .common import Recent, strings
 
 SPACE = "▁"
-NODES = 400_000  # of a trie, then a new one is begun
-KNOWN_WORDS = 200_000
+NODES = 600_000  # of a trie, then a new one is begun
+KNOWN_WORDS = 400_000
 LONG_WORD = 256  # longer words are scored without a trie
 TEXT_AT_ONCE = 1 << 20
 _COUNT_BITS = 32
@@ -60,25 +60,80 @@ def count_of(total: int) -> int:
 _BYTE_SCORE = -20_000_000  # lower than any piece's, so bytes are the last resort
 
 
+class Suffixes:
+    """Which pieces end at a position: an automaton over the characters read so far.
+
+    A state is the longest suffix that begins some piece; `pieces_at` lists the
+    (length, score) of all pieces that end there.
+    """
+
+    def __init__(self, scores: dict[str, int]):
+        self.after: list[dict[str, int]] = [{}]
+        own: list[tuple[int, int] | None] = [None]
+        for piece, score in scores.items():
+            state = 0
+            for char in piece:
+                following = self.after[state].get(char)
+                if following is None:
+                    following = self.after[state][char] = len(self.after)
+                    self.after.append({})
+                    own.append(None)
+                state = following
+            own[state] = (len(piece), score)
+        self.shorter = [0] * len(own)
+        self.pieces_at: list[tuple] = [()] * len(own)
+        level = list(self.after[0].values())
+        for state in level:
+            self.pieces_at[state] = (own[state],) if own[state] else ()
+        while level:
+            deeper = []
+            for state in level:
+                for char, child in self.after[state].items():
+                    self.shorter[child] = self.step(self.shorter[state], char)
+                    rest = self.pieces_at[self.shorter[child]]
+                    self.pieces_at[child] = (own[child], *rest) if own[child] else rest
+                    deeper.append(child)
+            level = deeper
+
+    def step(self, state: int, char: str) -> int:
+        while True:
+            following = self.after[state].get(char)
+            if following is not None:
+                return following
+            if not state:
+                return 0
+            state = self.shorter[state]
+
+
+@functools.lru_cache(maxsize=2)
+def suffixes(path: str) -> Suffixes:
+    return Suffixes(pieces(path)[0])
+
+
 class Trie:
+    """Pre-tokens met so far. A node holds its forward score and the state of the pieces that end there."""
+
     def __init__(self, path: str):
-        self.scores, self.longest = pieces(path)
+        scores, self.longest = pieces(path)
+        self.single = {p for p in scores if len(p) == 1}
+        self.suffixes = suffixes(path)
+        self.known = Recent(KNOWN_WORDS)
+        self._clear()
+
+    def _clear(self) -> None:
         self.children: dict[tuple[int, str], int] = {}
-        self.forward = [0]
-        self.known: dict[str, int] = {}
-
-    def _best(self, word: str, end: int, before) -> int:
-        """Forward score at `end`; `before(i)` is the one at i."""
-        scores, best = self.scores, None
-        for start in range(max(0, end - self.longest), end):
-            own = scores.get(word[start:end])
-            if own is not None:
-                total = before(start) + own
-                if best is None or total > best:
-                    best = total
-        if best is None or word[end - 1] not in scores:
-            n = len(word[end - 1].encode())
-            total = before(end - 1) + step(n * _BYTE_SCORE, n)
+        self.forward, self.state = [0], [0]
+
+    def _best(self, path: list[int], state: int, char: str) -> int:
+        """Forward score one character after `path`, the scores of the prefixes before it."""
+        best, at = None, len(path)
+        for length, score in self.suffixes.pieces_at[state]:
+            total = path[at - length] + score
+            if best is None or total > best:
+                best = total
+        if char not in self.single:
+            n = len(char.encode())
+            total = path[-1] + step(n * _BYTE_SCORE, n)
             best = total if best is None else max(best, total)
         return best
 
@@ -87,39 +142,39 @@ class Trie:
         if len(word) > LONG_WORD:
             return self._long(word)
         if len(self.forward) > NODES:
-            self.children, self.forward = {}, [0]
-        children, forward = self.children, self.forward
+            self._clear()
+        children, forward, states = self.children, self.forward, self.state
         node, path = 0, [0]
-        for depth, char in enumerate(word, 1):
+        for char in word:
             child = children.get((node, char))
             if child is None:
                 child = children[node, char] = len(forward)
-                forward.append(self._best(word, depth, path.__getitem__))
+                state = self.suffixes.step(states[node], char)
+                states.append(state)
+                forward.append(self._best(path, state, char))
             node = child
             path.append(forward[child])
-        return count_of(forward[node])
+        return count_of(path[-1])
 
     def _long(self, word: str) -> int:
-        """The same scores over a window as long as the longest piece."""
-        window = [0]  # scores at the last positions
-        for end in range(1, len(word) + 1):
-            first = end - len(window)
-            part = word[first:end]
-            window.append(self._best(part, len(part), window.__getitem__))
-            if len(window) > self.longest:
-                window.pop(0)
-        return count_of(window[-1])
+        """The same scores without keeping the nodes; the path is cut to the longest piece."""
+        state, path = 0, [0]
+        for char in word:
+            state = self.suffixes.step(state, char)
+            path.append(self._best(path, state, char))
+            if len(path) > 2 * LONG_WORD:
+                del path[:-self.longest]
+        return count_of(path[-1])
 
     def counts(self, texts: list[str]) -> list[tuple[int, int]]:
         """(words, tokens) of each text."""
         split = [x.split() for x in texts]
-        fresh = set().union(*split).difference(self.known)
-        if len(self.known) + len(fresh) > KNOWN_WORDS:
-            self.known, fresh = {}, set().union(*split)
-        made = {w: self.insert(SPACE + w) for w in sorted(fresh)}
-        known = self.known | made if any(len(w) > LONG_WORD for w in made) else self.known
-        self.known.update((w, n) for w, n in made.items() if len(w) <= LONG_WORD)
-        return [(len(words), sum(map(known.__getitem__, words))) for words in split]
+        fresh = self.known.missing(set().union(*split))
+        self.known.update((w, self.insert(SPACE + w)) for w in sorted(fresh))
+        get = self.known.__getitem__
+        out = [(len(words), sum(map(get, words))) for words in split]
+        self.known.forget(w for w in fresh if len(w) > LONG_WORD)
+        return out
 
 
 @functools.lru_cache(maxsize=1)
