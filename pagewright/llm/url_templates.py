@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 DEPTH = 3  # levels of the tree; what lies deeper is one last level
 FAN_OUT = 30
 HOST_WEIGHT = 20.0
@@ -84,17 +86,18 @@ def templates(urls: DataFrame) -> DataFrame:
     tree = (urls.groupBy("host", *raw)
             .agg(F.count("*").alias("n"), F.sum(F.when(F.col("verdict") == "block", 1).otherwise(0)).alias("bad"),
                  F.sum(F.when(F.col("verdict").isNotNull(), 1).otherwise(0)).alias("known")))
+    ensure_checkpoint_dir(urls.sparkSession)
+    # Every level reads the tree several times; a checkpoint between levels keeps the plan small.
+    tree = tree.withColumns({f"s{i}": F.col(f"raw{i}") for i in range(1, DEPTH + 1)}).checkpoint()
     for i in range(1, DEPTH + 1):
-        tree = tree.withColumn(f"s{i}", F.col(f"raw{i}"))
-    for i in range(1, DEPTH + 1):
-        tree = _generalised(tree, i)
+        tree = _generalised(tree, i).checkpoint()
     leaf = ["host", *[f"s{i}" for i in range(1, DEPTH + 1)], f"raw{DEPTH + 1}"]
     leaves = tree.groupBy(*leaf).agg(F.sum("bad").cast("double").alias("bad"), F.sum("known").cast("double").alias("known"))
     branch = ["host", "s1"]
     pooled = leaves.groupBy(*branch).agg(F.sum("bad").alias("_bad"), F.sum("known").alias("_known"))
     share, common = F.try_divide("bad", "known"), F.try_divide("_bad", "_known")
     alike = F.coalesce((share - common) * (share - common) <= F.try_divide(CHANCE * common * (1 - common), F.col("known")), F.lit(True))
-    leaves = leaves.join(pooled, branch).withColumn("_alike", alike)
+    leaves = leaves.join(pooled, branch).withColumn("_alike", alike).checkpoint()
     merged = (leaves.where("_alike").groupBy(*branch).agg(F.sum("bad").alias("_mb"), F.sum("known").alias("_mk")))
     hosts = leaves.groupBy("host").agg(F.sum("bad").alias("_hb"), F.sum("known").alias("_hk"))
     prior = hosts.agg(F.coalesce(F.try_divide(F.sum("_hb"), F.sum("_hk")), F.lit(0.0))).scalar()  # one value
