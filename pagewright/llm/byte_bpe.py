@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from .common import Recent, utf8
 
 TEXT_AT_ONCE = 1 << 21
-CACHE_PIECES = 250_000
-CACHE_WORDS = 400_000
+CACHE_PIECES = 150_000
+CACHE_WORDS = 250_000
 CACHED_PIECE_BYTES = 64
 WORDS_AT_ONCE = 20_000  # words of one recursive query
 QUERY_BYTES = 256  # longer words are contracted by a queue, as a query's work grows with the square of the length

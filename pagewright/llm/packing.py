@@ -27,7 +27,7 @@ from .common import Recent, utf8
 WINDOW = 2048
 END_ID = 1
 POOL = 1024  # pieces at which a task starts to pack
-CACHE_WORDS = 300_000
+CACHE_WORDS = 120_000
 RUNS_AT_ONCE = 2_000
 WORD_END = "</w>"
 MARKS = (b",", b".", b"!", b"?", b";", b":")
