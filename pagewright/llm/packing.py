@@ -27,7 +27,8 @@ from .common import Recent, utf8
 WINDOW = 2048
 END_ID = 1
 POOL = 1024  # pieces at which a task starts to pack
-CACHE_WORDS = 120_000
+CACHE_WORDS = 150_000
+CACHE_RUNS = 300_000
 RUNS_AT_ONCE = 2_000
 WORD_END = "</w>"
 MARKS = (b",", b".", b"!", b"?", b";", b":")
@@ -61,7 +62,7 @@ class WordTokenizer:
         vocabulary = tokenizer.get_vocab()
         self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self._ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
-        self._words, self._letters = Recent(CACHE_WORDS), Recent(CACHE_WORDS)
+        self._words, self._letters = Recent(CACHE_WORDS), Recent(CACHE_RUNS)
         self._marks = {m: self._each([m])[m] for m in MARKS}
 
     def _each(self, words: list[bytes]) -> dict[bytes, bytes]:
