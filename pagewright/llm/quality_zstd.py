@@ -17,7 +17,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import held_out, labelled, sample_texts, utf8
+from .common import SAMPLE_PIECES, held_out, labelled, sample_texts, utf8
 
 BLOCK = 2048
 LEVEL = 3
@@ -96,6 +96,16 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
     return fit_texts(texts[1], texts[0])
 
 
+def spread_share(pieces: list[bytes], share: int) -> bytes:
+    """At most `share` bytes of a text: all of it, or equal parts at even distances from its start to its end."""
+    content = b"".join(pieces)
+    if len(content) <= share:
+        return content
+    size, gap = share // SAMPLE_PIECES, len(content) - share // SAMPLE_PIECES
+    starts = [i * gap // (SAMPLE_PIECES - 1) for i in range(SAMPLE_PIECES)]
+    return b"".join(content[at:at + size] for at in starts)
+
+
 def fit_texts(good: list[list[bytes]], bad: list[list[bytes]]) -> QualityModel:
     if not good or not bad:
         return QualityModel(b"", b"", (0.0,) * 5)
@@ -103,8 +113,8 @@ def fit_texts(good: list[list[bytes]], bad: list[list[bytes]]) -> QualityModel:
     for texts in (good, bad):
         build = [pieces for i, pieces in enumerate(texts) if i % 3 or len(texts) < 3]
         share = max(64, DICT_BYTES // len(build))
-        # The same share of every text, so that one long text cannot fill a dictionary.
-        books.append(b"".join(b"".join(pieces)[:share] for pieces in build)[:DICT_BYTES])
+        # The same share of every text, so that one long text cannot fill a dictionary, and from all over the text.
+        books.append(b"".join(spread_share(pieces, share) for pieces in build)[:DICT_BYTES])
     tests = [(pieces, y) for texts, y in ((good, 1), (bad, 0)) for i, pieces in enumerate(texts) if i % 3 == 0]
     x = np.array([features(b"".join(pieces), *books) for pieces, _ in tests])
     w = _logistic(x, np.array([y for _, y in tests]))

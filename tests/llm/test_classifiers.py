@@ -36,6 +36,20 @@ def test_quality_odd_rows(odd_docs, no_docs, odd_labels, no_labels):
     assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count()  # nothing known, nothing rejected
 
 
+def test_dictionaries_hold_what_comes_late_in_a_text():
+    head = lambda i: f"head {i} ".encode() * 200
+    good = [[head(i)] for i in range(3000)]
+    bad = [[head(i) + b"LATE JUNK %d " % i * 100] for i in range(3000)]  # junk begins after 196 bytes, the share of a text
+    model = quality_zstd.fit_texts(good, bad)
+    assert model.bad.count(b"LATE JUNK") > 2000 and b"LATE JUNK" not in model.good and len(model.bad) <= quality_zstd.DICT_BYTES
+
+
+def test_share_of_a_text():
+    data = bytes(range(256)) * 4
+    assert quality_zstd.spread_share([data[:300], data[300:]], 2000) == data
+    assert quality_zstd.spread_share([data], 400) == data[:100] + data[308:408] + data[616:716] + data[924:]
+
+
 def test_sample_spreads_over_the_text():
     data = bytes(range(256)) * 100
     pieces = spread_pieces(data)
