@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import held_out, sample_texts, strings
 
-DIMS = 1 << 13
+DIMS = 1 << 14
 CENTROIDS = 4
-SAMPLE_PER_LANG = 400  # bound of the labelled sample
+SAMPLE_PER_LANG = 600  # bound of the labelled sample
 REJECT_QUANTILE = 0.001
 REJECT_SLACK = 0.4
 SHARPNESS = 25.0
@@ -87,29 +87,36 @@ def _k_means(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
+def _dense(sparse: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray) -> np.ndarray:
+    """Unit TF-IDF rows of (gram, count) pairs."""
+    rows = np.zeros((len(sparse), DIMS), np.float32)
+    for row, (at, n) in zip(rows, sparse):
+        row[at] = np.log1p(n) * idf[at]
+    rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)  # in place
+    return rows
+
+
 def fit_texts(samples: list[tuple[str, str]]) -> LangModel:
-    """A model from (lang, text) pairs; pairs without a letter teach nothing."""
-    tf, names = np.zeros((len(samples), DIMS), np.float32), []
+    """A model from (lang, text) pairs; pairs without a letter teach nothing.
+
+    Counts are held sparse; only one language at a time has dense vectors."""
+    by_lang: dict[str, list] = {}
+    df = np.zeros(DIMS, np.int64)
     for lang, text in samples:
         c = counts(text)
         if c is not None:
-            tf[len(names)] = c
-            names.append(lang)
-    tf = tf[:len(names)]
-    if not names:
+            at = np.flatnonzero(c)
+            df[at] += 1
+            by_lang.setdefault(lang, []).append((at.astype(np.uint16), c[at].astype(np.float32)))
+    if not by_lang:
         return LangModel((), np.ones(DIMS, np.float32), np.zeros((DIMS, 0), np.float32), np.zeros(0, int), np.zeros(16))
-    grams = tf.sum(axis=1)
-    idf = np.log((1 + len(tf)) / (1 + (tf > 0).sum(axis=0))).astype(np.float32) + 1
-    x = np.log1p(tf, out=tf)  # in place: the driver holds the sample's vectors once
-    x *= idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    langs = tuple(sorted(set(names)))
-    own = np.array([langs.index(n) for n in names])
-    parts = [_k_means(x[own == i], CENTROIDS) for i in range(len(langs))]
+    idf = np.log((1 + sum(map(len, by_lang.values()))) / (1 + df)).astype(np.float32) + 1
+    langs = tuple(sorted(by_lang))
+    parts = [_k_means(_dense(by_lang[lang], idf), CENTROIDS) for lang in langs]
     owner = np.concatenate([[i] * len(p) for i, p in enumerate(parts)]).astype(int)
     centroids = np.concatenate(parts).T.astype(np.float32)
-    best = (x @ centroids).max(axis=1)
-    kinds = _length_class(grams)
+    best = np.concatenate([(_dense(by_lang[lang], idf) @ centroids).max(axis=1) for lang in langs])
+    kinds = _length_class(np.array([n.sum() for lang in langs for _, n in by_lang[lang]]))
     floors = np.zeros(16)
     for k in range(16):  # a class with too few texts takes the floor of the shorter class
         near = best[kinds == k]

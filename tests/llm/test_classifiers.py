@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 from pagewright.llm import langid, quality_rules, quality_zstd
@@ -72,6 +73,17 @@ def test_language_rejects_what_is_far(spark):
     assert rejected == [True, True, True] and langs[1:] == ["und", "und"] and langs[0] != "und"
 
 
+def test_language_fit_holds_one_language_dense_at_full_size():
+    assert langid.DIMS == 1 << 14 and langid.SAMPLE_PER_LANG == 600
+    samples = [(f"l{i % 30:02}", f"{chr(97 + i % 26)}{chr(97 + i % 17)}o words of text number {chr(97 + i % 13)}") for i in range(3000)]
+    langid._letters()
+    tracemalloc.start()
+    model = langid.fit_texts(samples)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.langs) == 30 and peak < 3000 * langid.DIMS * 4 / 3  # a third of all vectors
+
+
 def test_language_counts_do_not_depend_on_chunks(monkeypatch):
     text = "Größe und naïve Wörter, 12 mal. " * 50
     whole = langid.counts(text)
