@@ -45,18 +45,22 @@ def spread_pieces(data: bytes, pieces: int = SAMPLE_PIECES, size: int = SAMPLE_P
 
 
 def sample_texts(docs: DataFrame, chosen: DataFrame, key: str) -> list[tuple[object, int, list[bytes]]]:
-    """(key value, doc_id, pieces) of the chosen ids, in a fixed order. `chosen` is bounded by its limit."""
+    """(key value, doc_id, pieces) of the chosen ids, in a fixed order. `chosen` is bounded by its limit.
+
+    An id with many rows gives one of its texts, the one of least hash, so that the rows that are collected are bounded too.
+    """
 
     def pieces(batches):
         for batch in batches:
             rows = [spread_pieces(x) for x in utf8(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column(key), pa.array(rows, pa.list_(pa.binary()))], ["doc_id", key, "pieces"])
+                [batch.column("doc_id"), batch.column(key), batch.column("_h"), pa.array(rows, pa.list_(pa.binary()))], ["doc_id", key, "_h", "pieces"])
 
-    wanted = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", key)), "doc_id")
+    wanted = docs.select("doc_id", "text", F.xxhash64("text").alias("_h")).join(F.broadcast(chosen.select("doc_id", key).distinct()), "doc_id")
     kind = wanted.schema[key].dataType.simpleString()
     id_kind = wanted.schema["doc_id"].dataType.simpleString()
-    rows = wanted.mapInArrow(pieces, f"doc_id {id_kind}, {key} {kind}, pieces array<binary>").collect()
+    cut = wanted.mapInArrow(pieces, f"doc_id {id_kind}, {key} {kind}, _h long, pieces array<binary>")
+    rows = cut.groupBy("doc_id", key).agg(F.min_by("pieces", "_h").alias("pieces")).collect()
     return sorted(((r[key], r["doc_id"], [bytes(x) for x in r["pieces"]]) for r in rows), key=lambda x: (str(x[0]), str(x[1]), x[2]))
 
 

@@ -127,11 +127,11 @@ def fit_texts(samples: list[tuple[str, str]]) -> LangModel:
 def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> LangModel:
     """Learns from at most `per_lang` training texts of every non-null language.
 
-    Ids are taken in hash order. Languages are counted first, and of a large
+    Ids are taken in hash order, each once. Languages are counted first, and of a large
     one only the ids in the lowest part of the hash range, about four times the
     limit, are ranked: what meets in one task does not grow with the table.
     """
-    ids = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & ~held_out()).withColumn("_h", F.xxhash64("doc_id"))
+    ids = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & ~held_out()).distinct().withColumn("_h", F.xxhash64("doc_id"))
     sizes = ids.groupBy("lang").agg(F.count("*").alias("_all"))
     low = F.shiftrightunsigned("_h", 1) <= F.lit(4.0 * per_lang) / F.col("_all") * float(1 << 63)
     by_hash = Window.partitionBy("lang").orderBy("_h", "doc_id")

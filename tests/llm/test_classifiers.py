@@ -2,7 +2,7 @@ import tracemalloc
 import zlib
 
 from pagewright.llm import langid, quality_rules, quality_zstd
-from pagewright.llm.common import spread_pieces
+from pagewright.llm.common import sample_texts, spread_pieces
 
 SF = "/root/testdata/sf0.01"
 
@@ -58,6 +58,18 @@ def test_sample_spreads_over_the_text():
     assert b"".join(spread_pieces(data[:5000])) == data[:5000]
 
 
+def test_repeated_ids_give_one_text_each(spark, monkeypatch):
+    rows = [(3, f"text {i % 7}", "en") for i in range(200)] + [(i, f"own {i}", "en") for i in range(100, 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    chosen = spark.createDataFrame([(3, "en")] * 5 + [(111, "en")], "doc_id long, lang string")
+    got = sample_texts(docs, chosen, "lang")
+    assert [(k, i) for k, i, _ in got] == [("en", 111), ("en", 3)] and got == sample_texts(docs.repartition(2), chosen, "lang")
+    taken = []
+    monkeypatch.setattr(langid, "sample_texts", lambda docs, chosen, key: taken.extend(r["doc_id"] for r in chosen.collect()) or [])
+    langid.fit(docs, 20)
+    assert len(taken) == len(set(taken)) == 20
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = langid.predict(docs, langid.fit(docs)).join(docs.select("doc_id", "lang"), "doc_id").collect()
