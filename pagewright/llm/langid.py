@@ -23,6 +23,8 @@ CENTROIDS = 4
 SAMPLE_PER_LANG = 600  # bound of the labelled sample
 REJECT_QUANTILE = 0.001
 REJECT_SLACK = 0.4
+FEW_TEXTS = 20  # a length class with fewer texts sets its floor from parts of longer texts
+PART_TEXTS, PARTS = 300, 4
 SHARPNESS = 25.0
 UNKNOWN = "und"
 CHUNK = 1 << 20  # letters counted at once, so that a very long text needs bounded memory
@@ -96,6 +98,28 @@ def _dense(sparse: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray) -> np.n
     return rows
 
 
+def _near_of_parts(samples: list[tuple[str, str]], kind: int, idf: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """Cosines to the nearest centroid of parts of the samples that have the length class `kind`.
+
+    Parts are whole words from evenly spread places of evenly spread samples."""
+    letters = max(1, (3 << kind) // 6)  # three n-grams a letter, the middle of the class
+    near = []
+    for _, text in samples[::max(1, len(samples) // PART_TEXTS)]:
+        for i in range(PARTS):
+            at = max(0, len(text) - letters) * i // PARTS
+            at = text.find(" ", at) + 1 if at else 0
+            end = text.find(" ", at + letters)
+            part = text[at:] if end < 0 else text[at:end]
+            if len(part) > 2 * letters + 8:  # a text without spaces
+                part = part[:letters]
+            c = counts(part)
+            if c is not None and _length_class(c.sum()) == kind:
+                where = np.flatnonzero(c)
+                row = np.log1p(c[where]) * idf[where]
+                near.append((row / np.linalg.norm(row) @ centroids[where]).max())
+    return np.array(near)
+
+
 def fit_texts(samples: list[tuple[str, str]]) -> LangModel:
     """A model from (lang, text) pairs; pairs without a letter teach nothing.
 
@@ -118,9 +142,11 @@ def fit_texts(samples: list[tuple[str, str]]) -> LangModel:
     best = np.concatenate([(_dense(by_lang[lang], idf) @ centroids).max(axis=1) for lang in langs])
     kinds = _length_class(np.array([n.sum() for lang in langs for _, n in by_lang[lang]]))
     floors = np.zeros(16)
-    for k in range(16):  # a class with too few texts takes the floor of the shorter class
+    for k in range(16):
         near = best[kinds == k]
-        floors[k] = REJECT_SLACK * np.quantile(near, REJECT_QUANTILE) if len(near) >= 20 else floors[k - 1] if k else 0.0
+        if len(near) < FEW_TEXTS:  # too few texts of this length: short parts of longer ones tell
+            near = _near_of_parts(samples, k, idf, centroids)
+        floors[k] = REJECT_SLACK * np.quantile(near, REJECT_QUANTILE) if len(near) >= FEW_TEXTS else floors[k - 1] if k else 0.0
     return LangModel(langs, idf, centroids, owner, floors)
 
 

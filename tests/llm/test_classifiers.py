@@ -85,6 +85,16 @@ def test_language_rejects_what_is_far(spark):
     assert rejected == [True, True, True] and langs[1:] == ["und", "und"] and langs[0] != "und"
 
 
+def test_language_rejects_short_foreign_texts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs)
+    foreign = ["Привет мир", "Это короткий текст", "Это короткий текст на русском языке", "Καλημέρα σας φίλοι μου"]
+    assert langid.classify(foreign, model)[2] == [True] * 4
+    own = [" ".join(r["text"].split()[5:5 + n]) for r in docs.orderBy("doc_id").limit(100).collect() for n in (2, 4, 8)]
+    own = [x for x in own if sum(c.isalpha() for c in x) > 5]
+    assert len(own) > 200 and sum(langid.classify(own, model)[2]) <= len(own) / 100
+
+
 def test_language_fit_holds_one_language_dense_at_full_size():
     assert langid.DIMS == 1 << 14 and langid.SAMPLE_PER_LANG == 600
     samples = [(f"l{i % 30:02}", f"{chr(97 + i % 26)}{chr(97 + i % 17)}o words of text number {chr(97 + i % 13)}") for i in range(3000)]
