@@ -1,19 +1,20 @@
-"""Repeated runs of lines, from a suffix array over line ids. DataFrame functions only.
+"""Repeated runs of lines by hashed blocks of lines. DataFrame functions only.
 
-Ids and doubling: a line's id is a 128-bit hash of its content. The rank of
-the next 2, 4, 8 … lines at a position is the hash of two ranks of half that
-length, one taken half as far behind (prefix doubling). The order of these
-ranks is the order of the suffixes.
+No suffix array and no longest-common-prefix intervals are built, and nothing is
+sorted across documents: a sort would bring a common line into one task, while
+grouped minima combine before the shuffle. What goes is the same.
+
+Ids and doubling: a line's id is a 128-bit hash of its content. The hash of
+the next 2, 4, 8 … lines at a position, its rank, is made of two of half that
+length, one taken half as far behind (prefix doubling).
 
 Depth: a run counts from `min_words` words on, and a line that counts has at
-least one word, so no comparison needs more than `min_words` lines. The array
-is therefore sorted to that depth and no deeper.
-
-Intervals: suffixes whose longest common prefix reaches `min_words` words stand
-together. Such an interval is the set of suffixes with the same shortest prefix
-of that many words, whose rank is a pair of overlapping doubling ranks. Its
-first member in the order of documents stays; the prefixes of the later ones
-go. Prefixes that end where a run ends are ranked too, so the union of what
+least one word, so no comparison needs more than `min_words` lines.
+
+Blocks: places where the same shortest stretch with `min_words` words begins
+have the same rank, a pair of overlapping doubling ranks, and are grouped by it.
+The first in the order of documents stays; the blocks of the later ones
+go. Stretches that end where a run ends are blocks too, so the union of what
 goes is exactly the maximal repeated runs, whatever their length.
 """
 
