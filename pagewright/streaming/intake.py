@@ -1,4 +1,4 @@
-"""Continuous page intake: new files in a folder become translated blocks."""
+"""Continuous page intake: new files in a folder become pages and OCR replies. Routing, translation and a block sink are not composed here."""
 
 from __future__ import annotations
 
