@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (byte_bpe, langid, line_runs, order_minhash, packing, quality_rules, quality_zstd, simhash_trie, token_counts,
-               url_templates)
+from . import (byte_bpe, importance, langid, line_runs, order_minhash, packing, piece_bpe, quality_rules, quality_zstd, simhash_trie,
+               token_counts, url_templates, vector_codes)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,3 +170,98 @@ SELECT page_id, host, path, rule,
        purity
 FROM urls JOIN t3 USING (host, raw1, raw2, raw3, raw4) JOIN judged USING (host, s1, s2, s3, raw4)
 """
+
+
+@query
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def _nearest_sql(book: str) -> str:
+    """Every part's nearest entry: whole numbers below 2^53, so the doubles are exact."""
+    return f"""
+    SELECT vec_id, label, p, a, min({{'d': CAST(list_sum(list_transform(range(1, len(a) + 1), lambda i: (a[i] - c[i]) * (a[i] - c[i]))) AS BIGINT), 'e': e}}) AS best
+    FROM parts JOIN {book} USING (p) GROUP BY ALL"""
+
+
+def _round_sql(k: int) -> str:
+    return f"""
+a{k} AS ({_nearest_sql(f'b{k}')}),
+m{k} AS (
+    SELECT p, e, list(CAST(floor(total / n) AS BIGINT) ORDER BY i) AS c
+    FROM (SELECT p, best.e AS e, i, sum(a[i])::DOUBLE AS total, count(*) AS n FROM a{k}, range(1, 1025) r(i) WHERE i <= len(a) GROUP BY ALL)
+    GROUP BY ALL),
+b{k + 1} AS (SELECT p, e, coalesce(m.c, b.c) AS c FROM b{k} b LEFT JOIN m{k} m USING (p, e))"""
+
+
+ORACLES["op11_vector_codes"] = f"""
+WITH kept AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({vector_codes.SCALE} * x::DOUBLE) AS BIGINT)) AS v
+    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (
+    SELECT vec_id, label, p, v[len(v) // {vector_codes.PARTS} * p + 1:len(v) // {vector_codes.PARTS} * (p + 1)] AS a
+    FROM kept, range({vector_codes.PARTS}) r(p)),
+b0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, a AS c FROM parts QUALIFY e < {vector_codes.ENTRIES}),
+{",".join(_round_sql(k) for k in range(vector_codes.ROUNDS))},
+last AS ({_nearest_sql(f'b{vector_codes.ROUNDS}')}),
+coded AS (
+    SELECT vec_id, label, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error
+    FROM last GROUP BY vec_id, label),
+digest AS (
+    SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{vector_codes.ROUNDS})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded, digest
+"""
+
+
+@query
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.encode_documents(table(spark, sf_dir, "documents"))
+
+
+# crc32 by a table of 256 remainders over the bytes of each different feature; 3988292384 is the reversed polynomial.
+ORACLES["op12_importance"] = f"""
+WITH remainders AS (
+    SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+               lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+texts AS (
+    SELECT doc_id, 0 AS side, text FROM documents UNION ALL SELECT NULL, 1, text FROM benchmark),
+words AS (
+    SELECT doc_id, side, row_number() OVER () AS r,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+    FROM texts),
+uses AS (
+    SELECT doc_id, side, r, f, count(*) AS n
+    FROM (SELECT doc_id, side, r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM words)
+    GROUP BY ALL),
+features AS (
+    SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(h), 2), lambda i: 16 * (strpos('0123456789ABCDEF', h[i]) - 1) + strpos('0123456789ABCDEF', h[i + 1]) - 1)),
+                              lambda c, b: xor(tab[xor(c, b) % 256 + 1], c >> 8)), 4294967295) % {importance.BUCKETS} AS bucket
+    FROM (SELECT DISTINCT f, hex(f) AS h FROM uses), remainders),
+placed AS (SELECT doc_id, side, r, bucket, sum(n) AS n FROM uses JOIN features USING (f) GROUP BY ALL),
+counts AS (
+    SELECT bucket, coalesce(sum(n) FILTER (side = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 1), 0)::DOUBLE AS t
+    FROM placed GROUP BY bucket),
+gains AS (
+    SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM counts) + {importance.BUCKETS})
+                                   / ((s + 1) * ((SELECT sum(t) FROM counts) + {importance.BUCKETS})))) AS gain
+    FROM counts),
+weights AS (SELECT r, sum(n) AS n_features, floor(sum(n * gain) / sum(n)) AS weight FROM placed JOIN gains USING (bucket) WHERE side = 0 GROUP BY r),
+scored AS (
+    SELECT doc_id, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+           CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('{importance.SEED}:' || doc_id)[:8])::BIGINT + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+    FROM words LEFT JOIN weights USING (r) WHERE side = 0),
+ranked AS (
+    SELECT *, n_features >= {2 * importance.MIN_WORDS - 1} AS eligible,
+           row_number() OVER (PARTITION BY n_features >= {2 * importance.MIN_WORDS - 1} ORDER BY score DESC, doc_id) AS place,
+           count(*) OVER (PARTITION BY n_features >= {2 * importance.MIN_WORDS - 1}) AS many
+    FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN eligible AND place <= {importance.PERCENT} * many // 100 THEN place END AS rank
+FROM ranked
+"""
