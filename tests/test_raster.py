@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pagewright.operators import erase as E
 from pagewright.operators import raster as R
+from pagewright.operators.overlap import overlap_groups
 
 KEYS = ["page_id"]
 
@@ -183,3 +184,80 @@ def test_finish_inpaint_leaves_far_pixels(spark):
     assert (out[:5] == img[:5]).all()
     hard = to_image(R.feather_blend(pixels, flat, mask, sizes, KEYS, 0), 0, (20, 20))
     assert (hard[8:11, 8:11] == 100).all() and (hard[:8] == img[:8]).all()
+
+
+def overlapping_pairs(rects):
+    """Groups by all pairs: {(page, ordinal): least ordinal of the group}, groups of several only."""
+    parent = {(p, o): (p, o) for p, o, *_ in rects}
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for i, (p, o, x0, y0, x1, y1) in enumerate(rects):
+        for q, u, a0, b0, a1, b1 in rects[:i]:
+            if p == q and x0 < a1 and a0 < x1 and y0 < b1 and b0 < y1:
+                low, high = sorted((root((p, o)), root((q, u))))
+                parent[high] = low
+    groups = {k: root(k)[1] for k in parent}
+    sizes = {}
+    for (p, _), g in groups.items():
+        sizes[p, g] = sizes.get((p, g), 0) + 1
+    return {k: g for k, g in groups.items() if sizes[k[0], g] > 1}
+
+
+@pytest.mark.parametrize("strip", [7, 64, 1024])
+def test_overlap_groups_match_all_pairs(spark, strip):
+    rng = np.random.default_rng(strip)
+    rects = []
+    for page in range(3):
+        for ordinal in range(60):
+            x0, y0 = (int(v) for v in rng.integers(0, 150, 2))
+            rects.append((page, ordinal, x0, y0, x0 + int(rng.integers(1, 14)), y0 + int(rng.integers(1, 30))))
+    rects += [(0, 100, 500, 500, 510, 510), (0, 101, 500, 500, 510, 510), (0, 102, 510, 500, 520, 510)]  # equal rectangles; a shared edge is no overlap
+    areas = spark.createDataFrame(rects, "page_id int, ordinal int, x0 int, y0 int, x1 int, y1 int").repartition(4)
+    got = {(r.page_id, r.ordinal): r.component for r in overlap_groups(areas, strip).collect()}
+    assert got == overlapping_pairs(rects) and got[0, 101] == 100 and (0, 102) not in got
+
+
+def test_stacked_boxes_are_one_group_and_few_jobs(spark):
+    """2,000 boxes that wait for each other in turn: no pairs, and as many jobs as for ten of them."""
+    rng = np.random.default_rng(3)
+    img = np.full((120, 120, 3), 230) + rng.integers(-3, 4, (120, 120, 3))
+    img[40:60, 40:70] = 10
+    counts = []
+    tracker = spark.sparkContext.statusTracker()
+    for n in (10, 2000):
+        boxes = [(int(x), int(y)) for x, y in rng.integers(10, 40, (n, 2))]
+        rows = [(0, i, "bubble", x / 1.2 + 0.01, y / 1.2 + 0.01, (x + 60) / 1.2 + 0.01, (y + 60) / 1.2 + 0.01, 120, 120) for i, (x, y) in enumerate(boxes)]
+        table = spark.createDataFrame(rows, "page_id int, ordinal int, type string, xmin double, ymin double, xmax double, ymax double, width int, height int")
+        ordered = E.erase_order(E.rects(table))
+        assert ordered.count() == n and ordered.where("bound AND component = 0").count() == n
+        assert ordered.agg(F.max("step")).head()[0] == n - 1
+        spark.sparkContext.setJobGroup(f"stack{n}", "")
+        plan = E.erase_page(to_rows(spark, [img]), table, "normal")
+        got = to_image(plan.pixels, 0, (120, 120))
+        spark.sparkContext.setJobGroup("other", "")
+        counts.append(len(tracker.getJobIdsForGroup(f"stack{n}")))
+        mine = [("bubble", r.x0, r.y0, r.x1, r.y1) for r in E.rects(table).orderBy("ordinal").collect()]
+        assert (got == erase_np(img, mine)[0]).all()
+    assert counts[1] <= counts[0] + 2
+
+
+def test_components_of_a_page_over_many_tiles(spark, monkeypatch):
+    """A chain over several strips and tiles; pixels that the table lacks are neither read nor made."""
+    monkeypatch.setattr(E, "COMPONENT_TILE", 16)
+    rng = np.random.default_rng(8)
+    img = np.full((90, 90, 3), 200) + rng.integers(-2, 3, (90, 90, 3))
+    img[::9, ::7] = 20
+    rows = [(0, i, "bubble" if i % 3 else "other", 5.0 + 8 * i, 5.0 + 8 * i, 20.0 + 8 * i, 20.0 + 8 * i, 90, 90) for i in range(9)]
+    table = spark.createDataFrame(rows, "page_id int, ordinal int, type string, xmin double, ymin double, xmax double, ymax double, width int, height int")
+    plan = E.erase_page(to_rows(spark, [img]), table, "normal")
+    mine = [(r.type, r.x0, r.y0, r.x1, r.y1) for r in E.rects(table).orderBy("ordinal").collect()]
+    want, want_mask = erase_np(img, mine)
+    assert (to_image(plan.pixels, 0, (90, 90)) == want).all()
+    assert {(r.x, r.y) for r in plan.mask.collect()} == {(int(x), int(y)) for y, x in zip(*np.nonzero(want_mask))}
+    holes = to_rows(spark, [img]).where("(x + y) % 5 != 0")
+    part = E.erase_page(holes, table, "normal").pixels
+    assert part.count() == holes.count() and part.select("page_id", "x", "y").exceptAll(holes.select("page_id", "x", "y")).isEmpty()
