@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import colour as C
 from ..operators import erase as E
+from ..operators import pyramid as P
 from ..operators import raster as R
 from ..operators import routing as W
 from ..plugins import run_inpainter
@@ -349,6 +350,39 @@ def inpainted_pixels(t: Tables) -> DataFrame:
     return run_inpainter(crops(t).withColumnRenamed("crop_id", "page_id"), mask)
 
 
+def _pyramid_sql(top: int) -> tuple[tuple[str, str], ...]:
+    """The pyramid of averages over the mask's holes, `top` levels high: sums going up, weighted means going down."""
+    ctes: list[tuple[str, str]] = [
+        ("known0", "SELECT crop_id, x, y, 1 AS n, " + ", ".join(f"{c} AS s_{c}" for c in R.CHANNELS)
+         + " FROM px p ANTI JOIN mask m ON m.crop_id = p.crop_id AND m.x = p.x AND m.y = p.y"),
+        ("missing0", "SELECT DISTINCT crop_id, x, y FROM mask")]
+    for k in range(1, top + 1):
+        ctes.append((f"known{k}", f"SELECT crop_id, x >> 1 AS x, y >> 1 AS y, CAST(sum(n) AS BIGINT) AS n, "
+                     + ", ".join(f"CAST(sum(s_{c}) AS BIGINT) AS s_{c}" for c in R.CHANNELS) + f" FROM known{k - 1} GROUP BY 1, 2, 3"))
+        ctes.append((f"missing{k}", f"""SELECT DISTINCT m.crop_id, m.x >> 1 AS x, m.y >> 1 AS y FROM missing{k - 1} m
+            ANTI JOIN known{k} n ON n.crop_id = m.crop_id AND n.x = m.x >> 1 AND n.y = m.y >> 1"""))
+    for k in range(top, 0, -1):
+        own = f"SELECT crop_id, x, y, " + ", ".join(f"s_{c} * {P.UNIT} // n AS v_{c}" for c in R.CHANNELS) + f" FROM known{k}"
+        ctes.append((f"value{k}", own if k == top else f"{own} UNION ALL SELECT * FROM filled{k}"))
+        ctes.append((f"filled{k - 1}", f"""SELECT m.crop_id, m.x, m.y, """ + ", ".join(f"CAST(sum(h.w * v.w * a.v_{c}) // sum(h.w * v.w) AS BIGINT) AS v_{c}" for c in R.CHANNELS) + f"""
+            FROM missing{k - 1} m, (VALUES (0, {P.NEAR}), (1, {P.FAR})) h(o, w), (VALUES (0, {P.NEAR}), (1, {P.FAR})) v(o, w), value{k} a
+            WHERE a.crop_id = m.crop_id AND a.x = (m.x >> 1) + h.o * (CASE WHEN m.x % 2 = 1 THEN 1 ELSE -1 END)
+              AND a.y = (m.y >> 1) + v.o * (CASE WHEN m.y % 2 = 1 THEN 1 ELSE -1 END)
+            GROUP BY ALL"""))
+    return tuple(ctes)
+
+
+@query("filled_around", with_views(("fx_colour_pixels",), "SELECT p.crop_id AS page_id, p.x, p.y, " + ", ".join(
+    f"CAST(CASE WHEN m.x IS NULL THEN p.{c} ELSE coalesce((v_{c} + {P.UNIT // 2}) // {P.UNIT}, {P.WHITE}) END AS INT) AS {c}" for c in R.CHANNELS) + """
+FROM px p LEFT JOIN mask m ON m.crop_id = p.crop_id AND m.x = p.x AND m.y = p.y
+LEFT JOIN filled0 f ON f.crop_id = p.crop_id AND f.x = p.x AND f.y = p.y""", MASKED + _pyramid_sql(3)))
+def filled_around(t: Tables) -> DataFrame:
+    """The text mask of every crop filled from its surroundings."""
+    pixels = sized(t)
+    mask = R.text_mask(pixels, R.background(pixels, KEYS), KEYS).withColumnRenamed("crop_id", "page_id")
+    return run_inpainter(crops(t).withColumnRenamed("crop_id", "page_id"), mask, fill="around")
+
+
 @query("inpaint_mask", with_views(("fx_colour_pixels",), "SELECT DISTINCT page_id, x, y FROM grown WHERE erase_route = 'inpaint'", HALVES))
 def inpaint_mask(t: Tables) -> DataFrame:
     pixels, blocks = _halves(t)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .functions.semantics import median_avg_trunc
 from .functions.text import GLYPH_EM, OTHER_EM, WIDE_CLASS, WIDE_EM, text_em
+from .operators.pyramid import fill_holes, hole_values
 
 INPAINT_TILE = 512  # side of the tiles a plugged-in model sees
 
@@ -118,25 +119,33 @@ def _with_fill(marked: DataFrame) -> DataFrame:
     return marked.join(rest, "page_id", "left").withColumns({f"_fill_{c}": F.coalesce(f"_fill_{c}", F.lit(255)).cast("int") for c in "bgr"})
 
 
+def _with_around(marked: DataFrame, values: DataFrame) -> DataFrame:
+    fills = values.select("page_id", "x", "y", *[F.col(c).alias(f"_fill_{c}") for c in "bgr"])
+    return marked.join(fills, ["page_id", "x", "y"], "left").withColumns({f"_fill_{c}": F.coalesce(f"_fill_{c}", c).cast("int") for c in "bgr"})
+
+
 def run_inpainter(pixels: DataFrame, mask: DataFrame,
                   inpainter: Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]] | None = None,
-                  tile: int = INPAINT_TILE, halo: int = 16) -> DataFrame:
+                  tile: int = INPAINT_TILE, halo: int = 16, fill: str = "median") -> DataFrame:
     """Pixels (page_id, x, y, b, g, r) with masked positions replaced.
 
-    Without `inpainter` this is `fill_median`. A plugged-in model sees tiles
-    with a halo, so a group holds at most (tile + 2 halo)^2 pixels whatever the
-    page size; `tile` and `halo` are part of what such a model gives. Tiles
-    without mask pixels skip Python. Where the model fails, the built-in fill
-    takes its place.
+    The built-in `fill` is "median" (one colour per page, `fill_median`) or
+    "around" (every hole from its surroundings, `pyramid.fill_holes`). A
+    plugged-in model sees tiles with a halo, so a group holds at most
+    (tile + 2 halo)^2 pixels whatever the page size; `tile` and `halo` are part
+    of what such a model gives. Tiles without mask pixels skip Python. Where
+    the model fails, the built-in fill takes its place.
     """
+    if fill not in ("median", "around"):
+        raise ValueError(f"no such fill: {fill}")
     if inpainter is None:
-        return fill_median(pixels, mask)
+        return fill_median(pixels, mask) if fill == "median" else fill_holes(pixels, mask)
 
     def tiles(axis: str) -> Column:
         low = F.greatest(F.lit(0), F.floor((F.col(axis) - halo) / tile)).cast("int")
         return F.sequence(low, F.floor((F.col(axis) + halo) / tile).cast("int"))
 
-    marked = _with_fill(_marked(pixels, mask))
+    marked = _with_fill(_marked(pixels, mask)) if fill == "median" else _with_around(_marked(pixels, mask), hole_values(pixels, mask))
     busy = marked.where("m").select("page_id", F.floor(F.col("x") / tile).cast("int").alias("tx"),
                                     F.floor(F.col("y") / tile).cast("int").alias("ty")).distinct()
     spread = marked.withColumn("tx", F.explode(tiles("x"))).withColumn("ty", F.explode(tiles("y")))
@@ -156,7 +165,7 @@ def run_inpainter(pixels: DataFrame, mask: DataFrame,
             done = loaded[0](image, hole)
         except Exception:  # the model first, the built-in fill where it fails
             done = image.copy()
-            done[hole] = tile_pixels[["_fill_b", "_fill_g", "_fill_r"]].iloc[0].to_numpy()
+            done[ys, xs] = np.where(tile_pixels["m"].to_numpy()[:, None], tile_pixels[["_fill_b", "_fill_g", "_fill_r"]].to_numpy(), done[ys, xs])
         own = (tile_pixels["m"] & (tile_pixels["x"] // tile == tile_pixels["tx"])
                & (tile_pixels["y"] // tile == tile_pixels["ty"])).to_numpy()
         out = tile_pixels.loc[own, ["page_id", "x", "y"]].copy()

@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pagewright import plugins as V
 from pagewright.operators import erase as E
+from pagewright.operators import pyramid as P
 from pagewright.operators import raster as R
 from pagewright.operators.overlap import overlap_groups
 
@@ -261,3 +263,81 @@ def test_components_of_a_page_over_many_tiles(spark, monkeypatch):
     holes = to_rows(spark, [img]).where("(x + y) % 5 != 0")
     part = E.erase_page(holes, table, "normal").pixels
     assert part.count() == holes.count() and part.select("page_id", "x", "y").exceptAll(holes.select("page_id", "x", "y")).isEmpty()
+
+
+def fill_np(img, hole):
+    """The pyramid by plain loops over all cells."""
+    unit, levels = 65536, []
+    sums, counts = np.where(hole[..., None], 0, img).astype(object), (~hole).astype(int)
+    while True:
+        levels.append((sums, counts))
+        h, w = counts.shape
+        if h == w == 1:
+            break
+        up, n = np.zeros(((h + 1) // 2, (w + 1) // 2, 3), object), np.zeros(((h + 1) // 2, (w + 1) // 2), int)
+        for y in range(h):
+            for x in range(w):
+                up[y // 2, x // 2] += sums[y, x]
+                n[y // 2, x // 2] += counts[y, x]
+        sums, counts = up, n
+    value = None
+    for sums, counts in reversed(levels):
+        h, w = counts.shape
+        now = {}
+        for y in range(h):
+            for x in range(w):
+                if counts[y, x]:
+                    now[y, x] = [int(s) * unit // int(counts[y, x]) for s in sums[y, x]]
+                elif value:
+                    near = [(a * b, value.get((y // 2 + dy, x // 2 + dx))) for dy, a in ((0, 3), (1 if y % 2 else -1, 1)) for dx, b in ((0, 3), (1 if x % 2 else -1, 1))]
+                    near = [(k, v) for k, v in near if v]
+                    if near:
+                        now[y, x] = [sum(k * v[c] for k, v in near) // sum(k for k, _ in near) for c in range(3)]
+        value = now
+    return np.array([[[(v + unit // 2) // unit for v in value[y, x]] if (y, x) in value else [255] * 3 for x in range(img.shape[1])] for y in range(img.shape[0])])
+
+
+def mask_rows(spark, holes):
+    return spark.createDataFrame([(i, int(x), int(y)) for i, m in enumerate(holes) for y, x in zip(*np.nonzero(m))] * 2, "page_id int, x int, y int")
+
+
+def test_holes_are_filled_from_around(spark):
+    rng = np.random.default_rng(6)
+    shapes = [(1, 1), (1, 9), (6, 6), (13, 20), (33, 17)]
+    images = [rng.integers(0, 256, (*s, 3)) for s in shapes]
+    holes = [rng.random(s) < 0.4 for s in shapes]
+    holes[3][2:11, 3:18] = True
+    holes[1][:] = True  # all hole: white
+    images.append(images[2])  # a page without a mask stays as it is
+    out = P.fill_holes(to_rows(spark, images), mask_rows(spark, holes)).cache()
+    for i, (img, hole) in enumerate(zip(images, holes)):
+        assert (to_image(out, i, img.shape[:2]) == fill_np(img, hole)).all(), i
+    assert (to_image(out, 5, (6, 6)) == images[2]).all() and out.count() == sum(i.shape[0] * i.shape[1] for i in images)
+
+
+def test_a_gradient_goes_on_over_the_hole_and_pages_differ(spark):
+    ramp = np.repeat(np.repeat((np.arange(64) * 3)[None, :, None], 64, 0), 3, 2)
+    other = 255 - ramp
+    hole = np.zeros((64, 64), bool)
+    hole[20:44, 24:40] = True
+    out = P.fill_holes(to_rows(spark, [ramp, other]), mask_rows(spark, [hole, hole])).cache()
+    for i, img in enumerate((ramp, other)):
+        got = to_image(out, i, (64, 64))
+        assert abs(got - img)[hole].max() <= 12 and (got[~hole] == img[~hole]).all()  # the hole spans 48 steps of brightness
+        row = got[32, 24:40, 0]
+        assert (np.diff(row) >= 0).all() if i == 0 else (np.diff(row) <= 0).all()
+
+
+def test_inpainter_falls_back_to_the_surroundings(spark):
+    ramp = np.repeat(np.repeat((np.arange(40) * 5)[None, :, None], 24, 0), 3, 2)
+    hole = np.zeros((24, 40), bool)
+    hole[8:16, 10:30] = True
+    pixels, mask = to_rows(spark, [ramp]), mask_rows(spark, [hole])
+
+    def broken():
+        raise MemoryError
+
+    failing = to_image(V.run_inpainter(pixels, mask, broken, tile=16, halo=4, fill="around"), 0, (24, 40))
+    assert (failing == to_image(V.run_inpainter(pixels, mask, fill="around"), 0, (24, 40))).all()
+    with pytest.raises(ValueError):
+        V.run_inpainter(pixels, mask, fill="other")
