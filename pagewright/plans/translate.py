@@ -45,10 +45,14 @@ def with_colours(blocks: DataFrame, images: DataFrame) -> DataFrame:
     return joined.withColumns({c: F.coalesce(c, F.lit(d)) for c, d in DEFAULT_COLOURS.items()})
 
 
-def translate_folder(spark: SparkSession, path: str, config: RunConfig, translator: Callable,
+def checkpointed(name: str, df: DataFrame) -> DataFrame:
+    return df.checkpoint()
+
+
+def translate_folder(spark: SparkSession, path: str | list[str], config: RunConfig, translator: Callable,
                      ocr_engine: Callable | None = None, ocr_online: bool = True, store: str | None = None,
-                     decoder: Callable | None = None) -> Run:
-    """Run all pages of a folder.
+                     decoder: Callable | None = None, keep: Callable[[str, DataFrame], DataFrame] = checkpointed) -> Run:
+    """Run all pages of a folder, or the pages of a list of files.
 
     Routes: with OCR, regions go to `translator` as text requests; a vision
     provider without OCR gets the base64 picture instead and answers with
@@ -63,11 +67,13 @@ def translate_folder(spark: SparkSession, path: str, config: RunConfig, translat
     knows are taken from it and reach no plug-in, and what this run completes
     is added, pages without text as empty lists. A run that was cut short goes
     on from there when it is started again. `decoder` reads the pictures that
-    Spark's image source cannot, such as WebP.
+    Spark's image source cannot, such as WebP. `keep` holds what must not be
+    computed twice, by name: checkpoints here, results of a unit in
+    `plans.finish`, where a run that is started again reads them.
     """
     ensure_checkpoint_dir(spark)
     images = read_images(spark, path, decoder)
-    facts = page_facts(images).checkpoint()
+    facts = keep("facts", page_facts(images))
     stored, known = _stored(spark, store, facts)
     todo = facts.join(known, "page_id", "left_anti")
     broken = todo.where(F.col("status") == "failed")
@@ -78,8 +84,8 @@ def translate_folder(spark: SparkSession, path: str, config: RunConfig, translat
     unsupported = pages.where(F.col("route").isNull()).select("page_id", "error")
     routed = pages.where(F.col("route").isNotNull()).drop("error")
 
-    text_side, text_errors = _by_text(routed.where(F.col("route") != "vision"), images, decoded, translator, ocr_engine)
-    vision_side, vision_errors = _by_vision(routed.where(F.col("route") == "vision"), decoded, translator)
+    text_side, text_errors = _by_text(routed.where(F.col("route") != "vision"), images, decoded, translator, ocr_engine, keep)
+    vision_side, vision_errors = _by_vision(routed.where(F.col("route") == "vision"), decoded, translator, keep)
     errors = union_all([unsupported, text_errors, vision_errors,
                         broken.select("page_id", "error")]).groupBy("page_id").agg(F.min("error").alias("error"))
     errors = errors.checkpoint()
@@ -117,15 +123,15 @@ BLOCK_COLUMNS = ["page_id", "ordinal", "block_id", "original_text", "translated_
 
 
 def _by_text(content: DataFrame, images: DataFrame, facts: DataFrame, translator: Callable,
-             ocr_engine: Callable | None) -> tuple[DataFrame, DataFrame]:
+             ocr_engine: Callable | None, keep: Callable[[str, DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     if ocr_engine is None:
         none = facts.select(*[F.lit(None).cast(t).alias(c) for c, t in zip(BLOCK_COLUMNS, _BLOCK_TYPES)]).where(F.lit(False))
         return none, content.select("page_id", F.lit("No OCR engine").alias("error"))
-    replies = run_ocr(content, ocr_engine).checkpoint()
+    replies = keep("replies", run_ocr(content, ocr_engine))
     regions = B.corners_to_bounds(B.read_ocr(replies.drop("error")))
-    found = with_colours(B.normalise(regions, facts), images).checkpoint()
+    found = keep("found", with_colours(B.normalise(regions, facts), images))
     # A page without regions makes no request.
-    answers = run_translator(request_payload(found), translator).checkpoint()
+    answers = keep("answers", run_translator(request_payload(found), translator))
     parsed = P.parse_reply(answers, "translations")
     blocks = P.attach_translations(found, P.translations(parsed), ["part", "pos"]).select(*BLOCK_COLUMNS)
     unread = B.ocr_errors(replies.where(F.col("error").isNull()).drop("error")).select("page_id", "error")
@@ -133,12 +139,12 @@ def _by_text(content: DataFrame, images: DataFrame, facts: DataFrame, translator
     return blocks, errors.where(F.col("error").isNotNull())
 
 
-def _by_vision(content: DataFrame, facts: DataFrame, translator: Callable) -> tuple[DataFrame, DataFrame]:
+def _by_vision(content: DataFrame, facts: DataFrame, translator: Callable, keep: Callable[[str, DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     media = F.concat(F.lit("image/"), F.lower(F.regexp_extract("name", r"\.([^.]*)$", 1)))
     media = F.regexp_replace(media, "image/jpg", "image/jpeg")
     pictures = with_base64(content.select("page_id", "content", media.alias("media_type")))
     requests = pictures.select("page_id", F.lit(0).alias("part"), F.to_json(F.struct("mime", "base64")).alias("payload"))
-    answers = run_translator(requests, translator).drop("part").checkpoint()
+    answers = keep("vision_answers", run_translator(requests, translator).drop("part"))
     parsed = P.parse_reply(answers, "blocks")
     blocks = P.repair_blocks(parsed).join(facts.select("page_id", "width", "height"), "page_id").select(*BLOCK_COLUMNS)
     return blocks, parsed.where(F.col("error").isNotNull()).select("page_id", "error")

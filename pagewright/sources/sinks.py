@@ -42,6 +42,12 @@ def _listed(blocks: DataFrame, pages: DataFrame | None, part_rows: int | None) -
     return listed.unionByName(emptied.select("page_name", F.lit(0).alias("part"), F.lit("[]").alias("blocks_json")))
 
 
+def block_lists(blocks: DataFrame, version: int, pages: DataFrame | None = None, part_rows: int | None = None) -> DataFrame:
+    """The rows that `write_blocks` stores, without buckets: page_name, part, part_rows, blocks_json, version."""
+    listed = _listed(blocks, pages, part_rows)
+    return listed.select("page_name", "part", F.lit(part_rows or 0).alias("part_rows"), "blocks_json", F.lit(version).cast("long").alias("version"))
+
+
 def write_blocks(blocks: DataFrame, path: str, version: int, pages: DataFrame | None = None, part_rows: int | None = None) -> None:
     """One JSON list per page name (and part), in block order.
 
