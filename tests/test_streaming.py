@@ -1,13 +1,17 @@
 """Streams give what the batch forms give."""
 
 import datetime as dt
+import itertools
+import time
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from pagewright.operators import edits as D
 from pagewright.streaming import edits as T
 from pagewright.streaming.intake import latest_replies, ocr_to_table, page_stream, start_intake
 from pagewright.streaming.state import page_state_stream
+from pagewright.streaming.timers import Debounce, debounce_timed
 
 START = dt.datetime(2024, 1, 1)
 EDIT = "page_id long, seq long, ts timestamp, payload string"
@@ -200,3 +204,58 @@ def test_intake_goes_on_where_it_stopped(spark, tmp_path):
     (source / "p2.jpg").write_bytes(b"2")
     run()
     assert seen == ["p1.png", "p2.jpg"]
+
+
+def test_the_last_burst_of_a_silent_stream_fires(spark, tmp_path):
+    """No edit follows, and yet every burst comes out, with the rows of the batch form."""
+    edits = stream_of(spark, tmp_path, [EDITS[:3], EDITS[3:]], EDIT)
+    query = (debounce_timed(edits, "payload").writeStream.format("memory").queryName("timed").outputMode("append")
+             .option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="100 milliseconds").start())
+    want = {tuple(r) for r in D.debounce(spark.createDataFrame(EDITS, EDIT), "payload").collect()}
+    until = time.time() + 120
+    while time.time() < until and spark.table("timed").count() < len(want):
+        time.sleep(0.5)
+    query.stop()
+    got = [tuple(r) for r in spark.table("timed").select("page_id", "fire_at", "seq", "payload").collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_bursts_join_whatever_the_order_of_arrival():
+    """Edits of one micro-batch in any order, with one that closes the gap between two others."""
+    class Value:
+        def __init__(self):
+            self.value = None
+
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+
+        def update(self, value):
+            self.value = value
+
+    class Handle:
+        timers = []
+
+        def getValueState(self, name, schema):
+            return Value()
+
+        def listTimers(self):
+            return iter(list(self.timers))
+
+        def deleteTimer(self, t):
+            self.timers.remove(t)
+
+        def registerTimer(self, t):
+            self.timers.append(t)
+
+    class Clock:
+        def getCurrentProcessingTimeInMs(self):
+            return 5000
+
+    rows = [(at(0), 1, "a"), (at(1500), 2, "b"), (at(750), 3, "c"), (at(9000), 4, "d"), (at(5000), 5, "e")]
+    for order in itertools.permutations(rows):
+        processor = Debounce(0.8, "string")
+        processor.init(Handle())
+        Handle.timers.clear()
+        out = list(processor.handleInputRows((7,), iter([pd.DataFrame(order, columns=["ts", "seq", "payload"])]), Clock()))
+        fired = [tuple(r) for f in out for r in f[["seq", "payload"]].itertuples(index=False)]
+        assert fired == [(2, "b"), (5, "e")] and processor.open.get()[3] == "d" and Handle.timers == [5800]
