@@ -37,8 +37,8 @@ def patched_pages(images: DataFrame, changed: DataFrame, rows: int = STRIP_ROWS)
     positions once each. Only changed pixels are rows; all others stay bytes of
     their strip. A whole picture is one value, as the file it becomes.
     """
-    own = strips(images.join(changed.select("page_id").distinct(), "page_id", "left_semi"), rows).withColumn("_s", F.floor(F.col("y0") / rows))
-    spots = changed.select("page_id", F.floor(F.col("y") / rows).alias("_s"), "x", "y", *CHANNELS)
+    own = strips(images.join(changed.select(F.col("page_id").alias("_page")).distinct(), F.col("page_id") == F.col("_page"), "left_semi"), rows).withColumn("_s", F.floor(F.col("y0") / rows))
+    spots = changed.select(F.col("page_id").alias("_page"), F.floor(F.col("y") / rows).alias("_at"), "x", "y", *CHANNELS)
 
     def patch(strip: pa.Table, spots: pa.Table) -> pa.Table:
         out = []
@@ -51,7 +51,7 @@ def patched_pages(images: DataFrame, changed: DataFrame, rows: int = STRIP_ROWS)
             out.append(bgr.tobytes())
         return pa.table({**{c: strip.column(c) for c in ("page_id", "width", "height", "y0")}, "strip": pa.array(out, pa.binary())})
 
-    done = own.groupBy("page_id", "_s").cogroup(spots.groupBy("page_id", "_s")).applyInArrow(
+    done = own.groupBy("page_id", "_s").cogroup(spots.groupBy("_page", "_at")).applyInArrow(
         patch, "page_id string, width int, height int, y0 int, strip binary")
     whole = done.groupBy("page_id").agg(F.first("width").alias("width"), F.first("height").alias("height"),
                                         F.transform(F.array_sort(F.collect_list(F.struct("y0", "strip"))), lambda s: s["strip"]).alias("strips"))

@@ -152,6 +152,35 @@ def write_block_files(blocks: DataFrame, folder: str, pages: DataFrame | None =
     return listed.mapInPandas(write, FILE_RESULT)
 
 
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """Write (name, content) as files of `folder`, such as `<page>_erased.png`; gives (path, error).
+
+    As `write_block_files`: moved into place when whole, one error per file that cannot be written.
+    """
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            errors = []
+            for row in batch.itertuples(index=False):
+                try:
+                    place, root = _open_folder(folder)
+                    place.create_dir(root, recursive=True)
+                    draft = f"{root}/.{row.name}.{uuid.uuid4().hex}"
+                    with place.open_output_stream(draft) as stream:
+                        stream.write(bytes(row.content))
+                    place.move(draft, f"{root}/{row.name}")
+                    errors.append(None)
+                except (OSError, ValueError, TypeError) as failure:
+                    errors.append(str(failure))
+            yield pd.DataFrame({"path": [f"{folder}/{name}" for name in batch["name"]], "error": errors})
+
+    return files.select("name", "content").mapInPandas(write, FILE_RESULT)
+
+
+def artifact_files(artifacts: DataFrame, folder: str) -> DataFrame:
+    """Write artifact records (page_name, kind, content) into the cache folder under the names that `list_artifacts` knows."""
+    return write_files(artifacts.select(F.concat("page_name", F.lit("_"), "kind", F.lit(".png")).alias("name"), "content"), f"{folder}/{CACHE_FOLDER}")
+
+
 def delete_files(listing: DataFrame) -> DataFrame:
     """Delete the files of `path` (such as orphans); gives (path, error). A file that is gone already is no error.
 
