@@ -49,21 +49,32 @@ def with_ordinal(df: DataFrame, group: list[str], order: list[str | Column], nam
     return ranked.withColumn(name, (F.col(name) - 1).cast("int"))
 
 
+def _edges_in_groups(edges: DataFrame, group: list[str]) -> DataFrame:
+    over_parts = Window.partitionBy(*group).orderBy("_part")
+    return edges.withColumn("_prev", F.lag("_hi.v").over(over_parts)).withColumn("_next", F.lead("_lo.v").over(over_parts))
+
+
+def _edges_of_all(edges: DataFrame, group: list[str]) -> DataFrame:
+    """Without a group all slices would meet in one window; they are numbered by a range sort and joined by number instead."""
+    placed = row_numbers(edges, [], ["_part"], "_n")
+    before = placed.select((F.col("_n") + 1).alias("_n"), F.col("_hi.v").alias("_prev"))
+    after = placed.select((F.col("_n") - 1).alias("_n"), F.col("_lo.v").alias("_next"))
+    return placed.join(before, "_n", "left").join(after, "_n", "left")
+
+
 def neighbours(df: DataFrame, group: list[str], position: str, value: str, before: str, after: str,
                part_rows: int = PART_ROWS) -> DataFrame:
     """`value` of the previous and the next row of the group by whole `position`.
 
     Windows run over slices of `part_rows` positions. The row before and after
-    a slice comes from a summary with one row per slice.
+    a slice comes from a summary with one row per slice; slices may be missing.
     """
     cut = df.withColumn("_part", F.floor(F.col(position) / part_rows))
     keys = [*group, "_part"]
     edge = F.struct(position, F.col(value).alias("v"))
     edges = cut.groupBy(*keys).agg(F.min(edge).alias("_lo"), F.max(edge).alias("_hi"))
-    over_parts = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_part")
-    edges = edges.select(*[F.col(k).alias(f"_e{i}") for i, k in enumerate(keys)], F.lag("_hi.v").over(over_parts).alias("_prev"),
-                         F.lead("_lo.v").over(over_parts).alias("_next"),
-                         F.col(f"_lo.{position}").alias("_first"), F.col(f"_hi.{position}").alias("_last"))
+    edges = (_edges_in_groups if group else _edges_of_all)(edges, group).select(
+        *[F.col(k).alias(f"_e{i}") for i, k in enumerate(keys)], "_prev", "_next", F.col(f"_lo.{position}").alias("_first"), F.col(f"_hi.{position}").alias("_last"))
     inside = Window.partitionBy(*keys).orderBy(position)
     local = cut.withColumn(before, F.lag(value).over(inside)).withColumn(after, F.lead(value).over(inside))
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_e{i}")) for i, k in enumerate(keys)])

@@ -145,3 +145,13 @@ def test_parallel_arrays(spark):
       array(array(array(1.9D,2D),array(3D,4D)), array(array(5D,6D),array(7D,8D))) rec_polys""")
     got = [(r.ordinal, r.text, r.confidence, r.box[0]) for r in B.from_parallel_arrays(df).collect()]
     assert got == [(0, "a", 0.5, [1, 2]), (1, "b", 0.25, [5, 6])]
+
+
+def test_neighbours_of_all_rows_have_no_single_task(spark):
+    """No group, slices of five positions with gaps between them: lag and lead of the whole order, without one window over it."""
+    places = [i for i in range(400) if (i // 5) % 4 != 2 and i % 7]
+    df = spark.createDataFrame([(p, f"v{p}") for p in places], "position long, name string").repartition(5)
+    out = K.neighbours(df, [], "position", "name", "before", "after", part_rows=5)
+    assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.position: (r.before, r.after) for r in out.collect()}
+    assert got == {p: (f"v{places[i - 1]}" if i else None, f"v{places[i + 1]}" if i + 1 < len(places) else None) for i, p in enumerate(places)}
