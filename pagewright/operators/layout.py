@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import breaks as BR
 from ..functions import text as TX
 from ..functions.semantics import has_cjk
 from ..schema import StyleConfig
@@ -68,26 +69,15 @@ def fit_font(blocks: DataFrame, style: StyleConfig, min_px: float = TX.EXPORT_MI
     if not style.auto_fit_font_size:
         return shown.withColumn("font_px", F.col("font_px0"))
     text, w, h = F.col("translated_text"), F.col("w"), F.col("h")
-    gap_em = F.col("_gap_em")
-    shown = shown.withColumns({
-        "_gap_em": F.when(F.col("is_cjk"), F.lit(0.0)).otherwise(F.lit(TX.SPACE_EM)),
-        "_widths": F.when(F.col("layout_dir") == "horizontal", TX.token_widths(text, F.col("is_cjk")))})
+    flat = F.when(F.col("layout_dir") == "horizontal", text)  # vertical text does not go to the line breaks
     vertical = TX.shrink_to_fit(lambda fs: TX.fits_vertical(F.length(text), fs, w, h), F.col("font_px0"), min_px)
-    horizontal = TX.shrink_to_fit(lambda fs: TX.fits_horizontal(F.col("_widths"), gap_em, fs, w, h),
-                                  F.col("font_px0"), min_px)
-    fitted = F.when(F.col("layout_dir") == "vertical", vertical).otherwise(horizontal)
-    return shown.withColumn("font_px", fitted).drop("_widths", "_gap_em")
+    horizontal = F.coalesce(BR.largest_font(flat, F.col("is_cjk"), F.col("font_px0"), min_px, w, h), F.lit(float(min_px)))
+    return shown.withColumn("font_px", F.when(F.col("layout_dir") == "vertical", vertical).otherwise(horizontal))
 
 
 def wrap_lines(blocks: DataFrame, text: str, font_px: Column, max_w: Column, out: str = "lines") -> DataFrame:
     """Adds the lines of `text` as an array."""
-    # Everything the per-token step reads is a column, so nothing is worked out again per token.
-    held = blocks.withColumn("_cjk", has_cjk(F.col(text)))
-    held = held.withColumns({"_tokens": TX.tokens(F.col(text), F.col("_cjk")), "_px": font_px, "_max": max_w,
-                             "_gap": F.when(F.col("_cjk"), F.lit("")).otherwise(F.lit(" ")),
-                             "_gap_em": F.when(F.col("_cjk"), F.lit(0.0)).otherwise(F.lit(TX.SPACE_EM))})
-    lines = TX.wrap_text(*[F.col(c) for c in ("_tokens", "_gap", "_gap_em", "_px", "_max")])
-    return held.withColumn(out, lines).drop("_cjk", "_tokens", "_gap", "_gap_em", "_px", "_max")
+    return blocks.withColumn(out, BR.broken_lines(F.col(text), has_cjk(F.col(text)), font_px, max_w))
 
 
 def place_vertical(fitted: DataFrame) -> DataFrame:
@@ -113,7 +103,9 @@ def place_vertical(fitted: DataFrame) -> DataFrame:
 def place_horizontal(fitted: DataFrame) -> DataFrame:
     """One row per line of horizontal blocks: centre x and y. Lines past the bottom padding are left out."""
     fs = F.col("font_px")
-    flat = wrap_lines(fitted.where(F.col("layout_dir") == "horizontal"), "translated_text", fs,
+    # The size comes from one Arrow function and feeds another; the explode keeps the two in separate steps of the plan.
+    held = fitted.where(F.col("layout_dir") == "horizontal").withColumn("_px", F.explode_outer(F.array("font_px"))).drop("font_px").withColumnRenamed("_px", "font_px")
+    flat = wrap_lines(held, "translated_text", fs,
                       F.col("w") - fs * TX.PADDING * 2)
     # The outer explode and the coalesce below keep the optimizer from deriving "lines / font_px is not
     # null" filters under the fit, which would repeat the whole fit inside the filter.

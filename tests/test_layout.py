@@ -4,7 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from pagewright.functions import breaks as BR
 from pagewright.functions import text as TX
+from pagewright.functions.semantics import has_cjk
 from pagewright.operators import layout as Y
 from pagewright.schema import StyleConfig
 
@@ -129,3 +131,20 @@ def test_covers(spark):
     assert count(erased=True) == 0
     assert count(erased=True, cover_erased=True) == 1
     assert count(erased=True, style={"bg_color_mode": "custom"}) == 1
+
+
+def test_breaks_over_prefix_sums_equal_the_step_by_step_form(spark):
+    """Random texts with words, gaps of all kinds, wide characters and boxes that are too narrow."""
+    rng = random.Random(3)
+    pools = ("abcimwMW@ABC .,!  \t\n　あ漢字éß", "abcimwMW .  \n")
+    rows = [(k, "".join(rng.choice(pools[k % 2]) for _ in range(rng.randint(0, 60))), rng.choice([6.0, 7.3, 11.0, 16.0, 9.7]),
+             rng.choice([-5.0, 0.0, 10.0, 33.3, 50.0, 120.0]), rng.choice([10.0, 40.0, 90.0])) for k in range(1500)] + [(-1, None, 9.0, 9.0, 9.0)]
+    df = spark.createDataFrame(rows, "k int, t string, px double, w double, h double").withColumn("c", has_cjk(F.col("t")))
+    df = df.withColumns({"g": F.when(F.col("c"), F.lit("")).otherwise(F.lit(" ")), "ge": F.when(F.col("c"), F.lit(0.0)).otherwise(F.lit(TX.SPACE_EM)),
+                         "tk": TX.tokens(F.col("t"), F.col("c"))}).withColumn("wd", F.transform("tk", lambda x: x["em"]))
+    size = TX.shrink_to_fit(lambda fs: TX.fits_horizontal(F.col("wd"), F.col("ge"), fs, F.col("w"), F.col("h")), F.col("px"), 5.0)
+    out = df.select("t", TX.wrap_text(*[F.col(c) for c in ("tk", "g", "ge", "px", "w")]).alias("lines"), size.alias("size"),
+                    BR.broken_lines(F.col("t"), F.col("c"), F.col("px"), F.col("w")).alias("own_lines"),
+                    BR.largest_font(F.col("t"), F.col("c"), F.col("px"), 5.0, F.col("w"), F.col("h")).alias("own_size")).collect()
+    assert all(r.lines == r.own_lines for r in out) and all(r.size == r.own_size for r in out if r.t is not None)
+    assert len({r.size for r in out}) > 20 and max(len(r.lines or []) for r in out) > 10
