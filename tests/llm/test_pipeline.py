@@ -4,8 +4,9 @@ import corpus_pipeline
 import __spark_entry__ as entry_module
 from pagewright.llm import langid, line_runs, quality_zstd
 
-from .test_duplicates import plain_components, plain_dedup, plain_fingerprint
+from .test_duplicates import plain_dedup
 from .test_tokens import check_pieces
+from .test_word_sets import plain_parts
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -32,10 +33,7 @@ def test_stages_match_plain_python(spark):
     rows = shorter.collect()
     assert shorter.columns == COLUMNS and {r["doc_id"]: r["text"] for r in rows} == want and all(r["n_chars"] == len(r["text"]) for r in rows)
 
-    fps = {i: plain_fingerprint(t) for i, t in want.items()}
-    ids = sorted(fps)
-    first = plain_components([(a, b) for k, a in enumerate(ids) for b in ids[k + 1:] if (fps[a] ^ fps[b]).bit_count() <= 2], ids)
-    want = {i: want[i] for i in set(first.values())}
+    want = {i: want[i] for i in set(plain_parts(want).values())}
     single = stages["near-dedup"](spark, shorter, SF).cache()
     assert single.columns == COLUMNS and {r["doc_id"]: r["text"] for r in single.collect()} == want
 
