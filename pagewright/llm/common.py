@@ -64,6 +64,12 @@ def sample_texts(docs: DataFrame, chosen: DataFrame, key: str) -> list[tuple[obj
     return sorted(((r[key], r["doc_id"], [bytes(x) for x in r["pieces"]]) for r in rows), key=lambda x: (str(x[0]), str(x[1]), x[2]))
 
 
+def slices(batch: pa.RecordBatch, rows: int = 1024):
+    """A batch in parts, so that the Python copies of few texts are alive at a time."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

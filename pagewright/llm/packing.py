@@ -11,7 +11,9 @@ these ends of neighbouring tasks are packed together in a second, small step.
 from __future__ import annotations
 
 import functools
+import json
 import os
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -22,18 +24,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .common import Recent, utf8
+from .common import Recent, slices, utf8
+from .merge_matrix import MergeMatrix
 
 WINDOW = 2048
 END_ID = 1
 POOL = 1024  # pieces at which a task starts to pack
-CACHE_WORDS = 150_000
-CACHE_RUNS = 300_000
-RUNS_AT_ONCE = 2_000
+CACHE_WORDS = 300_000
+RUNS_AT_ONCE = 4_000
 WORD_END = "</w>"
 MARKS = (b",", b".", b"!", b"?", b";", b":")
 CACHED_WORD_BYTES = 64
-TEXT_AT_ONCE = 1 << 20
+TEXT_AT_ONCE = 1 << 21
 TASKS_PER_END = 64  # tasks whose ends are packed together: at most 64 windows of ids
 COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
@@ -44,65 +46,84 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_alphabet() -> list[str]:
+    """The character a byte-level vocabulary writes for each byte: printable ones as they are, the others from U+0100 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
+
+
+def _letters(run: bytes) -> bytes | None:
+    """The run as the vocabulary normalises it (composed, then lower case, letter by letter), if that is letters only."""
+    text = unicodedata.normalize("NFC", run.decode("utf-8", "replace"))
+    if text != text.lower():
+        text = "".join(map(str.lower, text))
+    return text.encode() if text.isalpha() else None
+
+
 class WordTokenizer:
     """Token ids of texts as little-endian 32-bit bytes.
 
     The vocabulary drops white space and no token crosses it, so a text is the
-    sequence of its words. It is blind to the case of ASCII letters, and a mark
-    after a run of letters is a token sequence of its own, so new words are cut
-    into letters and mark. What was met lately is kept (see `Recent`).
+    sequence of its words, and it is blind to the case of ASCII letters. A mark
+    after a run of letters is a token sequence of its own. New runs of letters
+    (letters also in the form the vocabulary normalises them to) are merged
+    here, many at once; all other words go to the library whole. What was met
+    lately is kept (see `Recent`).
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        self._encode = tokenizer.encode_batch_fast
-        vocabulary = tokenizer.get_vocab()
-        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self._ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
-        self._words, self._letters = Recent(CACHE_WORDS), Recent(CACHE_RUNS)
-        self._marks = {m: self._each([m])[m] for m in MARKS}
+        self._encode = Tokenizer.from_file(path).encode_batch_fast
+        self._words = Recent(CACHE_WORDS)
+        self._marks = {m: self._each([m])[m] for m in MARKS} | {b"": b""}
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocabulary, size = model["vocab"], max(model["vocab"].values()) + 1
+        pairs = [(vocabulary[left], vocabulary[right], rank, vocabulary[left + right]) for rank, (left, right) in enumerate(model["merges"])]
+        # A unit has a character per byte; the last byte of a run is a symbol of its own, 256 further on.
+        alphabet = _byte_alphabet()
+        characters = {chr(b): vocabulary[c] for b, c in enumerate(alphabet)} | {chr(256 + b): vocabulary[c + WORD_END] for b, c in enumerate(alphabet)}
+        self._merges = MergeMatrix(pairs, characters, size, size)
 
     def _each(self, words: list[bytes]) -> dict[bytes, bytes]:
         made = self._encode([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
         return {w: np.array(x.ids, "<u4").tobytes() for w, x in zip(words, made)}
 
-    def _letter_runs(self, runs: list[bytes]) -> dict[bytes, bytes]:
-        """Runs of letters, many at once: each run's last token is the only one with a word end."""
-        out: dict[bytes, bytes] = {}
-        for at in range(0, len(runs), RUNS_AT_ONCE):
-            part = runs[at:at + RUNS_AT_ONCE]
-            ids = np.array(self._encode([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self._ends[ids]) + 1
-            if len(ends) != len(part):  # a run that normalisation has changed in kind
-                out |= self._each(part)
-                continue
-            raw, start = ids.tobytes(), 0
-            for run, end in zip(part, (4 * ends).tolist()):
-                out[run] = raw[start:end]
-                start = end
+    def _letter_runs(self, runs: list[bytes]) -> list[bytes]:
+        """Ids of normalised runs of letters, many at once."""
+        out: list[bytes] = [b""] * len(runs)
+        lengths = np.fromiter(map(len, runs), np.int64, len(runs))
+        order = np.argsort(lengths, kind="stable")
+        for at in range(0, len(order), RUNS_AT_ONCE):
+            part = order[at:at + RUNS_AT_ONCE]
+            points = np.frombuffer(b"".join([runs[i] for i in part.tolist()]), np.uint8).astype(np.uint32)
+            points[np.cumsum(lengths[part]) - 1] += 256
+            for i, ids in zip(part.tolist(), self._merges.matrix_of(lengths[part], points)):
+                out[i] = ids
         return out
 
     def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        cut, whole = {}, []
-        for w in words:
+        """`words` have no letters A-Z."""
+        runs = [w for w in words if w.isalpha() and len(w) <= CACHED_WORD_BYTES]  # bytes.isalpha: ASCII letters
+        cut, whole, clean = {}, [], dict(zip(runs, runs))
+        for w in words - clean.keys():
             run, mark = (w[:-1], w[-1:]) if w[-1:] in self._marks else (w, b"")
-            if run and run.decode("utf-8", "replace").isalpha():
-                cut[w] = (run.lower(), mark)
+            form = clean.get(run) or (run if run.isalpha() else _letters(run) if run and not run.isascii() else None)
+            if form and len(form) <= CACHED_WORD_BYTES:
+                clean[run] = form
+                cut[w] = run, mark
             else:
                 whole.append(w)
-        runs = {run for run, _ in cut.values()}
-        fresh = self._letters.missing(runs)
-        self._letters.update(self._letter_runs(sorted(fresh)))
-        marks = self._marks | {b"": b""}
-        made = self._each(sorted(whole)) | {w: self._letters[run] + marks[mark] for w, (run, mark) in cut.items()}
-        self._letters.forget(run for run in fresh if len(run) > CACHED_WORD_BYTES)
-        return made
+        ids = dict(zip(clean, self._letter_runs(list(clean.values()))))
+        made = {w: ids[w] for w in runs}
+        made.update((w, ids[run] + self._marks[mark]) for w, (run, mark) in cut.items())
+        return made | self._each(sorted(whole))
 
     def many(self, texts: list[bytes]) -> list[bytes]:
-        split = [x.split() for x in texts]
+        split = [x.lower().split() for x in texts]
         fresh = self._words.missing(set().union(*split))
         if fresh:
             self._words.update(self._learn(fresh))
@@ -111,6 +132,10 @@ class WordTokenizer:
         self._words.forget(w for w in fresh if len(w) > CACHED_WORD_BYTES)
         return out
 
+    def forget(self) -> None:
+        """Lets go of all words; the merges stay."""
+        self._words = Recent(CACHE_WORDS)
+
     def long(self, text: bytes) -> bytes:
         """One text of any length, part by part, cut at spaces."""
         parts, at = [], 0
@@ -267,7 +292,7 @@ def pack(docs: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
     def tasks(batches):
         task = TaskContext.get().partitionId()
         packer, tokenizer, id_type = Packer(task << 32), _tokenizer(path), None
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             id_type = batch.schema.field("doc_id").type
             ids = batch.column("doc_id").to_pylist()
             rows: list[tuple] = []
@@ -278,6 +303,8 @@ def pack(docs: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
                     rows = []
             if rows:
                 yield _batch(rows, id_type, [None] * len(rows), task)
+        tokenizer.forget()  # what the worker runs next needs the memory
+        pa.default_memory_pool().release_unused()
         if id_type is not None:
             rows = list(packer.full())
             if rows:

@@ -12,7 +12,6 @@ from __future__ import annotations
 import codecs
 import functools
 import hashlib
-import heapq
 import re
 import struct
 import zlib
@@ -23,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import Recent, utf8
+from .merge_matrix import MergeMatrix
 
 SPACE = "▁"
 _SPACE = SPACE.encode()
@@ -32,7 +32,6 @@ UNITS_AT_ONCE = 4_000
 MATRIX_CHARS = 64  # longer units take a queue
 CACHED_UNIT_CHARS = 64
 TEXT_AT_ONCE = 1 << 20
-FAR = 1 << 30
 
 
 def vocabulary() -> str:
@@ -108,7 +107,7 @@ class Encoded:
     ends: np.ndarray  # source byte after it
 
 
-class PieceModel:
+class PieceModel(MergeMatrix):
     """Encoder and decoder of one model file."""
 
     def __init__(self, path: str):
@@ -145,17 +144,11 @@ class PieceModel:
         symbols = {s: i for s, (i, _) in normal.items()}
         inner = sorted({c for s in normal for c in s} - set(symbols))  # characters of pieces that are no piece themselves
         symbols |= {c: len(pieces) + k for k, c in enumerate(inner)}
-        self._pieces, self._inner = len(pieces), inner
-        self._stride = len(pieces) + len(inner)
+        self._inner = inner
         ranks = {score: r for r, score in enumerate(sorted({score for _, score in normal.values()}, reverse=True))}
-        pairs = [(symbols[s[:k]] * self._stride + symbols[s[k:]], ranks[score], i)
+        pairs = [(symbols[s[:k]], symbols[s[k:]], ranks[score], i)
                  for s, (i, score) in normal.items() for k in range(1, len(s)) if s[:k] in symbols and s[k:] in symbols]
-        table = np.array(sorted(pairs), np.int64).reshape(-1, 3)
-        self._pair, self._rank, self._made = (np.append(table[:, j], last) for j, last in enumerate((np.iinfo(np.int64).max, FAR, -1)))
-        self._symbol_of = np.full(0x110000, -1, np.int32)
-        for s, i in symbols.items():
-            if len(s) == 1:
-                self._symbol_of[ord(s)] = i
+        super().__init__(pairs, {s: i for s, i in symbols.items() if len(s) == 1}, len(pieces), len(symbols) + len(pieces))
         # A unit ends where no piece goes on: before a space mark that follows something else, and round characters that never merge.
         merging = {c for s in normal if len(s) > 1 for c in s}
         alone = "".join(chr(c) for c in range(128) if chr(c) not in merging)
@@ -219,101 +212,23 @@ class PieceModel:
 
     # Merging
 
-    def _look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rank, piece) of pairs; rank FAR where they do not merge."""
-        pair = left.astype(np.int64) * self._stride + right
-        pair[(left < 0) | (right < 0)] = -1
-        at = np.searchsorted(self._pair, pair)
-        hit = self._pair[at] == pair
-        return np.where(hit, self._rank[at], FAR), np.where(hit, self._made[at], -1)
-
-    def _matrix(self, units: list[str]) -> list[bytes]:
-        """Ids of units of like length: each round merges every row's best pair, the leftmost on ties."""
-        lengths = np.array([len(u) for u in units])
-        points = np.frombuffer("".join(units).encode("utf-32-le"), "<u4")
-        width = int(lengths.max())
-        inside = np.arange(width) < lengths[:, None]
-        symbols = np.full((len(units), width), -2, np.int64)
-        symbols[inside] = self._symbol_of[points]
-        raw = np.zeros((len(units), width), np.int64)
-        raw[inside] = points  # an unknown character keeps its code point
-        symbols = np.where(inside & (symbols < 0), -3 - raw, symbols)
-        done: list[bytes] = [b""] * len(units)
-        rows = np.arange(len(units))
-        ranks = self._look_up(symbols[:, :-1].ravel(), symbols[:, 1:].ravel())[0].reshape(len(units), width - 1) if width > 1 else np.full((len(units), 1), FAR)
-        columns = np.arange(width)
-        while len(rows):
-            best = ranks.argmin(axis=1)
-            here = np.arange(len(rows))
-            open_ = ranks[here, best] < FAR
-            self._settle(rows[~open_].tolist(), symbols[~open_], done)
-            rows, symbols, ranks, best = rows[open_], symbols[open_], ranks[open_], best[open_]
-            if not len(rows):
-                break
-            here = np.arange(len(rows))
-            symbols[here, best] = self._look_up(symbols[here, best], symbols[here, best + 1])[1]
-            source = np.minimum(columns + (columns > best[:, None]), width - 1)
-            symbols = np.take_along_axis(symbols, source, 1)
-            symbols[:, -1] = -2
-            ranks = np.take_along_axis(ranks, np.minimum(source[:, :-1], width - 2), 1)
-            ranks[:, -1] = FAR
-            ranks[here, best] = self._look_up(symbols[here, best], symbols[here, np.minimum(best + 1, width - 1)])[0]
-            left = np.maximum(best - 1, 0)
-            fresh = self._look_up(symbols[here, left], symbols[here, best])[0]
-            ranks[here, left] = np.where(best > 0, fresh, ranks[here, left])
-        return done
-
-    def _settle(self, rows: list[int], symbols: np.ndarray, done: list[bytes]) -> None:
-        """Writes the ids of merged rows of symbols (-2 behind the last one)."""
-        used = symbols != -2
-        flat = symbols[used]
-        stops = np.cumsum(used.sum(axis=1))
-        plain = ((symbols == -2) | (symbols >= 0) & (symbols < self._pieces)).all(axis=1)
-        raw, at = flat.astype("<u4").tobytes(), 0
-        for r, stop, easy in zip(rows, stops.tolist(), plain.tolist()):
-            done[r] = raw[4 * at:4 * stop] if easy else self._final(flat[at:stop].tolist())
-            at = stop
-
-    def _queue(self, unit: str) -> list[int]:
-        """The same for one long unit: a heap of pairs and linked neighbours."""
-        symbols = [int(s) if s >= 0 else -3 - ord(c) for s, c in zip(self._symbol_of[np.frombuffer(unit.encode("utf-32-le"), "<u4")].tolist(), unit)]
-        n = len(symbols)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        ranks, made = self._look_up(np.array(symbols[:-1], np.int64), np.array(symbols[1:], np.int64)) if n > 1 else (np.zeros(0), np.zeros(0))
-        heap = [(int(r), i, symbols[i], symbols[i + 1], int(m)) for i, (r, m) in enumerate(zip(ranks, made)) if r < FAR]
-        heapq.heapify(heap)
-        while heap:
-            _, i, left, right, piece = heapq.heappop(heap)
-            j = after[i]
-            if symbols[i] != left or j >= n or symbols[j] != right:
-                continue  # one of the two has merged meanwhile
-            symbols[i], symbols[j], after[i] = piece, None, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < n:
-                    rank, piece = (int(x[0]) for x in self._look_up(np.array([symbols[a]]), np.array([symbols[b]])))
-                    if rank < FAR:
-                        heapq.heappush(heap, (rank, a, symbols[a], symbols[b], piece))
-        return [s for s in symbols if s is not None]
-
-    def _final(self, symbols: list[int]) -> bytes:
+    def spell(self, symbols: list[int]) -> bytes:
         """Ids of symbols; a character that is no piece becomes its bytes, or the unknown id."""
         ids: list[int] = []
         for s in symbols:
-            if 0 <= s < self._pieces:
+            if 0 <= s < self.plain:
                 ids.append(s)
                 continue
-            char = chr(-3 - s) if s < 0 else self._inner[s - self._pieces]
+            char = chr(-3 - s) if s < 0 else self._inner[s - self.plain]
             ids += [self.byte_ids[b] for b in char.encode()] if self.byte_ids else [self.unknown]
         return np.array(ids, "<u4").tobytes()
 
     def _learn(self, units: set[str]) -> dict[str, bytes]:
-        out = {u: self._final(self._queue(u)) for u in units if len(u) > MATRIX_CHARS}
+        out = {u: self.spell(self.queue(u)) for u in units if len(u) > MATRIX_CHARS}
         short = sorted((u for u in units if len(u) <= MATRIX_CHARS), key=len)
         for at in range(0, len(short), UNITS_AT_ONCE):
             part = short[at:at + UNITS_AT_ONCE]
-            out.update(zip(part, self._matrix(part)))
+            out.update(zip(part, self.matrix(part)))
         return out
 
     def _merged(self, texts: list[str]) -> list[bytes]:

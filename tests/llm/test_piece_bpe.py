@@ -50,7 +50,7 @@ def test_queue_and_matrix_agree(model):
     rng = random.Random(2)
     units = ["".join(rng.choice("▁etaoinshr.,é") for _ in range(rng.randint(1, 60))) for _ in range(400)]
     width = sorted(units, key=len)
-    assert model._matrix(width) == [model._final(model._queue(u)) for u in width]
+    assert model.matrix(width) == [model.spell(model.queue(u)) for u in width]
 
 
 @pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf", "identity"])

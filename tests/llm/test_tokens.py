@@ -162,3 +162,24 @@ def test_bpe_documents(odd_docs, no_docs, reference_bpe):
             assert r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
             assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
     assert byte_bpe.encode_documents(no_docs).count() == 0
+
+
+def test_every_letter_before_a_mark_equals_the_library():
+    """Letters that stop to be letters once they are in lower case, such as U+0130, take the mark into their token group."""
+    tokenizer = packing.WordTokenizer(packing.vocabulary())
+    library = Tokenizer.from_file(packing.vocabulary())
+    letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha()]
+    words = [f"a{c}{packing.MARKS[i % len(packing.MARKS)].decode()}" for i, c in enumerate(letters)] + ["İYİ. ev", "KİŞİ,", "TEKLİFİ!", "ΑΣ.", "Σ!", "eÉ,", "x" * 70 + ","]
+    for at in range(0, len(words), 20_000):
+        part = words[at:at + 20_000]
+        want = [x.ids for x in library.encode_batch_fast(part, add_special_tokens=False)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in tokenizer.many([w.encode() for w in part])] == want
+
+
+def test_word_tokenizer_equals_the_library_on_mixed_text():
+    rng = np.random.default_rng(4)
+    pool = list("abcdeABC .,!'s\n\t0123") * 40 + [chr(c) for c in range(0xC0, 0x600)] + [chr(c) for c in range(0x300, 0x340)] + list("日本語한국😀ﬁ")
+    texts = ["".join(pool[k] for k in rng.integers(0, len(pool), rng.integers(1, 60))) for _ in range(3000)]
+    library = Tokenizer.from_file(packing.vocabulary())
+    want = [x.ids for x in library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.WordTokenizer(packing.vocabulary()).many([t.encode() for t in texts])] == want
