@@ -10,12 +10,14 @@ text costs likeness where a plain MinHash sees no difference.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from .common import strings
 
@@ -101,20 +103,37 @@ def edited(text: str, following: str) -> str:
     return text[:len(text) - half] + following[:half]
 
 
+def _in_order(doc_id):
+    """An id as Spark sorts it: texts by their bytes."""
+    return doc_id.encode() if isinstance(doc_id, str) else doc_id
+
+
+def _bounds(docs: DataFrame, slots: int) -> np.ndarray | list:
+    """Ends of `slots` ranges of ids: quantiles of numbers; of ids of any other type, those of a sample in hash order
+    of about ten ids a range, which is what the driver gets."""
+    if isinstance(docs.schema["doc_id"].dataType, NumericType):
+        share = [i / slots for i in range(1, slots)]
+        cuts = docs.select(F.percentile_approx("doc_id", F.array(*map(F.lit, share)) if share else F.array(F.lit(0.5)), 10 * slots).alias("c")).first()["c"]
+        return np.unique(np.array([c for c in (cuts or []) if c is not None]))
+    drawn = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("doc_id", "text").alias("_h")).orderBy("_h").limit(10 * slots).collect()
+    found = sorted(_in_order(r["doc_id"]) for r in drawn)
+    return sorted({found[i * len(found) // slots] for i in range(1, slots)}) if found else []
+
+
 def neighbouring(docs: DataFrame, slots: int) -> DataFrame:
     """(doc_id, text, slot, extra): rows cut into `slots` ranges of ids, each with the first row of the
     next range as an extra row at its end, and the last with the very first.
 
-    Only ids are looked at to find the ranges; `slots` values are sent to the driver.
+    Ids are numbers, texts or dates; see `_bounds` for what is sent to the driver.
     """
-    share = [i / slots for i in range(1, slots)]
-    cuts = docs.select(F.percentile_approx("doc_id", F.array(*map(F.lit, share)) if share else F.array(F.lit(0.5)), 10 * slots).alias("c")).first()["c"]
-    bounds = np.unique(np.array([c for c in (cuts or []) if c is not None]))
+    bounds = _bounds(docs, slots)
 
     @F.arrow_udf("long")
     def slot(ids: pa.Array) -> pa.Array:  # the range of an id; null ids come first
-        places = np.searchsorted(bounds, ids.fill_null(0).to_numpy(zero_copy_only=False), side="right")
-        return pa.array(np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, places), pa.int64())
+        if isinstance(bounds, np.ndarray):
+            places = np.searchsorted(bounds, ids.fill_null(0).to_numpy(zero_copy_only=False), side="right")
+            return pa.array(np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, places), pa.int64())
+        return pa.array([0 if i is None else bisect_right(bounds, _in_order(i)) for i in ids.to_pylist()], pa.int64())
 
     placed = docs.select("doc_id", "text", slot("doc_id").alias("slot"))
     at = F.struct(F.col("doc_id").isNotNull().alias("n"), F.col("doc_id").alias("i"))

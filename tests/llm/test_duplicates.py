@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 import numpy as np
@@ -242,3 +243,14 @@ def test_fingerprints_odd_rows(spark, odd_docs, no_docs):
     assert order_minhash.fingerprint_documents(no_docs).count() == 0
     one = order_minhash.fingerprint_documents(spark.createDataFrame([(7, "a b c d")], "doc_id long, text string")).collect()
     assert len(one) == 1 and one[0]["near_next"] == 1
+
+
+def test_text_ids_and_an_id_of_a_third_of_all_rows(spark):
+    """Ids are sorted by their bytes; rows that repeat an id follow each other by their texts."""
+    rng = np.random.default_rng(12)
+    rows = [(f"d{i}ß" if i % 2 else f"D{i}", " ".join(f"w{k}" for k in rng.integers(0, 50, 12))) for i in range(40)] + [("hot", f"a{i} b c d e") for i in range(20)] + [(None, "x y")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(4)
+    order = sorted(rows, key=lambda r: (r[0] is not None, (r[0] or "").encode(), r[1].encode()))
+    want = sorted((str(i), len(t), hashlib.sha256(order_minhash.edited(t, order[(k + 1) % len(order)][1]).encode()).hexdigest()) for k, (i, t) in enumerate(order))
+    got = sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"]) for r in order_minhash.fingerprint_documents(docs).collect())
+    assert got == want
