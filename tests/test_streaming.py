@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pagewright.operators import edits as D
 from pagewright.streaming import edits as T
+from pagewright.streaming.invalidation import stale_pages
 from pagewright.streaming.intake import latest_replies, ocr_to_table, page_stream, start_intake
 from pagewright.streaming.state import page_state_stream
 from pagewright.streaming.timers import Debounce, debounce_timed
@@ -259,3 +260,33 @@ def test_bursts_join_whatever_the_order_of_arrival():
         out = list(processor.handleInputRows((7,), iter([pd.DataFrame(order, columns=["ts", "seq", "payload"])]), Clock()))
         fired = [tuple(r) for f in out for r in f[["seq", "payload"]].itertuples(index=False)]
         assert fired == [(2, "b"), (5, "e")] and processor.open.get()[3] == "d" and Handle.timers == [5800]
+
+
+def test_stale_pages_without_reading_the_store(spark, tmp_path):
+    """Against struct_diff, batch by batch: moved, retyped, shortened, emptied and unknown pages; the plan reads no stored table."""
+    shape = "page_id long, version long, ordinal int, xmin double, ymin double, xmax double, ymax double, type string"
+
+    def listed(page, version, *boxes):
+        return [(page, version, i, *b) for i, b in enumerate(boxes)] or [(page, version, None, None, None, None, None, None)]
+
+    a, b, c = (1.0, 1.0, 2.0, 2.0, None), (3.0, 1.0, 4.0, 2.0, "bubble"), (3.0, 1.0, 4.5, 2.0, "bubble")
+    first = listed(1, 0, a, b) + listed(2, 0, a, b) + listed(3, 0, a) + listed(4, 0, a, b)
+    batches = [listed(1, 1, a, b) + listed(2, 1, a, c) + listed(3, 1) + listed(5, 1, a),
+               listed(1, 2, a[:4] + ("other",)) + listed(3, 2, a) + listed(2, 2, a, b) + listed(2, 3, a, c)]
+    stored = spark.createDataFrame([r[:1] + r[2:] for r in first], shape.replace("version long, ", ""))
+    out = stale_pages(stream_of(spark, tmp_path, batches, shape), stored)
+    rows = drain(out, tmp_path, "stale", "append").collect()
+    want, known = [], {r[0]: [] for r in first}
+    for r in first:
+        known[r[0]].append(r[2:])
+    for batch in batches:
+        last = {p: max(r[1] for r in batch if r[0] == p) for p in {r[0] for r in batch}}
+        new = {p: [r[2:] for r in batch if r[0] == p and r[1] == v and r[2] is not None] for p, v in last.items()}
+        frame = lambda lists: spark.createDataFrame([(p, *x) for p, xs in lists.items() for x in xs], shape.replace("version long, ", ""))
+        pages = spark.createDataFrame([(p,) for p in new], "page_id long")
+        want += [tuple(r) for r in T.invalidate_erased(frame(new), frame(known), pages).collect()]
+        known |= new
+    assert sorted(map(tuple, rows)) == sorted(want) and len(want) == 5
+    state_only = stale_pages(spark.readStream.schema(shape).parquet(str(tmp_path / "in")))
+    plan = state_only._jdf.queryExecution().logical().toString()
+    assert "Join" not in plan
