@@ -12,6 +12,7 @@ import functools
 import re
 from bisect import bisect_right
 from collections.abc import Callable
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ from .semantics import BROWSER_SPACE_CHARS
 from .text import GLYPH_EM, LINE_PITCH, OTHER_EM, PADDING, WIDE_CLASS, WIDE_EM
 
 EIGHTHS = 8
+SHORT = 256  # characters below which a plain loop sums faster than an array
 _SPACES = re.compile(f"[{re.escape(BROWSER_SPACE_CHARS)}]+")
 
 
@@ -36,6 +38,11 @@ def _eighths() -> np.ndarray:
     return widths
 
 
+@functools.cache
+def _width(char: str) -> int:
+    return int(_eighths()[ord(char)])
+
+
 class Tokens:
     """Words, or single characters, of a text: the text with single gaps, and where tokens start and end in it."""
 
@@ -46,13 +53,15 @@ class Tokens:
         else:
             words = _SPACES.split(text)
             self.text = " ".join(words)
-            lengths = np.fromiter(map(len, words), np.int64, len(words))
-            ends = np.cumsum(lengths + 1) - 1
-            self.starts, self.ends = (ends - lengths).tolist(), ends.tolist()
-        points = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), "<u4")
-        upto = np.concatenate([[0], np.cumsum(_eighths()[points])])
-        self.before = upto[:-1].tolist() if per_char else upto[self.starts].tolist()  # eighths before each token
-        self.after = upto[1:].tolist() if per_char else upto[self.ends].tolist()  # and up to its end
+            self.ends = [end - 1 for end in accumulate(len(w) + 1 for w in words)]
+            self.starts = [end - len(w) for end, w in zip(self.ends, words)]
+        if len(self.text) < SHORT:
+            upto = [0, *accumulate(map(_width, self.text))]
+        else:
+            points = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), "<u4")
+            upto = [0, *np.cumsum(_eighths()[points]).tolist()]
+        self.before = [upto[k] for k in self.starts]  # eighths before each token
+        self.after = [upto[k] for k in self.ends]  # and up to its end
 
     def lines(self, font_px: float, max_w: float):
         """(first, last) token of every line. A token wider than the line stays whole; a line needs a width."""

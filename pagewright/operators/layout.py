@@ -69,10 +69,15 @@ def fit_font(blocks: DataFrame, style: StyleConfig, min_px: float = TX.EXPORT_MI
     if not style.auto_fit_font_size:
         return shown.withColumn("font_px", F.col("font_px0"))
     text, w, h = F.col("translated_text"), F.col("w"), F.col("h")
-    flat = F.when(F.col("layout_dir") == "horizontal", text)  # vertical text does not go to the line breaks
+    gap_em = F.col("_gap_em")
+    shown = shown.withColumns({
+        "_gap_em": F.when(F.col("is_cjk"), F.lit(0.0)).otherwise(F.lit(TX.SPACE_EM)),
+        "_widths": F.when(F.col("layout_dir") == "horizontal", TX.token_widths(text, F.col("is_cjk")))})
     vertical = TX.shrink_to_fit(lambda fs: TX.fits_vertical(F.length(text), fs, w, h), F.col("font_px0"), min_px)
-    horizontal = F.coalesce(BR.largest_font(flat, F.col("is_cjk"), F.col("font_px0"), min_px, w, h), F.lit(float(min_px)))
-    return shown.withColumn("font_px", F.when(F.col("layout_dir") == "vertical", vertical).otherwise(horizontal))
+    horizontal = TX.shrink_to_fit(lambda fs: TX.fits_horizontal(F.col("_widths"), gap_em, fs, w, h),
+                                  F.col("font_px0"), min_px)
+    fitted = F.when(F.col("layout_dir") == "vertical", vertical).otherwise(horizontal)
+    return shown.withColumn("font_px", fitted).drop("_widths", "_gap_em")
 
 
 def wrap_lines(blocks: DataFrame, text: str, font_px: Column, max_w: Column, out: str = "lines") -> DataFrame:
@@ -103,7 +108,7 @@ def place_vertical(fitted: DataFrame) -> DataFrame:
 def place_horizontal(fitted: DataFrame) -> DataFrame:
     """One row per line of horizontal blocks: centre x and y. Lines past the bottom padding are left out."""
     fs = F.col("font_px")
-    # The size comes from one Arrow function and feeds another; the explode keeps the two in separate steps of the plan.
+    # The explode keeps the font search and the line breaks in separate steps of the plan, so the search runs once.
     held = fitted.where(F.col("layout_dir") == "horizontal").withColumn("_px", F.explode_outer(F.array("font_px"))).drop("font_px").withColumnRenamed("_px", "font_px")
     flat = wrap_lines(held, "translated_text", fs,
                       F.col("w") - fs * TX.PADDING * 2)
